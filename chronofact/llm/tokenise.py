@@ -9,17 +9,20 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: A blank with white space on either side: there a cut before the blank could change the pre-split.
-_UNSAFE = re.compile(r"\s \s|  ")
+#: A blank before white space: there cuts before blanks could change the pre-split.
+_UNSAFE = re.compile(r" \s")
 #: A run of white space may always be cut off in front.
 _RUNS = re.compile(r"(?<=\S)(?=\s)")
-#: Between a letter or number and one of these marks there is a token boundary in both pre-splits.
-_MARKS = re.compile(r"(?<=[^\W_])(?=[,.!?;:\n])")
-CACHE_ENTRIES = 300_000
+#: Token boundaries of both pre-splits: between a letter or number and a mark, around a single new line.
+_MARKS = re.compile(r"(?<=[^\W_])(?=[,.!?;:])|(?<=\S)(?=\n)|(?<=\S\n)(?=[^\W_])")
+#: One word of Latin letters, which is a single token of the pre-split.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+CACHE_ENTRIES = 700_000
 _AT_ONCE = 256
 
 
@@ -33,18 +36,19 @@ class _Chunks(dict):
 
     def _learn(self, chunks) -> None:
         """Chunks in neither generation: cut between a letter and a mark, and encode the parts that are new."""
-        fresh = []
+        new, parts = [], {}
+        older, split = self.older.get, _MARKS.split
         for x in chunks:
-            if (found := self.older.get(x)) is None:
-                fresh.append(x)
-            else:
+            if (found := older(x)) is not None:
                 self[x] = found
-        parts = {x: _MARKS.split(x) for x in fresh}
-        new = list({y for x in parts.values() for y in x if y not in self})
-        for lo in range(0, len(new), _AT_ONCE):
-            part = new[lo : lo + _AT_ONCE]
-            self.update(zip(part, self.encode_many(part), strict=True))
-        self.update((x, b"".join(map(self.__getitem__, y))) for x, y in parts.items() if len(y) > 1)
+            elif x[1:].isalpha() or len(pieces := split(x)) == 1:
+                new.append(x)
+            else:
+                parts[x] = pieces
+        if parts:
+            new += {y for x in parts.values() for y in x if y not in self}
+        self.update(zip(new, self.encode_many(new), strict=True))
+        self.update((x, b"".join(map(self.__getitem__, y))) for x, y in parts.items())
 
     def join(self, chunks: list[str]) -> bytes:
         found = list(map(self.get, chunks))
@@ -53,11 +57,22 @@ class _Chunks(dict):
                 self.older = dict(self)
                 self.clear()
                 found = [None] * len(chunks)
-            self._learn({x for x, y in zip(chunks, found, strict=True) if y is None})
-            found = map(self.__getitem__, chunks)
+            missing = [i for i, y in enumerate(found) if y is None]
+            self._learn({chunks[i] for i in missing})
+            for i in missing:
+                found[i] = self[chunks[i]]
         return b"".join(found)
 
 
+def _shown() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_SHOWN = _shown()
+
+
 class LibraryEncoder:
     """ids of a `tokenizers` file, without special tokens; their strings are ordinary text."""
 
@@ -69,9 +84,28 @@ class LibraryEncoder:
         self._plain.encode_special_tokens = True
         self._mark, self._mark_id = "<|endoftext|>", self._plain.token_to_id("<|endoftext|>")
         self._drops_blanks = b'"Removed"' in self._plain.pre_tokenizer.__getstate__()
+        self._merge = self._plain.model.tokenize
         self._chunks = _Chunks(self._encode_many)
 
     def _encode_many(self, chunks: list[str]) -> list[bytes]:
+        """Plain words go straight to the library's merges, all else through its whole chain."""
+        out: list[bytes | None] = [None] * len(chunks)
+        rest, lower, merge = [], self._drops_blanks, self._merge
+        for i, x in enumerate(chunks):
+            if _WORD(x) and len(x) < 64:
+                low = x.lower() if lower else x
+                if len(low) == len(x):
+                    shown = (low if low[0] != " " else "\u0120" + low[1:]) if low.isascii() else low.encode().decode("latin-1").translate(_SHOWN)
+                    out[i] = array("I", [t.id for t in merge(shown)]).tobytes()
+                    continue
+            rest.append(i)
+        for lo in range(0, len(rest), _AT_ONCE):
+            part = rest[lo : lo + _AT_ONCE]
+            for i, ids in zip(part, self._through_chain([chunks[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _through_chain(self, chunks: list[str]) -> list[bytes]:
         """One call for all: the end mark parts them, as the library treats what stands around it by itself."""
         joined = self._mark.join(chunks)
         if "<|" in joined.replace(self._mark, "", len(chunks) - 1) or joined.count("<|") >= len(chunks):
