@@ -15,6 +15,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .text import words
 
@@ -46,7 +47,7 @@ def normalise(v: Column) -> Column:
     return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def blake_vector(texts: pd.Series) -> pd.Series:
     """Dense hashed vectors by 64-bit BLAKE2b, big-endian; null has the zero vector."""
 
