@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, packing, rank_bpe, secrets, simhash, token_files, toxicity
+from . import ann, exact_dedup, language_id, packing, rank_bpe, secrets, simhash, suffix_dedup, token_files, toxicity
 from .common import crc_mod, shared_dir, table
 
 
@@ -25,6 +25,10 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -54,7 +58,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_language_id, op5_toxicity, op6_ann, op7_secrets, op8_rank_bpe, op9_token_files, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_language_id, op4_suffix_dedup, op5_toxicity, op6_ann, op7_secrets, op8_rank_bpe, op9_token_files, op10_simhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
