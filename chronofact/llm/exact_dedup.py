@@ -32,7 +32,8 @@ def groups(docs: DataFrame) -> DataFrame:
     norm = docs.select("doc_id", normalised().alias("norm"))
     keyed = norm.select("doc_id", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), F.sha2(F.col("norm"), 256).alias("text_sha256"))
     keyed = materialise(keyed, "keyed")
-    count = keyed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    # Written, so that joins with it have an exchange on both sides and a hot hash can be split.
+    count = materialise(keyed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "counts")
     several = count.where("n > 1")
     members = keyed.select("doc_id", "h").distinct().join(several, "h")
     parts = F.ceil(F.col("n") / MEMBERS_AT_ONCE).cast("int")
@@ -48,10 +49,8 @@ def groups(docs: DataFrame) -> DataFrame:
     odd_groups = odd.groupBy("h", "odd").agg(F.min("doc_id").alias("odd_first"), F.count("*").alias("odd_n"))
     odd_rows = odd.join(odd_groups, ["h", "odd"]).select("h", F.col("odd_key").alias("text_sha256"), "odd_first", "odd_n").distinct()
     lost = odd_rows.groupBy("h").agg(F.sum("odd_n").alias("lost"))
-    first = odd.groupBy("h").agg(F.lit(True).alias("collided"))
-    count = count.join(lost, "h", "left").join(first, "h", "left").select("h", "first_id", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
-    out = keyed.join(count, "h").join(odd_rows, ["h", "text_sha256"], "left")
-    keep, size = F.coalesce("odd_first", "first_id"), F.coalesce("odd_n", "n")
+    out = keyed.join(count, "h").join(lost, "h", "left").join(odd_rows, ["h", "text_sha256"], "left")
+    keep, size = F.coalesce("odd_first", "first_id"), F.coalesce("odd_n", F.col("n") - F.coalesce("lost", F.lit(0)))
     return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 

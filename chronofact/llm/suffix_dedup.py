@@ -29,7 +29,7 @@ _BASE = 0x9E3779B97F4A7C15
 #: Bytes of texts that are hashed at once; places take 24 bits beside 40 bits of hash.
 _AT_ONCE = 4 << 20
 #: Bytes of stretches that a shard sorts at once: whole anchors together; one anchor may exceed it and spills.
-SORT_BYTES = 24 << 20
+SORT_BYTES = 6 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -210,7 +210,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     rows = docs.select("doc_id", "text")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     found = materialise(rows.where(F.octet_length("text") >= width).mapInArrow(partial(_find, width=width), "doc_id bigint, text_key bigint, h bigint, first bigint, last bigint"), "anchors")
-    several = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written, so that the join has an exchange on both sides and a hot hash can be split.
+    several = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
     of_doc = found.join(several, "h").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("h", "first", "last")).alias("found"))
     of_doc = of_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "found")
     texts = rows.where(F.octet_length("text") >= width).withColumn("text_key", key).join(of_doc, F.expr("text_key = k AND doc_id <=> d")).select("doc_id", "text_key", "text", "found")
