@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Kinds of findings in the order in which equal starts are listed.
 BASE = {
     "assign": r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -68,6 +70,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.flatten(F.array(*[_spans(text, k, p) for k, p in BASE.items()])).alias("base"), F.flatten(F.array(*[_spans(text, k, p) for k, p in WEAK.items()])).alias("weak"))
+    rows = materialise(rows, "spans")  # the texts are scanned once; spans are small
     some = rows.where(F.size("weak") > 0).select(F.struct("doc_id", "text_key").alias("row"), "base", "weak").distinct()
     role = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))])
     parts = some.select("row", F.explode(F.concat("base", "weak")).alias("x")).select("row", role[F.col("x.kind")].alias("role"), "x.start", "x.end")

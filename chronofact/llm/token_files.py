@@ -27,6 +27,8 @@ from .tokenise import library_encoder
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNTS = np.array([n for n, _ in SELECTORS])
 BLOCK_IDS = 65_536
+#: Beside the sorted texts in an executor's memory the cache of encoded words must be small.
+CACHE_WORDS = 300_000
 
 
 def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,21 +46,17 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids[large] = 0
     if not n:
         return np.empty(0, np.uint64), escapes
-    bits = np.zeros(n, np.int16)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):
-        bits += ids >= np.uint64(1 << b)  # number of widths that are too small; zero is told apart below
+    values = ids.astype(np.uint32) if int(ids.max()) < 1 << 32 else ids
     choice = np.full(n, len(SELECTORS) - 1, np.int8)
-    widths = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
-    zero = ids == 0
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[s]
-        if count > n:
-            continue
-        fits = zero if width == 0 else bits <= widths.index(width)
-        if not fits.any():
-            continue
-        runs = np.concatenate([[0], np.cumsum(fits)])
-        choice[: n - count + 1][runs[count:] - runs[: n - count + 1] == count] = s
+        fits = values < values.dtype.type(1 << width) if width < 32 else np.ones(n, bool)
+        have = 1  # fits[i] says whether `have` ids from i on fit; doubled until it is `count`
+        while have < count and len(fits):
+            more = min(have, count - have)
+            fits = fits[: max(0, len(fits) - more)] & fits[more:]
+            have += more
+        choice[: len(fits)][fits] = s
     step = _COUNTS[choice].tolist()
     at, starts = 0, []
     while at < n:
@@ -95,8 +93,8 @@ BLOCK_FIELDS = [("shard", pa.int32()), ("block", pa.int64()), ("first_id", pa.in
 
 
 def _write(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, block_ids: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Blocks of one shard. A document longer than a block goes on in the next: its size there counts the block's ids."""
-    encoder, end, shard = library_encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+    """Blocks of one shard, of block_ids or more ids. They end with documents; one of over four times as many goes on in the next block."""
+    encoder, end, shard = library_encoder(path, CACHE_WORDS), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
     block, before = 0, 0
     ids: list[bytes] = []
     docs: list[int | None] = []
@@ -113,15 +111,17 @@ def _write(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, block_i
     for batch in batches:
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = encoder.encode_bytes(text or "") + end
-            while raw:
-                part = raw[: 4 * (block_ids - held)]
+            if held + len(raw) // 4 > 4 * block_ids and held:
+                yield close()
+            while raw:  # only a document of more than four blocks' ids is cut
+                part = raw[: 16 * block_ids]
                 raw = raw[len(part) :]
                 ids.append(part)
                 docs.append(doc_id)
                 # A negative size says that the document goes on in the next block.
                 sizes.append(-(len(part) // 4) if raw else len(part) // 4)
                 held += len(part) // 4
-                if held == block_ids:
+                if held >= block_ids or raw:
                     yield close()
     if held:
         yield close()

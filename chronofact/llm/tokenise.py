@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -29,8 +30,9 @@ _AT_ONCE = 256
 class _Chunks(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes, in two generations."""
 
-    def __init__(self, encode_many):
+    def __init__(self, encode_many, entries: int = CACHE_ENTRIES):
         super().__init__()
+        self.entries = entries
         self.encode_many = encode_many
         self.older: dict[str, bytes] = {}
 
@@ -53,7 +55,7 @@ class _Chunks(dict):
     def join(self, chunks: list[str]) -> bytes:
         found = list(map(self.get, chunks))
         if None in found:
-            if len(self) > CACHE_ENTRIES:
+            if len(self) > self.entries:
                 self.older = dict(self)
                 self.clear()
                 found = [None] * len(chunks)
@@ -73,10 +75,19 @@ def _shown() -> dict[int, int]:
 _SHOWN = _shown()
 
 
+def _part_marks(text: str, sign: str) -> str:
+    """`sign` before each comma or full stop, if all stand after a letter or number (or a blank that is dropped); else the text as it is."""
+    for mark in ",.":
+        parts = text.split(mark)
+        if all(x[-1:].isalnum() or (sign == " " and x[-1:] == " ") for x in parts[:-1]):
+            text = (sign + mark).join(parts)
+    return text
+
+
 class LibraryEncoder:
     """ids of a `tokenizers` file, without special tokens; their strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,7 +96,7 @@ class LibraryEncoder:
         self._mark, self._mark_id = "<|endoftext|>", self._plain.token_to_id("<|endoftext|>")
         self._drops_blanks = b'"Removed"' in self._plain.pre_tokenizer.__getstate__()
         self._merge = self._plain.model.tokenize
-        self._chunks = _Chunks(self._encode_many)
+        self._chunks = _Chunks(self._encode_many, entries)
 
     def _encode_many(self, chunks: list[str]) -> list[bytes]:
         """Plain words go straight to the library's merges, all else through its whole chain."""
@@ -119,13 +130,18 @@ class LibraryEncoder:
         return out
 
     def split(self, text: str) -> list[str]:
-        """Chunks that the tokenizer treats independently of each other."""
-        if self._drops_blanks:  # white space never reaches a token
-            return [x for x in text.replace("\n", " ").split(" ") if x]
+        """Chunks that the tokenizer treats independently of each other; commas and stops after words are their own."""
+        if self._drops_blanks:  # white space never reaches a token, nor does the case of letters
+            low = text.lower()
+            if len(low) == len(text) and (text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text))):
+                text = low
+            return [x for x in _part_marks(text.replace("\n", " "), " ").split(" ") if x]
         if _UNSAFE.search(text):
             return _RUNS.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        if "\0" in text:
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]]
+        return _part_marks(text, "\0").replace(" ", "\0 ").split("\0")
 
     def encode_bytes(self, text: str) -> bytes:
         return self._chunks.join(self.split(text)) if text else b""
@@ -135,8 +151,8 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library_encoder(path: str, entries: int = CACHE_ENTRIES) -> LibraryEncoder:
+    return LibraryEncoder(path, entries)
 
 
 @lru_cache(maxsize=4)
