@@ -15,6 +15,10 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANK, " ")
 
 
+def hash128(norm: Column) -> Column:
+    return F.unhex(F.md5(norm.cast("binary")))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """For each row of docs its group of equal texts.
 
@@ -30,7 +34,7 @@ def groups(docs: DataFrame) -> DataFrame:
     many tasks as it has blocks of MEMBERS_AT_ONCE rows.
     """
     norm = docs.select("doc_id", normalised().alias("norm"))
-    keyed = norm.select("doc_id", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), F.sha2(F.col("norm"), 256).alias("text_sha256"))
+    keyed = norm.select("doc_id", hash128(F.col("norm")).alias("h"), F.sha2(F.col("norm"), 256).alias("text_sha256"))
     keyed = materialise(keyed, "keyed")
     # Written, so that joins with it have an exchange on both sides and a hot hash can be split.
     count = materialise(keyed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "counts")
@@ -39,7 +43,7 @@ def groups(docs: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("n") / MEMBERS_AT_ONCE).cast("int")
     members = members.select("doc_id", "h", "first_id", F.pmod(F.hash("doc_id"), parts).alias("part"), parts.alias("parts"))
     # Ids come to the texts by an equi-join on both keys: a repeated doc_id with another text is not mixed up.
-    texts = norm.withColumn("h", F.unhex(F.md5(F.col("norm").cast("binary")))).alias("t")
+    texts = norm.withColumn("h", hash128(F.col("norm"))).alias("t")
     texts = texts.join(members.alias("m"), F.expr("t.doc_id <=> m.doc_id AND t.h = m.h")).select("t.*", "first_id", "part", "parts")
     texts = materialise(texts, "copies")
     firsts = texts.where("doc_id <=> first_id").dropDuplicates(["h"]).select("h", F.col("norm").alias("first_norm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))

@@ -25,6 +25,8 @@ from .toxicity import _Held
 
 #: About so many documents of each language are counted, chosen by the hash of their ids.
 SAMPLE_DOCS = 400
+#: The most frequent languages that are learned.
+MAX_LANGUAGES = 200
 ORDER = 3
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 22
@@ -163,9 +165,12 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """Trees from about sample_docs rows of each language for which `learn` holds; rows without text or language are left out."""
     rows = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(sample_docs * 1_000_000.0) / F.col("n")
-    sample = rows.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return _pack(fit([], []))
+    # The shares are a literal map, so that no text is shuffled to meet them.
+    share = F.try_element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, sample_docs * 1_000_000.0 / r.n)]), F.col("lang"))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     one = sample.select("text", "lang", "doc_id").repartition(1).sortWithinPartitions("lang", "doc_id", "text").select("text", "lang")
     found = one.mapInArrow(_fit_rows, "model binary").collect()
     return bytes(found[0].model) if found else _pack(fit([], []))
