@@ -22,7 +22,7 @@ from .toxicity import _Held
 
 #: Vectors that the quantisers are fitted on, at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
-LIST_SIZE, MAX_LISTS, WORDS = 500, 4_096, 256
+LIST_SIZE, MAX_LISTS, WORDS = 2_000, 4_096, 256
 BLOCK, QUERY_BLOCK = 4_096, 512
 
 
@@ -132,13 +132,14 @@ def _scan(index: pa.Table, queries: pa.Table, held, candidates: int) -> pa.Table
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
 
-def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidates: int = 150, probes: float = 0.25) -> DataFrame:
+def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidates: int = 200, from_block: int = 24, probes: float = 0.8) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine of the rows where `queries` holds, against all others.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; of
     different dimensions the most frequent counts (ties: the smaller). Of rows with one
     vec_id and the same vector one is taken, a vec_id is never its own neighbour. `probes`
-    is the share of the lists that a query reads, eight at least. Lists and the queries
+    is the share of the lists that a query reads, eight at least; a block sends the
+    `from_block` best of a query, of all of which the best `candidates` are ranked exactly. Lists and the queries
     at a list are cut into blocks, so a list with a third of all rows is many tasks.
     Too few rows give fewer neighbours; no usable row gives no result.
     """
@@ -166,7 +167,7 @@ def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidat
     probed = probed.join(F.broadcast(blocks), "list_id").select("list_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("query_id"), query_blocks).alias("qblock"), "query_id", "q")
     coded = index.join(F.broadcast(blocks), "list_id").select("list_id", F.pmod(F.hash("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qblock"), "vec_id", "code")
     keys = ["list_id", "block", "qblock"]
-    found = coded.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInArrow(partial(_scan, held=held, candidates=candidates), "query_id bigint, vec_id bigint, distance double")
+    found = coded.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInArrow(partial(_scan, held=held, candidates=max(k, from_block)), "query_id bigint, vec_id bigint, distance double")
     near = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     found = found.withColumn("at", F.row_number().over(near)).where(F.col("at") <= candidates).select("query_id", "vec_id")
     q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
