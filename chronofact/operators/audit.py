@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,8 +18,7 @@ def payloads(log: DataFrame) -> DataFrame:
     return log.select("seq", F.col("op").alias("kind"), event_ref().alias("ref"), event_digest().alias("payload_hash"))
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    prev = GENESIS
+def _chain(batches: Iterator[pa.RecordBatch], *, prev: str = GENESIS) -> Iterator[pa.RecordBatch]:
     for b in batches:
         before, entry = [], []
         for h in b.column("payload_hash").to_pylist():
@@ -28,14 +28,19 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(entry, pa.string())], names=[*b.schema.names, "prev_hash", "entry_hash"])
 
 
-def build(rows: DataFrame) -> DataFrame:
+def build_from(rows: DataFrame, head: str) -> DataFrame:
+    """Entries that go on from a chain's head."""
+    return build(rows, head)
+
+
+def build(rows: DataFrame, head: str = GENESIS) -> DataFrame:
     """Entries of the chain over (seq, kind, ref, payload_hash).
 
     Each link needs the one before, so one task streams the sorted short hashes; what is
     costly, the digests, was made in parallel. `build_blocks` has no serial step.
     """
     ordered = rows.select("seq", "kind", "ref", "payload_hash").repartitionByRange(1, "seq").sortWithinPartitions("seq")
-    return ordered.mapInArrow(_chain, "seq bigint, kind string, ref string, payload_hash string, prev_hash string, entry_hash string")
+    return ordered.mapInArrow(partial(_chain, prev=head), "seq bigint, kind string, ref string, payload_hash string, prev_hash string, entry_hash string")
 
 
 def _head_of(hashes):

@@ -13,7 +13,11 @@ from ..sources import adapters as A
 from ..sources import log as L
 from .oracle import ORACLE
 
-AT = F.lit("2024-01-15").cast("timestamp_ntz")
+
+
+def at():
+    """The instant of the point-in-time queries."""
+    return F.lit("2024-01-15").cast("timestamp_ntz")
 
 
 def edges(spark, sf):
@@ -85,7 +89,7 @@ def edges_live(spark, sf):
 
 
 def edges_asof(spark, sf):
-    return project.as_of(edges(spark, sf), AT).select("subject", "predicate", "object", "valid_from", "valid_to")
+    return project.as_of(edges(spark, sf), at()).select("subject", "predicate", "object", "valid_from", "valid_to")
 
 
 def asof_join(spark, sf):
@@ -210,7 +214,7 @@ def hybrid_topk(spark, sf):
 
 
 def hybrid_topk_asof(spark, sf):
-    return _ranked(spark, project.as_of(edges(spark, sf), AT), by_subject=True)
+    return _ranked(spark, project.as_of(edges(spark, sf), at()), by_subject=True)
 
 
 def weights_semantic(spark, sf):
