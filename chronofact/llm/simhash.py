@@ -17,6 +17,8 @@ from .components import components
 #: Bits of a fingerprint in three bands: two differing bits leave one band untouched.
 BANDS = ((0, 22), (22, 21), (43, 21))
 BUDGET = 2
+#: A band's value with more fingerprints is dealt over the values of three parts of its other bits.
+HOT_BAND = 16_384
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 20
 _AT_ONCE = 1 << 15
@@ -127,31 +129,64 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def _parts_of_rest(width: int) -> list[tuple[int, int]]:
+    """(start, bits) of three parts of the bits that a band of `width` bits leaves."""
+    cuts = np.linspace(width, 64, 4).astype(int).tolist()
+    return list(zip(cuts[:-1], np.diff(cuts).tolist(), strict=True))
+
+
+def _turned(fp: np.ndarray, band: int, part: int) -> tuple[np.ndarray, int]:
+    """Fingerprints with the bits that are equal in the task's group in front, and the number of those bits."""
+    at, width = BANDS[band]
+    x = (fp << np.uint64(at)) | (fp >> np.uint64(64 - at)) if at else fp
+    if part < 0:
+        return x, width
+    start, bits = _parts_of_rest(width)[part]
+    rest, by = 64 - width, start - width
+    mask = np.uint64((1 << rest) - 1)
+    low = x & mask
+    moved = ((low << np.uint64(by)) | (low >> np.uint64(rest - by))) & mask if by else low
+    return (x & ~mask) | moved, width + bits
+
+
 def _links(batches: Iterator[pa.RecordBatch], *, budget: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[np.ndarray]] = {}
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
-        band, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        for b in np.unique(band):
-            held.setdefault(int(b), []).append(fp[band == b])
-    for b, parts in held.items():
-        at, width = BANDS[b]
-        fp = np.concatenate(parts)
-        turned = np.unique((fp << np.uint64(at)) | (fp >> np.uint64(64 - at)) if at else fp)
-        back = (turned >> np.uint64(at)) | (turned << np.uint64(64 - at)) if at else turned
-        root = _roots(len(turned), trie_pairs(turned, width, budget))
+        band, part, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+        for b, q in np.unique(np.stack([band, part], 1), axis=0).tolist():
+            held.setdefault((b, q), []).append(fp[(band == b) & (part == q)])
+    for (b, q), parts in held.items():
+        fp = np.unique(np.concatenate(parts))
+        turned, exact = _turned(fp, b, q)
+        order = np.argsort(turned)
+        keys, fp = turned[order], fp[order]
+        root = _roots(len(keys), trie_pairs(keys, exact, budget))
         linked = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[root[linked]].view(np.int64))], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], names=["u", "v"])
 
 
 def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v) between distinct fingerprints `fp`: for each shared band a forest of the pairs within the budget.
+    """(u, v) between distinct fingerprints `fp`: for each group a forest of the pairs within the budget.
 
     At most two differing bits leave one of the three bands equal, so every pair meets
     in the task of that band's value; pairs reduce there to the links that join them.
+    A value with more than HOT_BAND fingerprints is split: of three parts of its other
+    bits one is equal too, so the pair meets in the group of that part's value.
     """
-    turned = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", at), 64 - width).alias("key")) for b, (at, width) in enumerate(BANDS)]
-    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("x")).select("x.band", "fp", "x.key")
-    return rows.repartition("band", "key").select("band", "fp").mapInArrow(partial(_links, budget=budget), "u bigint, v bigint")
+    turn = lambda at: F.expr(f"shiftleft(fp, {at}) | shiftrightunsigned(fp, {64 - at})") if at else F.col("fp")
+    turned = [F.struct(F.lit(b).alias("band"), turn(at).alias("x"), F.shiftrightunsigned(turn(at), 64 - width).alias("key")) for b, (at, width) in enumerate(BANDS)]
+    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("y")).select("fp", "y.band", "y.x", "y.key")
+    full = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BAND).select("band", "key", F.lit(True).alias("hot"))
+    # Written, so that the join has an exchange on both sides and a hot value can be split.
+    dealt = rows.join(materialise(full, "hot-bands"), ["band", "key"], "left")
+    group = lambda part, value: F.struct(F.lit(part).alias("part"), value.cast("bigint").alias("value"))
+    split = F.lit(None)
+    for b, (_, width) in enumerate(BANDS):
+        own = F.array(*[group(i, F.shiftrightunsigned(F.shiftleft("x", start), 64 - bits)) for i, (start, bits) in enumerate(_parts_of_rest(width))])
+        split = F.when(F.col("band") == b, own).otherwise(split)
+    groups = F.when(F.col("hot"), split).otherwise(F.array(group(-1, F.lit(0))))
+    dealt = dealt.select("band", "key", "fp", F.explode(groups).alias("g")).select("band", "key", "g.part", "g.value", "fp")
+    return dealt.repartition("band", "key", "part", "value").select("band", "part", "fp").mapInArrow(partial(_links, budget=budget), "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 3, budget: int = BUDGET) -> DataFrame:
