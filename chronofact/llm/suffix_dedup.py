@@ -30,6 +30,9 @@ _BASE = 0x9E3779B97F4A7C15
 _AT_ONCE = 4 << 20
 #: Bytes of stretches that a shard sorts at once: whole anchors together; one anchor may exceed it and spills.
 SORT_BYTES = 6 << 20
+#: An anchor with more different stretches than this is no task's: its strings are counted by their values, dealt over all tasks.
+HOT_STRETCHES = 10_000
+_BASES = (_BASE, 0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -171,6 +174,49 @@ def _sort(batches: Iterator[pa.RecordBatch], *, width: int, at_once: int = SORT_
         yield from close()
 
 
+_STRING = pa.schema([("h", pa.int64()), ("sh", pa.binary()), ("n", pa.int64()), ("at", pa.int32()), ("v", pa.int64()), ("w", pa.int64())])
+
+
+def _strings(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
+    """A row for each string of the stretches of hot anchors: where it starts and its two polynomial values."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            raw = part.column(3).to_pylist()
+            text, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
+            if not len(size):
+                continue
+            of = np.repeat(np.arange(len(raw)), size - width + 1)
+            first = np.cumsum(size) - size
+            n_before = np.cumsum(size - width + 1) - (size - width + 1)
+            at = np.arange(len(of)) - n_before[of]
+            start, values = first[of] + at, []
+            for base in _BASES:
+                sums, inverse = prefix_values(text, base)
+                values.append(pa.array(((sums[start + width] - sums[start]) * inverse[start]).view(np.int64)))
+            own = [part.column(j).take(pa.array(of)).cast(t) for j, t in zip((0, 1, 2), _STRING.types, strict=False)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), *values], schema=_STRING)
+
+
+def _covered(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = []
+        for found in batch.column(2).to_pylist():
+            again = np.zeros(max(found) + 1, bool)
+            again[found] = True
+            spans.append(_runs(again, width))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64()))], schema=_FOUND)
+
+
+def _hot_spans(stretches: DataFrame, width: int) -> DataFrame:
+    """Spans of (h, sh, n, stretch) by counting the values of all strings, so that no anchor is one task's."""
+    strings = stretches.mapInArrow(partial(_strings, width=width), "h bigint, sh binary, n bigint, at int, v bigint, w bigint")
+    strings = materialise(strings, "hot-strings")
+    again = materialise(strings.groupBy("v", "w").agg(F.count("*").alias("times")).where("times > 1").select("v", "w"), "hot-again")
+    found = strings.where("n = 1").join(again, ["v", "w"]).groupBy("h", "sh").agg(F.collect_list("at").alias("at"))
+    return found.select("h", "sh", "at").mapInArrow(partial(_covered, width=width), "h bigint, sh binary, spans array<bigint>")
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -205,7 +251,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     Each byte covered by a string of `width` bytes that starts at two places or more, of
     any rows, is removed; strings are judged on the input. Null texts are empty; a
     repeated row repeats every string of it; an empty table gives no row. Removed bytes
-    may cut a character, so what is kept is binary.
+    may cut a character, so what is kept is binary. The strings of an anchor with over
+    HOT_STRETCHES different stretches are counted by value instead of sorted in one task.
     """
     rows = docs.select("doc_id", "text")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -218,10 +265,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     stretches = materialise(texts.mapInArrow(partial(_cut, width=width), "doc_id bigint, text_key bigint, h bigint, sh binary, first bigint, stretch binary"), "stretches")
     distinct = stretches.groupBy("h", "sh").agg(F.count("*").alias("n"), F.first("stretch", ignorenulls=True).alias("stretch"))
     distinct = materialise(distinct, "distinct")
-    sorted_ = distinct.repartition("h").sortWithinPartitions("h", "sh").select("h", "sh", "n", "stretch")
+    hot = materialise(distinct.groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > HOT_STRETCHES).select("h"), "hot-anchors")
+    any_hot = not hot.isEmpty()  # else the joins would only shuffle
+    cold = distinct.join(hot, "h", "left_anti") if any_hot else distinct
+    sorted_ = cold.repartition("h").sortWithinPartitions("h", "sh").select("h", "sh", "n", "stretch")
     partly = sorted_.mapInArrow(partial(_sort, width=width), "h bigint, sh binary, spans array<bigint>")
     whole = distinct.where("n > 1").select("h", "sh", F.array(F.lit(0).cast("bigint"), F.octet_length("stretch").cast("bigint")).alias("spans"))
     spans = whole.unionByName(partly)
+    if any_hot:
+        spans = spans.unionByName(_hot_spans(distinct.join(hot, "h", "left_semi").select("h", "sh", "n", "stretch"), width))
     pieces = stretches.select("doc_id", "text_key", "h", "sh", "first").join(spans, ["h", "sh"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "spans")).alias("pieces"))
     pieces = pieces.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "pieces")
     out = rows.withColumn("text_key", key).join(pieces, F.expr("text_key = k AND doc_id <=> d"), "left").select("doc_id", "text", "pieces")

@@ -194,6 +194,16 @@ def test_suffix_dedup(spark, edges, empty, monkeypatch):
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(spark, whole)).collect()) == brute_repeats(whole, 400)
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
+    rng = random.Random(8)
+    filler = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = filler(80)  # over 400 bytes, with other words around it in each text
+    rows = [(i, f"{filler(rng.randint(0, 120))} {passage} {filler(40)}") for i in range(40)] + [(40, None), (41, "z" * 900), (42, passage), (42, passage)]
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()) == brute_repeats(rows, 400)
+
+
 def test_toxicity_learns_sentences_from_documents(spark, edges, empty):
     clean = ["the meadow was quiet. birds sang over water", "nobody spoke a word. then rain fell"]
     texts = [clean[i % 2] + (". you filthy moron" if i % 3 == 0 else ". kind regards") for i in range(60)]
@@ -361,6 +371,22 @@ def test_trie_join_finds_all_pairs():
         assert got == set(zip(i[near].tolist(), j[near].tolist(), strict=True))
 
 
+def test_links_of_hot_bands_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 64, (1500, 4))
+    keys = np.unique(np.array([0xF0F0_1234_5678_9ABC ^ sum({1 << int(b) for b in row[: rng.integers(1, 5)]}) for row in bits], np.uint64))
+    table = spark.createDataFrame([(int(x),) for x in keys.view(np.int64)], "fp bigint")
+    i, j = np.triu_indices(len(keys), 1)
+    near = np.bitwise_count(keys[i] ^ keys[j]) <= 2
+    want = simhash._roots(len(keys), iter([(i[near], j[near])]))
+    at = {int(x): k for k, x in enumerate(keys.view(np.int64))}
+    for hot in (simhash.HOT_BAND, 3, 0):
+        monkeypatch.setattr(simhash, "HOT_BAND", hot)
+        pairs = [(at[r.u], at[r.v]) for r in simhash.links(table).collect()]
+        u, v = (np.array(x) for x in zip(*pairs, strict=True))
+        assert simhash._roots(len(keys), iter([(u, v)])).tolist() == want.tolist()
+
+
 def test_near_groups(spark, edges, empty):
     assert simhash.near_groups(empty).count() == 0
     base = [f"tok{i}" for i in range(400)]
