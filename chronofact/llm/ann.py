@@ -137,7 +137,7 @@ def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidat
 
     Vectors that are null, zero, or hold null or non-finite components take no part; of
     different dimensions the most frequent counts (ties: the smaller). Of rows with one
-    vec_id and the same vector one is taken, a vec_id is never its own neighbour. `probes`
+    vec_id the one with the least vector (by its components in order) is taken; a vec_id is never its own neighbour. `probes`
     is the share of the lists that a query reads, eight at least; a block sends the
     `from_block` best of a query, of all of which the best `candidates` are ranked exactly. Lists and the queries
     at a list are cut into blocks, so a list with a third of all rows is many tasks.
@@ -149,8 +149,13 @@ def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidat
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if dims is None:
         return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == dims.d).dropDuplicates(["vec_id"])
-    n = dims["count"]
+    rows = rows.where(F.size("v") == dims.d)
+    if rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        n = dims["count"]
+    else:
+        least = F.min(F.struct("v", "norm"))
+        rows = materialise(rows.groupBy("vec_id").agg(least.alias("x")).select("vec_id", "x.v", "x.norm"), "one-of-each-id")
+        n = rows.count()
     lists = max(1, min(MAX_LISTS, n // LIST_SIZE))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).repartition(1).sortWithinPartitions("vec_id")
     fitted = sample.mapInArrow(partial(_fit_rows, lists=lists, parts=parts), "model binary").collect()
