@@ -97,32 +97,41 @@ def fit(texts: list[str | None], langs: list[str]) -> dict:
     return {"names": names, "symbol": symbol.astype(np.int32), "k": k, "state": state, "cost": cost}
 
 
-def code_lengths(model: dict, texts: list[bytes]) -> np.ndarray:
-    """Bits of each whole text under each language, shape (texts, languages)."""
+def _look_up(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the cost table for each byte, starts) of texts that are not empty."""
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(x) for x in texts])
+    starts = np.cumsum(lengths) - lengths
+    k, s = model["k"], model["symbol"][b]
+    context = np.zeros(len(s), np.int32)
+    for back in range(ORDER, 0, -1):
+        context *= k
+        context[back:] += s[:-back] if back < len(s) else 0
+    for place in range(ORDER):  # places near a text's start: only its own symbols count
+        at = starts[lengths > place] + place
+        own = np.zeros(len(at), np.int64)
+        for back in range(place, 0, -1):
+            own = own * k + s[at - back]
+        context[at] = own
+    return model["state"][context].astype(np.int64) * k + s, starts
+
+
+def code_lengths(model: dict, texts: list[bytes], chunk: int = _CHUNK) -> np.ndarray:
+    """Bits of each whole text under each language, shape (texts, languages); about `chunk` bytes are looked up at once."""
     out = np.zeros((len(texts), len(model["names"])))
     lo = 0
-    while lo < len(texts):  # short texts go together, up to a few MB
+    while lo < len(texts):  # short texts go together
         hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _CHUNK):
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= chunk):
             size += len(texts[hi])
             hi += 1
-        filled = [i for i in range(lo, hi) if texts[i]]
-        if filled:
-            b = np.frombuffer(b"".join(texts[i] for i in filled), np.uint8)
-            lengths = np.array([len(texts[i]) for i in filled])
-            starts = np.cumsum(lengths) - lengths
-            k, s = model["k"], model["symbol"][b]
-            context = np.zeros(len(s), np.int32)
-            for back in range(ORDER, 0, -1):
-                context *= k
-                context[back:] += s[:-back] if back < len(s) else 0
-            for place in range(ORDER):  # places near a text's start: only its own symbols count
-                at = starts[lengths > place] + place
-                own = np.zeros(len(at), np.int64)
-                for back in range(place, 0, -1):
-                    own = own * k + s[at - back]
-                context[at] = own
-            index = model["state"][context].astype(np.int64) * k + s
+        if size > chunk:  # one long text, in parts that begin with the context of their first byte
+            for at in range(0, size, chunk):
+                before = min(ORDER, at)
+                index, _ = _look_up(model, [texts[lo][at - before : at + chunk]])
+                out[lo] += model["cost"][index[before:]].sum(0, dtype=np.float64)
+        elif filled := [i for i in range(lo, hi) if texts[i]]:
+            index, starts = _look_up(model, [texts[i] for i in filled])
             out[filled] = np.add.reduceat(model["cost"][index], starts, axis=0, dtype=np.float64)
         lo = hi
     return out

@@ -148,6 +148,8 @@ def test_language_model_by_hand_and_held_out(spark, edges, empty):
                 bits -= np.log2(p)
             got = language_id.code_lengths(model, [probe.encode()])[0, model["names"].index(lang)]
             assert got == pytest.approx(bits, rel=1e-4, abs=1e-3)
+    long = [b"the dog " * 9, b"", b"la chat und", b"x"]
+    assert np.allclose(language_id.code_lengths(model, long, chunk=7), language_id.code_lengths(model, long))
     raw = language_id._pack(model)
     assert language_id.identify(empty, raw).count() == 0
     rows = {r.doc_id: r for r in language_id.identify(edges, raw).collect()}
@@ -246,6 +248,8 @@ def test_nearest_neighbours(spark):
             assert [found[k][0] for k in range(1, 6)] == want
     assert hits >= 0.9 * 5 * len(got)
     assert ann.search(table.where("vec_id > 9000"), "true").count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.2]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, round(r.score, 6)) for r in ann.search(twice, "vec_id = 0").orderBy("rank").collect()] == [(1, 0.995037), (2, 0.0)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in ann.search(few, "vec_id = 0").orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
