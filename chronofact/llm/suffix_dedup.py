@@ -30,8 +30,8 @@ _BASE = 0x9E3779B97F4A7C15
 _AT_ONCE = 4 << 20
 #: Bytes of stretches that a shard sorts at once: whole anchors together; one anchor may exceed it and spills.
 SORT_BYTES = 6 << 20
-#: An anchor with more different stretches than this is no task's: its strings are counted by their values, dealt over all tasks.
-HOT_STRETCHES = 10_000
+#: An anchor with more different stretches than this (a quarter of SORT_BYTES) is no task's: its strings are counted by their values, dealt over all tasks.
+HOT_STRETCHES = 2_500
 _BASES = (_BASE, 0xD6E8FEB86659FD93)
 
 
