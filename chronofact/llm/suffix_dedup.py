@@ -29,9 +29,11 @@ _BASE = 0x9E3779B97F4A7C15
 #: Bytes of texts that are hashed at once; places take 24 bits beside 40 bits of hash.
 _AT_ONCE = 4 << 20
 #: Bytes of stretches that a shard sorts at once: whole anchors together; one anchor may exceed it and spills.
-SORT_BYTES = 6 << 20
-#: An anchor with more different stretches than this (a quarter of SORT_BYTES) is no task's: its strings are counted by their values, dealt over all tasks.
+SORT_BYTES = 4 << 20
+#: An anchor with more different stretches than this is no task's: its strings are counted by their values, dealt over all tasks.
 HOT_STRETCHES = 2_500
+#: Neighbouring strings that are first counted by their common bytes, and stretches that are worked on at once.
+STEP, _ROWS = 16, 200
 _BASES = (_BASE, 0xD6E8FEB86659FD93)
 
 
@@ -174,28 +176,54 @@ def _sort(batches: Iterator[pa.RecordBatch], *, width: int, at_once: int = SORT_
         yield from close()
 
 
-_STRING = pa.schema([("h", pa.int64()), ("sh", pa.binary()), ("n", pa.int64()), ("at", pa.int32()), ("v", pa.int64()), ("w", pa.int64())])
+_VALUE = pa.schema([("h", pa.int64()), ("sh", pa.binary()), ("n", pa.int64()), ("anchor", pa.int64()), ("at", pa.int64()), ("v", pa.int64()), ("w", pa.int64())])
+_VALUE_DDL = "h bigint, sh binary, n bigint, anchor bigint, at bigint, v bigint, w bigint"
+
+
+def _values(part: pa.RecordBatch, raw: list[bytes], of: np.ndarray, anchor: np.ndarray, at: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
+    """A row for each substring of `length` bytes from `start` in stretch `of`, with its two polynomial values."""
+    text, size, values = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw]), []
+    start = start + (np.cumsum(size) - size)[of]
+    for base in _BASES:
+        sums, inverse = prefix_values(text, base)
+        values.append(pa.array(((sums[start + length] - sums[start]) * inverse[start]).view(np.int64)))
+    own = [part.column(j).take(pa.array(of)) for j in range(3)]
+    return pa.RecordBatch.from_arrays([*own, pa.array(anchor), pa.array(at), *values], schema=_VALUE)
+
+
+def _cores(batches: Iterator[pa.RecordBatch], *, width: int, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
+    """Of each stretch the common bytes of STEP neighbouring strings, counted from the anchor: strings whose common bytes are single are too."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(lo, _ROWS)
+            raw = part.column(3).to_pylist()
+            of, anchor, at = [], [], []
+            for i, x in enumerate(raw):
+                sums, inverse = prefix_values(np.frombuffer(x, np.uint8), _BASE)
+                n = len(x) - gram + 1
+                a = int((_mix((sums[gram:] - sums[:n]) * inverse[:n]) & ~np.uint64(0xFFFFFF)).argmin())
+                blocks = range(-a // STEP, (len(x) - width - a) // STEP + 1)
+                of += [i] * len(blocks)
+                anchor += [a] * len(blocks)
+                at += blocks
+            of, anchor, at = (np.array(c, np.int64) for c in (of, anchor, at))
+            yield _values(part, raw, of, anchor, at, anchor + STEP * at + STEP - 1, width - STEP + 1)
 
 
 def _strings(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each string of the stretches of hot anchors: where it starts and its two polynomial values."""
+    """The strings of the blocks that are left: `at` is where they start in the stretch."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
+        for lo in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(lo, _ROWS)
             raw = part.column(3).to_pylist()
-            text, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
-            if not len(size):
-                continue
-            of = np.repeat(np.arange(len(raw)), size - width + 1)
-            first = np.cumsum(size) - size
-            n_before = np.cumsum(size - width + 1) - (size - width + 1)
-            at = np.arange(len(of)) - n_before[of]
-            start, values = first[of] + at, []
-            for base in _BASES:
-                sums, inverse = prefix_values(text, base)
-                values.append(pa.array(((sums[start + width] - sums[start]) * inverse[start]).view(np.int64)))
-            own = [part.column(j).take(pa.array(of)).cast(t) for j, t in zip((0, 1, 2), _STRING.types, strict=False)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), *values], schema=_STRING)
+            of, anchor, at = [], [], []
+            for i, (x, a, blocks) in enumerate(zip(raw, part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                found = [p for b in blocks for p in range(max(0, a + STEP * b), min(len(x) - width, a + STEP * b + STEP - 1) + 1)]
+                of += [i] * len(found)
+                anchor += [a] * len(found)
+                at += found
+            of, anchor, at = (np.array(c, np.int64) for c in (of, anchor, at))
+            yield _values(part, raw, of, anchor, at, at, width)
 
 
 def _covered(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
@@ -209,10 +237,18 @@ def _covered(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.Re
 
 
 def _hot_spans(stretches: DataFrame, width: int) -> DataFrame:
-    """Spans of (h, sh, n, stretch) by counting the values of all strings, so that no anchor is one task's."""
-    strings = stretches.mapInArrow(partial(_strings, width=width), "h bigint, sh binary, n bigint, at int, v bigint, w bigint")
-    strings = materialise(strings, "hot-strings")
-    again = materialise(strings.groupBy("v", "w").agg(F.count("*").alias("times")).where("times > 1").select("v", "w"), "hot-again")
+    """Spans of (h, sh, n, stretch) by the values of strings, so that no anchor is one task's.
+
+    Equal strings lie at the same place relative to their anchor. First the common bytes of
+    each block of STEP places are counted, then the strings of those blocks that recur.
+    """
+    stretches = materialise(stretches, "hot-stretches")
+    cores = materialise(stretches.mapInArrow(partial(_cores, width=width), _VALUE_DDL), "hot-cores")
+    again = materialise(cores.groupBy("at", "v", "w").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-recurring")
+    live = cores.join(again, ["at", "v", "w"]).groupBy("h", "sh").agg(F.first("anchor").alias("anchor"), F.collect_list("at").alias("blocks"))
+    left = stretches.join(live, ["h", "sh"]).select("h", "sh", "n", "stretch", "anchor", "blocks")
+    strings = materialise(left.mapInArrow(partial(_strings, width=width), _VALUE_DDL), "hot-strings")
+    again = materialise(strings.groupBy("v", "w").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-again")
     found = strings.where("n = 1").join(again, ["v", "w"]).groupBy("h", "sh").agg(F.collect_list("at").alias("at"))
     return found.select("h", "sh", "at").mapInArrow(partial(_covered, width=width), "h bigint, sh binary, spans array<bigint>")
 
