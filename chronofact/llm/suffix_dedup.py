@@ -27,7 +27,7 @@ from .suffix_sort import prefix_values, repeated_starts
 WIDTH, GRAM = 400, 64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of texts that are hashed at once; places take 24 bits beside 40 bits of hash.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 1 << 20
 #: Bytes of stretches that a shard sorts at once: whole anchors together; one anchor may exceed it and spills.
 SORT_BYTES = 4 << 20
 #: An anchor with more different stretches than this is no task's: its strings are counted by their values, dealt over all tasks.
