@@ -30,9 +30,21 @@ ROLE = {"assign": "secret", "hex": "secret", "access": "id", "account": "id", "e
 #: Complementary roles: a weak kind counts where one of these lies in its scope.
 NEEDS = {"account": ("secret",), "endpoint": ("secret",), "opaque": ("id", "place")}
 SCOPE = 300
+#: Entries of a list of spans that are worked on at once.
+PART = 256
 KINDS = [*BASE, *WEAK]
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with `value` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(items: Column) -> Column:
+    """The array in parts of PART entries: work that grows with the square of a list's length is done inside parts only."""
+    return _once(items, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART)), lambda i: F.slice(v, (i * PART + 1).cast("int"), F.lit(PART))))
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """Spans of all matches, in code points: lengths of what lies between them and of the matches add up.
 
@@ -42,13 +54,17 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     both = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"), b.alias("match")))
-    both = F.slice(both, F.lit(1), F.size(found))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    parts = _parts(F.slice(both, F.lit(1), F.size(found)))
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     step = lambda s, x: F.struct(
         (s["at"] + x["gap"] + x["size"]).alias("at"),
         F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["match"].alias("match")))).alias("out"),
     )
-    spans = F.aggregate(both, start, step, lambda s: s["out"])
+    # What a step returns is copied whole, so the spans of earlier parts are not in it.
+    own = lambda s, part: F.aggregate(part, F.struct(s["at"].alias("at"), none.alias("out")), step)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,match:string>>>").alias("done"))
+    part_step = lambda s, part: _once(own(s, part), lambda r: F.struct(r["at"].alias("at"), F.concat(s["done"], F.array(r["out"])).alias("done")))
+    spans = F.aggregate(parts, start, part_step, lambda s: F.flatten(s["done"]))
     if kind == "assign":
         spans = F.filter(spans, lambda x: F.length(F.regexp_extract(x["match"], pattern, 2)) >= 6)
     out = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
@@ -103,12 +119,21 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
     """
     found = scan(docs, scope).where(F.size("base") + F.size("linked") > 0).select(F.col("doc_id").alias("f_id"), "text_key", F.array_sort(F.concat("base", "linked")).alias("found")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     # Each step writes what lies before the span; a span that begins in the one before only prolongs it.
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"))
-    )
-    clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    # A part of the spans is worked on in its own stretch of the text (`seg`, which begins at `base`).
+    def step(s, x):
+        to = F.greatest(s["at"], x["end"])
+        before = F.substring(s["seg"], s["at"] - s["base"] + 1, x["start"] - s["at"])
+        out = F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], before, F.lit(mark)))
+        return F.struct(to.alias("at"), out.alias("out"), s["seg"].alias("seg"), s["base"].alias("base"))
+
+    def part_step(s, part):
+        to = F.greatest(s["at"], F.array_max(F.transform(part, lambda x: x["end"])))
+        begin = F.struct(s["at"].alias("at"), F.lit("").alias("out"), F.substring(text, s["at"] + 1, to - s["at"]).alias("seg"), s["at"].alias("base"))
+        return F.struct(to.alias("at"), F.concat(s["out"], F.aggregate(part, begin, step, lambda r: r["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(_parts(F.col("found")), start, part_step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     joined = docs.withColumn("__key", F.xxhash64(text)).join(found, F.expr("doc_id <=> f_id AND __key = text_key"), "left")
     joined = joined.withColumn("text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

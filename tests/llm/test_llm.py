@@ -436,3 +436,17 @@ def test_pipeline_stage_edges(spark, edges, empty):
             docs = stage(spark, docs, SF)
             assert docs.columns == edges.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_secrets_of_texts_with_many_spans(spark):
+    piece = ["token=abcdef12 ", "AKIA" + "ABCDEFGH" * 2 + " ", "é 😀 ", "0123456789abcdef" * 2 + " ", "secret: abc ", "user: bobby ", "password=AKIA" + "B" * 18 + " "]
+    texts = [(n, "".join(piece[(i * i + n) % 7] for i in range(n))) for n in (1, 255, 256, 257, 1500)]
+    rows = docs_of(spark, texts)
+    out, masked = ({r.doc_id: r for r in x.collect()} for x in (secrets.report(rows), secrets.redact(rows)))
+    for i, t in texts:
+        named = ",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in base_spans(t))
+        assert out[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest(), i
+        want, at = "", 0
+        for a, _, b in sorted((int(a), k, int(b)) for k, a, b in (x.split(":") for x in out[i].spans.split(",") if x)):
+            want, at = (want, max(at, b)) if a < at else (want + t[at:a] + "[SECRET]", b)
+        assert masked[i].text == want + t[at:]
