@@ -37,10 +37,14 @@ class Engine:
         links = audit.build(audit.payloads(new)) if head is None else audit.build_from(audit.payloads(new), head)
         L.append(links, f"{self.path}/audit", S.AUDIT)
 
-    def edges(self) -> DataFrame:
-        """Edges of subjects that are not forgotten, with their place in the log."""
-        log = self.log()
-        return project.without_forgotten(project.fold(log), log.where(F.col("op") == S.FORGOTTEN)).withColumnRenamed("pos", "seq")
+    def edges(self, upto: int | None = None) -> DataFrame:
+        """Edges of subjects that are not forgotten, with their place in the log.
+
+        `upto` gives the state after that event; tombstones count whenever they came.
+        """
+        whole = self.log()
+        log = whole if upto is None else whole.where(F.col("seq") <= upto)
+        return project.without_forgotten(project.fold(log), whole.where(F.col("op") == S.FORGOTTEN)).withColumnRenamed("pos", "seq")
 
     def add(self, text: str, subject_id: str | None = None, valid_from: str | None = None, source_ref: str | None = None) -> str:
         """Record one message: its episode, the facts in it, and what they supersede."""
@@ -117,7 +121,14 @@ class Engine:
         if dry_run:
             return erase.sign(cert, None)
         self._append(self.spark.createDataFrame([(S.FORGOTTEN, subject_id, requested_by, now, 0)], "op string, subject_id string, requested_by string, recorded_at timestamp, __order int"))
-        return erase.sign(cert, self.root_key)
+        signed = erase.sign(cert, self.root_key)
+        row = self.spark.createDataFrame([tuple(signed.get(f.name) if f.name != "issued_at" else now for f in S.CERTIFICATE)], S.CERTIFICATE)
+        L.append(row, f"{self.path}/certificate", S.CERTIFICATE)
+        return signed
+
+    def certificates(self) -> DataFrame:
+        """Certificates of the erasures so far, oldest first."""
+        return L.read(self.spark, f"{self.path}/certificate", S.CERTIFICATE).orderBy("issued_at")
 
     def is_forgotten(self, subject_id: str) -> bool:
         return not self.log().where((F.col("op") == S.FORGOTTEN) & (F.col("subject_id") == subject_id)).isEmpty()
@@ -128,6 +139,12 @@ class Engine:
     def verify_audit(self, deep: bool = False):
         return (audit.verify_deep(self.log(), self.entries()) if deep else audit.verify_links(self.entries())).head()
 
-    def evidence(self):
-        log = self.log()
-        return erase.evidence(audit.verify_links(self.entries()), erase.register(log.where(F.col("op") == S.FORGOTTEN), self.edges())).head()
+    def erasures(self) -> DataFrame:
+        """The last request for each subject, checked again now, in the order of requests."""
+        return erase.register(self.log().where(F.col("op") == S.FORGOTTEN), self.edges()).orderBy("recorded_at")
+
+    def evidence(self, deep: bool = False):
+        links = audit.verify_links(self.entries())
+        if deep:
+            links = audit.verify_deep(self.log(), self.entries()).join(links.select("head"))  # two single rows
+        return erase.evidence(links, self.erasures()).head()

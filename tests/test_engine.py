@@ -147,3 +147,28 @@ def test_governed_store():
         receipt, _ = g.forget("u1")
         assert (receipt.complete, receipt.verified) == want and ledger.said[-1] == "forget"
     assert [govern.is_present(x) for x in (None, {}, {"results": []}, {"results": [1]}, [], [0], "x", {"other": 1})] == [False, False, False, True, False, True, True, True]
+
+
+def test_commands_certificates_and_snapshots(spark, tmp_path, capsys):
+    import json
+
+    from chronofact import cli
+
+    m = Engine(spark, str(tmp_path / "store"), root_key=b"k" * 32)
+    m.add("I live in Delhi.", "u1", "2020-01-01")
+    before = m.log().count()
+    m.add("I moved to Berlin.", "u1", "2021-01-01")
+    m.add("I'm Ravi.", "u2", "2021-01-01")
+    assert [(r.object, r.alive) for r in m.edges(upto=before).collect()] == [("Delhi", True)]
+    assert cli.main([], m) == 2 and cli.main(["verify", "--deep"], m) == 0
+    assert cli.main(["verify", "--user", "u1"], m) == 1  # nothing is erased yet
+    cert = m.forget("u1")
+    assert m.edges(upto=before).count() == 0
+    kept = m.certificates().head()
+    assert kept.certificate_id == cert["certificate_id"] and kept.signature == cert["signature"] and kept.facts_deleted == 2
+    assert cli.main(["verify", "--user", "u1"], m) == 0 and cli.main(["verify", "--user", "u2"], m) == 1
+    assert cli.main(["evidence", "--out", str(tmp_path / "out"), "--deep"], m) == 0
+    bundle = json.loads((tmp_path / "out" / "evidence.json").read_text())
+    assert bundle["ok"] and [e["subject_id"] for e in bundle["register"]] == ["u1"] and len(bundle["certificates"]) == 1
+    assert "u1" in (tmp_path / "out" / "EVIDENCE.md").read_text()
+    assert "erased" in capsys.readouterr().out
