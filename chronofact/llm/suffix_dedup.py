@@ -98,8 +98,8 @@ def _find(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.Recor
             raw = (text or "").encode("utf-8", "surrogatepass")
             if len(raw) < width:
                 continue
-            if len(raw) > _AT_ONCE:  # a very long text in overlapping parts: each string lies in one of them
-                for lo in range(0, len(raw) - width + 1, _AT_ONCE - width):
+            if len(raw) > _AT_ONCE:  # a very long text in parts that share width - 1 bytes: each string lies in one of them
+                for lo in range(0, len(raw) - width + 1, _AT_ONCE - width + 1):
                     part = raw[lo : lo + _AT_ONCE]
                     _, h, first, last = anchors([part], width)
                     n = len(h)

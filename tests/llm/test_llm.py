@@ -196,6 +196,27 @@ def test_suffix_dedup(spark, edges, empty, monkeypatch):
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(spark, whole)).collect()) == brute_repeats(whole, 400)
 
 
+@pytest.mark.parametrize("size", [2000, 2001, 3601, 3602, 9000])
+def test_each_string_of_a_long_text_has_one_anchor(monkeypatch, size):
+    import pyarrow as pa
+
+    text = random.Random(size).randbytes(size).hex()[:size]
+    whole = suffix_dedup.anchors([text.encode()])
+    monkeypatch.setattr(suffix_dedup, "_AT_ONCE", 2000)  # seen here: this is the driver's process
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    found = [r for b in suffix_dedup._find(iter([batch]), width=400) for r in b.to_pylist()]
+    got = [(p, r["h"]) for r in found for p in range(r["first"], r["last"] + 1)]
+    assert sorted(got) == [(p, h) for _, h, a, b in zip(*(c.tolist() for c in whole), strict=True) for p in range(a, b + 1)]
+    assert [p for p, _ in sorted(got)] == list(range(size - 399))
+
+
+def test_suffix_dedup_keeps_unique_bytes_of_long_texts(spark):
+    text = random.Random(6).randbytes(1_100_000).hex()  # three parts, nothing twice
+    rows = [(1, text), (2, "short"), (3, "q" + text[1_048_000:1_048_500])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    assert got == {1: (500, 1), 2: (0, 0), 3: (500, 1)}
+
+
 @pytest.mark.parametrize("hot", [0, 2])
 def test_suffix_dedup_of_hot_anchors(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
