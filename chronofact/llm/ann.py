@@ -2,8 +2,10 @@
 
 The quantisers are fitted on a bounded sample and broadcast (their size is set by
 parameters, not by the data); every vector is indexed. A query reads the lists of its
-nearest centroids by asymmetric distance tables, block by block; the best candidates
-are ranked again by their exact cosine on the original vectors.
+nearest centroids by asymmetric distance tables, block by block. The length of what a
+code leaves out is kept with it, so a distance table bounds the true distance: every
+row of a block that can be among the k nearest is ranked by its exact cosine on the
+original vector, and a block loses no neighbour, however many lie close together.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from .toxicity import _Held
 #: Vectors that the quantisers are fitted on, at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
 LIST_SIZE, MAX_LISTS, WORDS = 2_000, 4_096, 256
-BLOCK, QUERY_BLOCK = 4_096, 512
+BLOCK, QUERY_BLOCK = 4_096, 4_096
+#: Rounding of squared distances and cosines of unit vectors.
+SLACK = 1e-11
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,6 +89,17 @@ def _model(held) -> dict:
     return _models[held.id]
 
 
+def _pack(v: np.ndarray) -> list[bytes]:
+    """The components of each row, in four bytes each where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return [(x if same else y).tobytes() for x, y, same in zip(short, v.astype("<f8"), (short == v).all(1), strict=True)]
+
+
+def _unpack(raw: list[bytes], d: int) -> np.ndarray:
+    return np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * d else "<f8") for x in raw]).astype(float)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], *, held) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -92,7 +107,9 @@ def _encode(batches: Iterator[pa.RecordBatch], *, held) -> Iterator[pa.RecordBat
             own = _nearest(x, m["coarse"])
             rest = x - m["coarse"][own]
             codes = np.stack([_nearest(rest[:, a:z], book) for a, z, book in zip(m["cuts"][:-1], m["cuts"][1:], m["books"], strict=True)], 1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list_id", "vec_id", "code"])
+            error = np.sqrt(sum(((rest[:, a:z] - book[codes[:, j]]) ** 2).sum(1) for j, (a, z, book) in enumerate(zip(m["cuts"][:-1], m["cuts"][1:], m["books"], strict=True))))
+            raw = _pack(np.stack(b.column("v").to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(raw, pa.binary()), b.column("norm")], names=["list_id", "vec_id", "code", "error", "raw", "norm"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch], *, held, sizes, probes: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -107,39 +124,62 @@ def _probe(batches: Iterator[pa.RecordBatch], *, held, sizes, probes: int, least
             keep = np.arange(order.shape[1])[None] < take[:, None]
             row, _ = np.nonzero(keep)
             lists = order[keep].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), b.column("vec_id").take(pa.array(row)), pa.array(list(x[row]), pa.list_(pa.float64()))], names=["list_id", "query_id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists), b.column("vec_id").take(pa.array(row)), b.column("v").take(pa.array(row)), b.column("norm").take(pa.array(row))], names=["list_id", "query_id", "q", "q_norm"])
+
 
+def _scan(index: pa.Table, queries: pa.Table, held, k: int) -> pa.Table:
+    """The k nearest rows of a block for each query, by exact cosine; ties go to the smaller id.
 
-def _scan(index: pa.Table, queries: pa.Table, held, candidates: int) -> pa.Table:
-    """Asymmetric distances of a block's codes to each query, and the query's best candidates here."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
+    The asymmetric distance is off by the row's `error` at most. The k-th exact distance of
+    the rows nearest by it bounds the k-th of the block; only rows whose least possible
+    distance is beyond that are left out.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not index.num_rows or not queries.num_rows:
         return schema.empty_table()
     m = _model(held)
     centre = m["coarse"][index.column("list_id")[0].as_py()]
-    ids = index.column("vec_id").to_numpy()
-    by_id = np.argsort(ids, kind="stable")  # ties go to the smaller id
-    ids, codes = ids[by_id], np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[by_id]
-    out = []
-    for qid, q in zip(queries.column("query_id").to_pylist(), queries.column("q").to_numpy(), strict=True):
-        rest, distance = q - centre, np.zeros(len(ids))
+    ids, error, norm = (index.column(c).to_numpy() for c in ("vec_id", "error", "norm"))
+    codes = np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+    v = _unpack(index.column("raw").to_pylist(), len(centre))
+    unit, columns, out = v / norm[:, None], np.ascontiguousarray(v.T), []
+    for qid, q, q_norm in zip(queries.column("query_id").to_pylist(), queries.column("q").to_numpy(), queries.column("q_norm").to_numpy(), strict=True):
+        own, squares = q / q_norm, np.zeros(len(ids))
+        rest = own - centre
         for j, (a, z, book) in enumerate(zip(m["cuts"][:-1], m["cuts"][1:], m["books"], strict=True)):
-            distance += ((book - rest[a:z]) ** 2).sum(1)[codes[:, j]]
+            squares += ((book - rest[a:z]) ** 2).sum(1)[codes[:, j]]
+        distance = np.sqrt(squares)
         distance[ids == qid] = np.inf
-        best = np.argsort(distance, kind="stable")[:candidates]
-        best = best[np.isfinite(distance[best])]
-        out.append((np.full(len(best), qid), ids[best], distance[best]))
+        if np.isfinite(distance).sum() > k:
+            first = np.argpartition(distance, k - 1)[:k]
+            reach = ((unit[first] - own) ** 2).sum(1).max()
+            near = np.flatnonzero(np.maximum(distance - error, 0) ** 2 <= reach + SLACK)
+        else:
+            near = np.flatnonzero(np.isfinite(distance))
+        cosine = (unit if 2 * len(near) > len(ids) else unit[near]) @ own
+        cosine = cosine[near] if len(cosine) != len(near) else cosine
+        if len(near) > k:
+            left = cosine >= np.partition(cosine, -k)[-k] - SLACK
+            near, cosine = near[left], cosine[left]
+        dot = np.zeros(len(near))  # in the order of components, so that equal vectors have equal scores
+        for x, y in zip(columns, q, strict=True):
+            dot += x[near] * y
+        with np.errstate(all="ignore"):
+            score = dot / (norm[near] * q_norm)
+        score = np.where(np.isfinite(score), score, cosine)
+        best = np.lexsort((ids[near], -score))[:k]
+        out.append((np.full(len(best), qid), ids[near[best]], score[best]))
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
 
-def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidates: int = 200, from_block: int = 24, probes: float = 0.8) -> DataFrame:
+def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, probes: float = 0.8) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine of the rows where `queries` holds, against all others.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; of
     different dimensions the most frequent counts (ties: the smaller). Of rows with one
     vec_id the one with the least vector (by its components in order) is taken; a vec_id is never its own neighbour. `probes`
-    is the share of the lists that a query reads, eight at least; a block sends the
-    `from_block` best of a query, of all of which the best `candidates` are ranked exactly. Lists and the queries
+    is the share of the lists that a query reads, eight at least; of those lists the result
+    is exact: each block sends its k nearest by cosine. Lists and the queries
     at a list are cut into blocks, so a list with a third of all rows is many tasks.
     Too few rows give fewer neighbours; no usable row gives no result.
     """
@@ -160,24 +200,18 @@ def search(vectors: DataFrame, queries, *, k: int = 5, parts: int = 16, candidat
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).repartition(1).sortWithinPartitions("vec_id")
     fitted = sample.mapInArrow(partial(_fit_rows, lists=lists, parts=parts), "model binary").collect()
     held = _Held(spark, bytes(fitted[0].model))
-    index = materialise(rows.mapInArrow(partial(_encode, held=held), "list_id int, vec_id bigint, code binary"), "index")
+    index = materialise(rows.mapInArrow(partial(_encode, held=held), "list_id int, vec_id bigint, code binary, error double, raw binary, norm double"), "index")
     # One number for each list, at most MAX_LISTS.
     size_of = {r.list_id: r["count"] for r in index.groupBy("list_id").count().collect()}
     sizes = spark.sparkContext.broadcast(np.array([size_of.get(i, 0) for i in range(max(lists, max(size_of) + 1))]))
     asked = rows.where(queries)
-    probed = asked.mapInArrow(partial(_probe, held=held, sizes=sizes, probes=max(8, round(lists * probes)), least=20 * k), "list_id int, query_id bigint, q array<double>")
+    probed = asked.mapInArrow(partial(_probe, held=held, sizes=sizes, probes=max(8, round(lists * probes)), least=20 * k), "list_id int, query_id bigint, q array<double>, q_norm double")
     blocks = spark.createDataFrame([(i, -(-c // BLOCK)) for i, c in size_of.items()], "list_id int, blocks int")
     n_asked = asked.count()
     query_blocks = max(1, -(-n_asked // QUERY_BLOCK))  # of every list: bounded whatever the lists' shares are
-    probed = probed.join(F.broadcast(blocks), "list_id").select("list_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("query_id"), query_blocks).alias("qblock"), "query_id", "q")
-    coded = index.join(F.broadcast(blocks), "list_id").select("list_id", F.pmod(F.hash("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qblock"), "vec_id", "code")
+    probed = probed.join(F.broadcast(blocks), "list_id").select("list_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("query_id"), query_blocks).alias("qblock"), "query_id", "q", "q_norm")
+    coded = index.join(F.broadcast(blocks), "list_id").select("list_id", F.pmod(F.hash("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qblock"), "vec_id", "code", "error", "raw", "norm")
     keys = ["list_id", "block", "qblock"]
-    found = coded.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInArrow(partial(_scan, held=held, candidates=max(k, from_block)), "query_id bigint, vec_id bigint, distance double")
-    near = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    found = found.withColumn("at", F.row_number().over(near)).where(F.col("at") <= candidates).select("query_id", "vec_id")
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
-    exact = found.join(rows, "vec_id").join(q, "query_id")
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    ranked = exact.select("query_id", "vec_id", (dot / (F.col("norm") * F.col("q_norm"))).alias("score"))
+    found = coded.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInArrow(partial(_scan, held=held, k=k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

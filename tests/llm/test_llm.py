@@ -275,6 +275,20 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in ann.search(few, "vec_id = 0").orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+def test_near_copies_are_all_ranked(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(40, 32)), 100, 0) + 0.05 * rng.normal(size=(4000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit, got = x / np.linalg.norm(x, axis=1)[:, None], {}
+    for r in ann.search(table, "vec_id % 50 = 0").collect():  # two lists, so every query reads all
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert sorted(got) == list(range(0, 4000, 50))
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        assert [found[k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
 def base_spans(t):
     t, found = t or "", []
     for m in re.finditer(r'(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', t, re.A):
