@@ -1,16 +1,21 @@
-"""Toxicity by multiple-instance learning: sentences scored, joined by noisy-or, trained from document labels."""
+"""Toxicity by multiple-instance learning: sentences scored, joined by noisy-or, trained from document labels.
+
+A word is seen by its whole form and its beginnings, runs of a script without blanks
+also by their pairs and triples of letters. Features are hashed into BUCKETS weights
+of either sign, so no word is too short, too long or too rare to have one.
+"""
 
 from __future__ import annotations
 
 import math
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,86 +23,140 @@ from .common import crc_mod, map_rows
 
 #: The classifier is fitted on at most so many labelled documents, those with the smallest hashes of their ids.
 SAMPLE_DOCS = 20_000
-#: Features are the first letters of words; at most so many are kept, by the certainty of their odds.
-PREFIXES = (4, 5, 6)
-MAX_FEATURES = 3_000
-MIN_DOCS = 4
+BUCKETS = 1 << 20
+#: Beginnings of words that are features beside the whole word.
+PREFIXES = (2, 3, 4, 5, 6, 7, 8)
+#: A bucket is learned if its log odds are so many standard deviations from 0.
+CERTAIN = 3.0
+ROUNDS = 300
 CACHE_WORDS = 200_000
-_SENTENCE = re.compile(r"[^.!?\n]+")
-_WORD = re.compile(r"[^\W\d_]{4,}")
+_SENTENCE = re.compile(r"[^.!?\n。！？]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that are written without blanks between words: Thai to Myanmar, Khmer, kana, han.
+_UNPARTED = re.compile("[฀-႟ក-៿぀-ヿ㐀-鿿\U00020000-\U0003ffff]")
 
 
-def _features(word: str) -> list[str]:
-    return [word[:k] for k in PREFIXES if len(word) >= k]
+def _buckets(word: str) -> np.ndarray:
+    """Different buckets of a lower-case word, ascending."""
+    found = {"=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)}
+    if _UNPARTED.search(word):
+        found |= {"~" + word[i : i + k] for k in (1, 2, 3) for i in range(len(word) - k + 1)}
+    return np.array(sorted({xxhash.xxh64_intdigest(f) % BUCKETS for f in found}), np.int64)
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> dict:
-    """A model {bias, weights}: document probability 1 - prod(1 - p(sentence)), by gradient ascent on the labels.
+class _Sample:
+    """Labelled texts as numbers: only the different words of each sentence are held, not the texts."""
 
-    Sentences without a feature count as clean. Without both labels no feature is kept
-    and every score is that of the empty text.
-    """
-    y = np.array(toxic, float)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(texts, toxic, strict=True):
-        seen[1 if label else 0].update({f for w in set(_WORD.findall((text or "").lower())) for f in _features(w)})
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    # Lower end of the log odds' interval: sure signs of either rare or frequent words.
-    ranked = []
-    for f, a in seen[1].items():
-        if a >= MIN_DOCS:
-            b = seen[0].get(f, 0)
-            odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-            if (low := odds - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) > 0:
-                ranked.append((-low, f))
-    names = {f: i for i, (_, f) in enumerate(sorted(ranked)[:MAX_FEATURES])} if y.any() and not y.all() else {}
-    doc, sent, feat, n_sent = [], [], [], 0
-    for d, text in enumerate(texts):
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.words, self.sizes, self.sentences, self.labels = [], [], [], []
+
+    def add(self, text: str | None, label: int) -> None:
+        n = 0
         for s in _SENTENCE.findall((text or "").lower()):
-            if found := {names[f] for w in _WORD.findall(s) for f in _features(w) if f in names}:
-                doc.append(d)
-                sent += [n_sent] * len(found)
-                feat += found
-                n_sent += 1
-    doc, sent, feat = np.array(doc, int), np.array(sent, int), np.array(feat, int)
-    w, bias = np.full(len(names), 0.5), -3.0
-    g2, gb2 = np.full(len(names), 1e-8), 1e-8
-    for _ in range(300 if n_sent else 0):
-        z = bias + np.bincount(sent, w[feat], n_sent)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the product
-        whole = -np.expm1(clean)
-        # d log-likelihood / dz of a sentence: p for a toxic document weighted by (1 - P)/P, -p for a clean one.
-        factor = np.where(y > 0, np.exp(clean) / np.maximum(whole, 1e-9), -1.0)
-        gz = p * factor[doc] / len(y)
-        gw = np.bincount(feat, gz[sent], len(names)) - 1e-6 * w
-        gb = gz.sum()
-        g2, gb2 = g2 + gw**2, gb2 + gb**2
-        w, bias = w + 0.3 * gw / np.sqrt(g2), bias + 0.3 * gb / math.sqrt(gb2)
-    return {"bias": float(bias), "weights": {f: float(w[i]) for f, i in names.items()}}
+            if found := sorted({self.names.setdefault(w, len(self.names)) for w in _WORD.findall(s)}):
+                self.words.append(np.array(found, np.int32))
+                self.sizes.append(len(found))
+                n += 1
+        self.sentences.append(n)
+        self.labels.append(int(bool(label)))
+
+    def fit(self) -> dict:
+        """{bias, weights}: a document's probability is 1 - prod(1 - p(sentence)); by gradient ascent on the labels.
+
+        Sentences without a word of non-zero evidence count as clean. Without both labels
+        no weight is learned and every score is that of the empty text.
+        """
+        y, n_docs = np.array(self.labels, float), len(self.labels)
+        none = {"bias": -3.0, "weights": np.zeros(BUCKETS, np.float32)}
+        if not self.words or not y.any() or y.all():
+            return none
+        word, doc = np.concatenate(self.words), np.repeat(np.arange(n_docs), self.sentences)
+        sent = np.repeat(np.arange(len(doc)), self.sizes)
+        each = [_buckets(w) for w in self.names]
+        owner, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
+        # Documents of either label that have a bucket: each counts once.
+        pairs = np.unique(doc[sent].astype(np.int64) * len(each) + word)
+        in_doc, in_word = np.divmod(pairs, len(each))
+        first = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        seen = np.zeros((2, BUCKETS))
+        cuts = np.unique(np.searchsorted(in_doc, in_doc[:: 1 << 20]))  # whole documents together
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(pairs)), strict=True):
+            w, d = in_word[lo:hi], in_doc[lo:hi]
+            size = first[w + 1] - first[w]
+            at = np.repeat(first[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            once = np.unique(np.repeat(d, size) * BUCKETS + bucket[at])
+            for label in (0, 1):
+                seen[label] += np.bincount(once[y[once // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+        total = np.array([n_docs - y.sum(), y.sum()])[:, None]
+        odds = np.diff(np.log((seen + 0.5) / (total + 1)), axis=0)[0]
+        spread = np.sqrt((1 / (seen + 0.5)).sum(0))
+        weight = np.sign(odds) * np.maximum(np.abs(odds) - CERTAIN * spread, 0) / 2
+        active = np.flatnonzero(weight)
+        number = np.full(BUCKETS, -1)
+        number[active] = np.arange(len(active))
+        live = number[bucket] >= 0
+        owner, feat = owner[live], number[bucket[live]]
+        known = np.zeros(len(each), bool)
+        known[owner] = True
+        held = known[word]
+        word, sent = word[held], sent[held]
+        if not len(word):
+            return none
+        shown, sent = np.unique(sent, return_inverse=True)
+        doc, n_sent = doc[shown], len(shown)
+        w, bias = weight[active], -3.0
+        g2, gb2 = np.full(len(w), 1e-8), 1e-8
+        for _ in range(ROUNDS):
+            of_word = np.bincount(owner, w[feat], len(each))
+            p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sent, of_word[word], n_sent), -30, 30)))
+            gz = p * _pull(p, doc, y)[doc] / n_docs
+            gw = np.bincount(feat, np.bincount(word, gz[sent], len(each))[owner], len(w)) - 1e-5 * w
+            gb = gz.sum()
+            g2, gb2 = g2 + gw**2, gb2 + gb**2
+            w, bias = w + 0.1 * gw / np.sqrt(g2), bias + 0.1 * gb / math.sqrt(gb2)
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[active] = w
+        return {"bias": float(bias), "weights": weights}
+
+
+def _pull(p: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By document, what the log-likelihood's derivative is to a sentence's p: (1 - P) / P where toxic, -1 where clean."""
+    clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the product
+    return np.where(y > 0, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), -1.0)
+
+
+def fit(texts: list[str | None], toxic: list[int]) -> dict:
+    """A model of labelled texts, see _Sample.fit."""
+    sample = _Sample()
+    for text, label in zip(texts, toxic, strict=True):
+        sample.add(text, label)
+    return sample.fit()
 
 
 class Scorer:
     def __init__(self, model: dict):
         self.bias, self.weights = model["bias"], model["weights"]
-        self.words: dict[str, tuple | None] = {}
+        self.words: dict[str, float | None] = {}
 
-    def _known(self, word: str) -> tuple | None:
-        return tuple(f for f in _features(word) if f in self.weights) or None
+    def _known(self, word: str) -> float | None:
+        """The word's sum of weights; None if all of them are zero."""
+        own = self.weights[_buckets(word)]
+        return float(own.sum(dtype=np.float64)) if own.any() else None
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
-        """(start, end, probability) of the sentences that have a feature; places are in the lower-cased text's characters."""
+        """(start, end, probability) of the sentences that have a known word; places are in the text's characters."""
         for s in _SENTENCE.finditer(text or ""):
-            found = set()
-            for w in _WORD.findall(s.group().lower()):
+            found = []
+            for w in set(_WORD.findall(s.group().lower())):
                 if w not in self.words:
                     if len(self.words) > CACHE_WORDS:
                         self.words.clear()
                     self.words[w] = self._known(w)
-                if x := self.words[w]:
-                    found.update(x)
+                if (x := self.words[w]) is not None:
+                    found.append(x)
             if found:
-                z = self.bias + sum(self.weights[f] for f in sorted(found))
+                z = self.bias + math.fsum(found)
                 yield s.start(), s.end(), 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def score(self, text: str | None) -> float:
@@ -108,11 +167,11 @@ class Scorer:
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, toxic = [], []
+    sample = _Sample()
     for b in batches:
-        texts += b.column(1).to_pylist()
-        toxic += b.column(2).to_pylist()
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["model"])
+        for text, toxic in zip(b.column(1), b.column(2), strict=True):
+            sample.add(text.as_py(), toxic.as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sample.fit())], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, sample_docs: int = SAMPLE_DOCS) -> dict:
@@ -172,7 +231,7 @@ def _locate(doc_id: pa.Array, text: pa.Array, held, threshold: float):
 
 
 def offending_sentences(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, probability, sentence) of each sentence at the threshold or above."""
+    """(doc_id, start, end, probability, sentence) of each sentence at the threshold or above; none for null or empty texts."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64()), ("sentence", pa.string())]
     return map_rows(docs.select("doc_id", "text"), partial(_locate, held=_Held(docs.sparkSession, model), threshold=threshold), fields)
 
@@ -186,7 +245,11 @@ def _clean_rows(batches: Iterator[pa.RecordBatch], *, held, threshold: float) ->
 
 
 def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score `threshold` or more; all columns stay, nothing is shuffled."""
+    """docs without the rows that score `threshold` or more; all columns stay, nothing is shuffled.
+
+    Null and empty texts score 0 and stay (at a threshold over 0); repeated rows share their
+    fate, as do rows of one doc_id by their own texts; an empty table gives an empty one.
+    """
     return docs.mapInArrow(partial(_clean_rows, held=_Held(docs.sparkSession, model), threshold=threshold), docs.schema)
 
 

@@ -245,6 +245,56 @@ def test_toxicity_learns_sentences_from_documents(spark, edges, empty):
     assert toxicity.Scorer(one_class).score(texts[0]) == 0.0
 
 
+def test_toxicity_sees_whole_words():
+    rng = random.Random(5)
+    filler = lambda: " ".join(rng.choice(["river", "stone", "walked", "over", "quiet", "morning"]) for _ in range(8))
+    for bad, good in (("zug", "zag"), ("antidisarmament", "antidisarmanent"), ("這個壞蛋了", "這個好人了")):
+        texts = [f"{filler()}. {filler()} {bad if i % 3 == 0 else good}. {filler()}" for i in range(300)]
+        scorer = toxicity.Scorer(toxicity.fit(texts, [int(i % 3 == 0) for i in range(300)]))
+        assert scorer.score(f"{filler()} {bad} {filler()}") > 0.5 > scorer.score(f"{filler()} {good} {filler()}")
+        assert scorer.weights.min() < 0 < scorer.weights.max()  # some words speak for clean
+
+
+def test_toxicity_is_noisy_or_of_its_sentences(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    known = [(t, labels[i]) for i, t in rows if i in labels]
+    model = toxicity.fit([t for t, _ in known], [x for _, x in known])
+    rows += [(-1, None), (-2, ""), (-3, "!?." * 9), (-4, " ".join(t for _, t in rows[:9] if t))]
+    for r in toxicity.score(docs_of(spark, rows), model).collect():
+        clean = 1.0
+        for s in re.split(r"[.!?\n。！？]+", dict(rows)[r.doc_id] or ""):
+            of_word = [model["weights"][toxicity._buckets(w)] for w in sorted(set(re.findall(r"[^\W\d_]+", s.lower())))]
+            if any(x.any() for x in of_word):
+                clean *= 1 - 1 / (1 + np.exp(-model["bias"] - sum(x.sum(dtype=float) for x in of_word)))
+        assert abs(r.score - (1 - clean)) < 1e-9
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(1)
+    doc, y = np.sort(rng.integers(0, 6, 20)), np.array([1, 0, 1, 0, 1, 0.0])
+    z = rng.normal(size=20)
+    p = lambda z: 1 / (1 + np.exp(-z))
+
+    def likelihood(z):
+        clean = np.array([np.prod(1 - p(z)[doc == d]) for d in range(6)])
+        return np.sum(np.where(y > 0, np.log(1 - clean + (doc[:, None] != np.arange(6)).all(0)), np.log(clean)))
+
+    got = p(z) * toxicity._pull(p(z), doc, y)[doc]
+    for i in range(20):
+        step = np.eye(20)[i] * 1e-6
+        assert abs(got[i] - (likelihood(z + step) - likelihood(z - step)) / 2e-6) < 1e-6
+
+
+def test_toxicity_held_out_documents(spark):
+    tables = [spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet").select(*c).toPandas() for n, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "toxic"]))]
+    both = tables[0].merge(tables[1].groupby("doc_id", as_index=False).max(), on="doc_id")
+    out = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in both.doc_id])
+    scorer = toxicity.Scorer(toxicity.fit(both.text[~out].tolist(), both.toxic[~out].tolist()))
+    marked, true = np.array([scorer.score(t) >= 0.5 for t in both.text[out]]), both.toxic[out].to_numpy() == 1
+    assert (marked & true).sum() > 0.9 * true.sum() and (marked & ~true).sum() < 0.01 * (~true).sum()
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
