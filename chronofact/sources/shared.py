@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 
 def folder(spark) -> str:
-    """Under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Under spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/{uuid.uuid4().hex}"
