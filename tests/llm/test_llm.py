@@ -325,6 +325,27 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in ann.search(few, "vec_id = 0").orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize(("hot", "query_bytes"), [(0, 16 << 20), (4000, 20_000)])
+def test_inverted_file_of_many_lists(spark, monkeypatch, hot, query_bytes):
+    monkeypatch.setattr(ann, "QUERY_BYTES", query_bytes)  # the second: many blocks of queries
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 24))
+    x[:hot] = rng.normal(size=24) + 0.01 * rng.normal(size=(hot, 24))  # one list with a third of all rows
+    x = x.astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit, got = x / np.linalg.norm(x, axis=1)[:, None], {}
+    for r in ann.search(table, "vec_id % 50 = 0", least=1).collect():  # 120 lists, of which a query reads 48
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert sorted(got) == list(range(0, 12_000, 50)) and all(sorted(f) == [1, 2, 3, 4, 5] for f in got.values())
+    hits = 0
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        assert all(abs(s[v] - c) < 1e-9 for v, c in found.values())
+        hits += len({v for v, _ in found.values()} & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(got)
+
+
 def test_near_copies_are_all_ranked(spark):
     rng = np.random.default_rng(9)
     x = np.repeat(rng.normal(size=(40, 32)), 100, 0) + 0.05 * rng.normal(size=(4000, 32))
