@@ -1,18 +1,18 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language a context tree over bytes is counted once and then frozen: order
-three at most, with escapes to shorter contexts (method C: of n symbols seen after a
+three at most, with escapes to shorter contexts (method C: of n bytes seen after a
 context, k of them different, a new one has k / (n + k)). As statistics are frozen,
-the code length of a byte depends on the three bytes before it alone. All trees
-are therefore laid into one table, a row for each context that any of them has and a
-cost for each symbol and language, and whole texts are scored by table look-ups.
+the code length of a byte depends on the three bytes before it alone; before a text's
+start stand zero bytes. Trees are kept sparse, as the strings of up to four bytes that a
+language has shown and their counts. To score, a few languages at a time are laid into
+tables, a row for each string that any of them has shown, and whole texts are looked up.
 """
 
 from __future__ import annotations
 
-import io
+import pickle
 import re
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -20,105 +20,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import crc_mod, map_rows, materialise
 from .toxicity import _Held
 
 #: About so many documents of each language are counted, chosen by the hash of their ids.
 SAMPLE_DOCS = 400
-#: The most frequent languages that are learned.
-MAX_LANGUAGES = 200
 ORDER = 3
+#: Languages that are laid into one set of tables.
+TOGETHER = 8
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
-def _symbols(present: np.ndarray) -> np.ndarray:
-    """byte -> symbol: A-Z as a-z, digits one, ASCII blanks one, other ASCII one; bytes over 127 by themselves as far as seen.
-
-    Symbol 0 stands for the start of a text and bytes that were never seen.
-    """
-    out = np.zeros(256, np.int64)
-    out[:128] = 1
-    out[[9, 10, 11, 12, 13, 32]] = 2
-    out[48:58] = 3
-    out[97:123] = np.arange(4, 30)
-    out[65:91] = out[97:123]
-    high = np.flatnonzero(present[128:]) + 128
-    out[high] = 30 + np.arange(len(high))
+def _strings(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The ORDER + 1 bytes that end at each place as one number; before a text's start stand zeros."""
+    at = np.arange(len(b), dtype=np.int32) - np.repeat(starts, np.diff(np.append(starts, len(b)))).astype(np.int32)
+    out = b.astype(np.uint32)
+    for back in range(1, ORDER + 1):
+        before = np.concatenate([np.zeros(min(back, len(b)), np.uint32), b[: max(0, len(b) - back)].astype(np.uint32)])
+        out |= np.where(at >= back, before, np.uint32(0)) << np.uint32(8 * back)
     return out
 
 
-def _contexts(s: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """The ORDER symbols before each place as one number; before a text's start stand zeros."""
-    at = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
-    out = np.zeros(len(s), np.int64)
-    for back in range(ORDER, 0, -1):
-        shifted = np.concatenate([np.zeros(min(back, len(s)), np.int64), s[: max(0, len(s) - back)]])
-        out = out * k + np.where(at >= back, shifted, 0)
-    return out
+def _last(strings: np.ndarray, m: int) -> np.ndarray:
+    return strings & np.uint32((1 << 8 * m) - 1)
+
+
+def tree(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to ORDER + 1 the strings that the texts show, ascending, and how often."""
+    texts = [x for x in texts if x]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    seen = _strings(np.frombuffer(b"".join(texts), np.uint8), starts) if texts else np.zeros(0, np.uint32)
+    return [np.unique(_last(seen, m), return_counts=True) for m in range(1, ORDER + 2)]
 
 
 def fit(texts: list[str | None], langs: list[str]) -> dict:
-    """The frozen tables of the languages in `langs`; languages are in alphabetical order."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    present = np.zeros(256, bool)
-    for x in raw:
-        present[np.frombuffer(x, np.uint8)] = True
-    symbol = _symbols(present)
-    k, names = int(symbol.max()) + 1, sorted(set(langs))
-    seen, by_lang = [], []
-    for name in names:
-        own = [x for x, y in zip(raw, langs, strict=True) if y == name and x]
-        s = symbol[np.frombuffer(b"".join(own), np.uint8)]
-        starts = np.cumsum([0, *map(len, own)])[:-1]
-        codes, counts = np.unique(_contexts(s, starts, k) * k + s, return_counts=True)
-        by_lang.append((codes, counts))
-        seen.append(np.unique(codes // k))
-    deep = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-    # Rows: one for each pair of symbols (order two), then one for each deeper context.
-    state = np.arange(k**3, dtype=np.int32) % (k * k)
-    state[deep] = k * k + np.arange(len(deep), dtype=np.int32)
-    cost = np.zeros(((k * k + len(deep)) * k, len(names)), np.float32)
-    for i, (codes, counts) in enumerate(by_lang):
-        p = np.full((1, k), 1 / k)
-        for order in range(ORDER + 1):
-            rows = k**order if order < ORDER else len(deep)
-            table = np.zeros((rows, k))
-            context = codes // k % k**order if order < ORDER else np.searchsorted(deep, codes // k)
-            np.add.at(table, (context, codes % k), counts)
-            n, different = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            shorter = p[np.arange(rows) % len(p)] if order < ORDER else p[deep % len(p)]
-            # Escape once to the shorter context; a context that the tree lacks costs nothing to leave.
-            escape = np.where(n > 0, different / np.maximum(n + different, 1), 1.0)
-            p = np.where(table > 0, table / np.maximum(n + different, 1), escape * shorter)
-            if order == ORDER - 1:
-                cost[: k**3, i] = -np.log2(p).ravel()
-        cost[k**3 :, i] = -np.log2(p).ravel()
-    return {"names": names, "symbol": symbol.astype(np.int32), "k": k, "state": state, "cost": cost}
-
-
-def _look_up(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the cost table for each byte, starts) of texts that are not empty."""
-    b = np.frombuffer(b"".join(texts), np.uint8)
-    lengths = np.array([len(x) for x in texts])
-    starts = np.cumsum(lengths) - lengths
-    k, s = model["k"], model["symbol"][b]
-    context = np.zeros(len(s), np.int32)
-    for back in range(ORDER, 0, -1):
-        context *= k
-        context[back:] += s[:-back] if back < len(s) else 0
-    for place in range(ORDER):  # places near a text's start: only its own symbols count
-        at = starts[lengths > place] + place
-        own = np.zeros(len(at), np.int64)
-        for back in range(place, 0, -1):
-            own = own * k + s[at - back]
-        context[at] = own
-    return model["state"][context].astype(np.int64) * k + s, starts
+    """The frozen trees of the languages in `langs`, which are in alphabetical order."""
+    names, own = sorted(set(langs)), {}
+    for text, lang in zip(texts, langs, strict=True):
+        own.setdefault(lang, []).append((text or "").encode("utf-8", "surrogatepass"))
+    return _model({name: tree(own[name]) for name in names})
+
+
+def _model(trees: dict[str, list]) -> dict:
+    names = sorted(trees)
+    return {"names": names, "k": 256, "symbol": np.arange(256), "trees": [trees[x] for x in names]}
+
+
+def _tables(trees: list) -> list[tuple]:
+    """By string length: (strings, bits of the last byte after the rest for each language, contexts, bits of leaving them).
+
+    The bits of a string are exact for a language whether or not it has shown it; leaving a
+    context that the language has not shown costs nothing.
+    """
+    out, shorter = [], None
+    for m in range(1, ORDER + 2):
+        strings = np.arange(256, dtype=np.uint32) if m == 1 else np.unique(np.concatenate([t[m - 1][0] for t in trees]))
+        contexts = np.unique(strings >> np.uint32(8))
+        bits, leave = np.zeros((len(strings), len(trees)), np.float32), np.zeros((len(contexts), len(trees)), np.float32)
+        at = np.searchsorted(contexts, strings >> np.uint32(8))
+        for i, t in enumerate(trees):
+            shown, times = t[m - 1]
+            own = np.searchsorted(contexts, shown >> np.uint32(8))
+            n, different = np.bincount(own, times, len(contexts)), np.bincount(own, minlength=len(contexts))
+            known = n > 0
+            leave[known, i] = np.log2((n + different)[known] / different[known])
+            before = 8.0 if m == 1 else shorter[1][np.searchsorted(shorter[0], _last(strings, m - 1)), i]
+            bits[:, i] = leave[at, i] + before
+            bits[np.searchsorted(strings, shown), i] = np.log2((n + different)[own] / times)
+        shorter = (strings, bits)
+        out.append((strings, bits, contexts, leave))
+    return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _bits(tables: list[tuple], strings: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each string under each language: by the longest ending that any language has shown."""
+    keys, table, _, _ = tables[ORDER]
+    at, there = _find(keys, strings)
+    out = table[at] if len(table) else np.zeros((len(strings), table.shape[1]), np.float32)
+    left = np.flatnonzero(~there)
+    out[left] = 0
+    for m in range(ORDER, -1, -1):
+        if not len(left):
+            break
+        _, _, contexts, leave = tables[m]
+        at, there = _find(contexts, _last(strings[left] >> np.uint32(8), m))
+        out[left[there]] += leave[at[there]]
+        if m == 0:
+            break
+        keys, table, _, _ = tables[m - 1]
+        at, there = _find(keys, _last(strings[left], m))
+        out[left[there]] += table[at[there]]
+        left = left[~there]
+    return out
 
 
 def code_lengths(model: dict, texts: list[bytes], chunk: int = _CHUNK) -> np.ndarray:
     """Bits of each whole text under each language, shape (texts, languages); about `chunk` bytes are looked up at once."""
     out = np.zeros((len(texts), len(model["names"])))
+    if "tables" not in model:
+        model["tables"] = [(lo, _tables(model["trees"][lo : lo + TOGETHER])) for lo in range(0, len(model["names"]), TOGETHER)]
     lo = 0
     while lo < len(texts):  # short texts go together
         hi, size = lo, 0
@@ -128,11 +137,17 @@ def code_lengths(model: dict, texts: list[bytes], chunk: int = _CHUNK) -> np.nda
         if size > chunk:  # one long text, in parts that begin with the context of their first byte
             for at in range(0, size, chunk):
                 before = min(ORDER, at)
-                index, _ = _look_up(model, [texts[lo][at - before : at + chunk]])
-                out[lo] += model["cost"][index[before:]].sum(0, dtype=np.float64)
+                part = np.frombuffer(texts[lo][at - before : at + chunk], np.uint8)
+                strings = _strings(part, np.zeros(1, np.int64))[before:]
+                for first, tables in model["tables"]:
+                    found = _bits(tables, strings)
+                    out[lo, first : first + found.shape[1]] += found.sum(0, dtype=np.float64)
         elif filled := [i for i in range(lo, hi) if texts[i]]:
-            index, starts = _look_up(model, [texts[i] for i in filled])
-            out[filled] = np.add.reduceat(model["cost"][index], starts, axis=0, dtype=np.float64)
+            starts = np.cumsum([0, *(len(texts[i]) for i in filled)])[:-1]
+            strings = _strings(np.frombuffer(b"".join(texts[i] for i in filled), np.uint8), starts)
+            for first, tables in model["tables"]:
+                found = _bits(tables, strings)
+                out[filled, first : first + found.shape[1]] = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
         lo = hi
     return out
 
@@ -140,49 +155,41 @@ def code_lengths(model: dict, texts: list[bytes], chunk: int = _CHUNK) -> np.nda
 def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and its posterior probability, all languages being equally likely before.
 
-    `und` and 0 for null, for a text without a letter, and where nothing was learned.
+    `und` and 0 for null, for a text without a letter, and where nothing was learned; of
+    languages with equal code lengths the first in alphabetical order.
     """
     names = model["names"]
     if not names:
         return ["und"] * len(texts), [0.0] * len(texts)
     bits = code_lengths(model, [(t or "").encode("utf-8", "surrogatepass") for t in texts])
-    best = bits.argmin(1)  # ties: the first in alphabetical order
+    best = bits.argmin(1)
     share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
     lettered = [bool(t and _LETTER.search(t)) for t in texts]
     return [names[i] if x else "und" for i, x in zip(best, lettered, strict=True)], [float(p) if x else 0.0 for p, x in zip(share, lettered, strict=True)]
 
 
 def _pack(model: dict) -> bytes:
-    held = io.BytesIO()
-    np.savez_compressed(held, names=np.array(model["names"], dtype="U"), symbol=model["symbol"], k=model["k"], state=model["state"], cost=model["cost"])
-    return held.getvalue()
+    return pickle.dumps({k: v for k, v in model.items() if k != "tables"})
 
 
-def _unpack(raw: bytes) -> dict:
-    with np.load(io.BytesIO(raw)) as z:
-        return {"names": z["names"].tolist(), "symbol": z["symbol"], "k": int(z["k"]), "state": z["state"], "cost": z["cost"]}
-
-
-def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, langs = [], []
-    for b in batches:
-        texts += b.column(0).to_pylist()
-        langs += b.column(1).to_pylist()
-    yield pa.RecordBatch.from_arrays([pa.array([_pack(fit(texts, langs))], pa.binary())], names=["model"])
+def _fit_language(rows: pa.Table) -> pa.Table:
+    texts = [(x or "").encode("utf-8", "surrogatepass") for x in rows.column("text").to_pylist()]
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "tree": pa.array([pickle.dumps(tree(texts))], pa.binary())})
 
 
 def train(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """Trees from about sample_docs rows of each language for which `learn` holds; rows without text or language are left out."""
+    """A tree from about sample_docs rows of each language for which `learn` holds; rows without text or language are left out.
+
+    There is no bound on languages: a task fits one tree, and the driver holds one tree of
+    bounded size for each language.
+    """
     rows = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return _pack(fit([], []))
-    # The shares are a literal map, so that no text is shuffled to meet them.
-    share = F.try_element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, sample_docs * 1_000_000.0 / r.n)]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    one = sample.select("text", "lang", "doc_id").repartition(1).sortWithinPartitions("lang", "doc_id", "text").select("text", "lang")
-    found = one.mapInArrow(_fit_rows, "model binary").collect()
-    return bytes(found[0].model) if found else _pack(fit([], []))
+    # Written, so that its size is known to the planner, which broadcasts it only below its threshold.
+    counts = materialise(rows.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
+    share = F.lit(sample_docs * 1_000_000.0) / F.col("__n")
+    sample = rows.join(counts, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    found = sample.select("lang", "text").groupBy("lang").applyInArrow(_fit_language, "lang string, tree binary").collect()
+    return _pack(_model({r.lang: pickle.loads(bytes(r.tree)) for r in found}))
 
 
 _models: dict[int, dict] = {}
@@ -191,12 +198,12 @@ _models: dict[int, dict] = {}
 def _predict(doc_id: pa.Array, text: pa.Array, held):
     if held.id not in _models:
         _models.clear()
-        _models[held.id] = _unpack(held.value)
+        _models[held.id] = pickle.loads(held.value)
     return doc_id, *predict(_models[held.id], text.to_pylist())
 
 
 def identify(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row, from its whole text alone; repeated rows repeat."""
+    """(doc_id, lang_pred, score) for each row, from its whole text alone; repeated rows repeat, an empty table gives no row."""
     held = _Held(docs.sparkSession, model)
     return map_rows(docs.select("doc_id", "text"), partial(_predict, held=held), [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())], rows=500)
 

@@ -163,6 +163,19 @@ def test_language_model_by_hand_and_held_out(spark, edges, empty):
     assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
 
 
+def test_many_languages_and_ties(spark):
+    rng = random.Random(2)
+    names = [f"l{i:03}" for i in range(250)]
+    words = {n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30)] for n in names}
+    text = lambda n: " ".join(rng.choice(words[n]) for _ in range(60))
+    rows = [(i, text(names[i % 250]), names[i % 250]) for i in range(1000)] + [(-1, None, "l000"), (-2, "abc", None)]
+    raw = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "true")
+    probe = spark.createDataFrame([(i, text(n), "x") for i, n in enumerate(names)], "doc_id bigint, text string, lang string")
+    assert sum(r.lang_pred == names[r.doc_id] for r in language_id.identify(probe, raw).collect()) >= 245
+    twins = language_id.fit(["same text here", "same text here", "other"], ["b", "a", "c"])
+    assert language_id.predict(twins, ["same text", "12 34", None, ""]) == (["a", "und", "und", "und"], [pytest.approx(0.5, abs=1e-3), 0.0, 0.0, 0.0])
+
+
 def test_suffix_order_is_sorted(monkeypatch):
     rng = np.random.default_rng(5)
     for alphabet in (2, 2048):
