@@ -36,12 +36,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 _UNPARTED = re.compile("[฀-႟ក-៿぀-ヿ㐀-鿿\U00020000-\U0003ffff]")
 
 
-def _buckets(word: str) -> np.ndarray:
+def _buckets(word: str) -> list[int]:
     """Different buckets of a lower-case word, ascending."""
-    found = {"=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)}
-    if _UNPARTED.search(word):
-        found |= {"~" + word[i : i + k] for k in (1, 2, 3) for i in range(len(word) - k + 1)}
-    return np.array(sorted({xxhash.xxh64_intdigest(f) % BUCKETS for f in found}), np.int64)
+    found = ["=" + word, *["^" + word[:k] for k in PREFIXES if len(word) > k]]
+    if not word.isascii() and _UNPARTED.search(word):
+        found += ["~" + word[i : i + k] for k in (1, 2, 3) for i in range(len(word) - k + 1)]
+    return sorted({xxhash.xxh64_intdigest(f) % BUCKETS for f in found})
 
 
 class _Sample:
@@ -74,7 +74,7 @@ class _Sample:
         word, doc = np.concatenate(self.words), np.repeat(np.arange(n_docs), self.sentences)
         sent = np.repeat(np.arange(len(doc)), self.sizes)
         each = [_buckets(w) for w in self.names]
-        owner, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
+        owner, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.array([b for x in each for b in x], np.int64)
         # Documents of either label that have a bucket: each counts once.
         pairs = np.unique(doc[sent].astype(np.int64) * len(each) + word)
         in_doc, in_word = np.divmod(pairs, len(each))
@@ -137,12 +137,13 @@ def fit(texts: list[str | None], toxic: list[int]) -> dict:
 class Scorer:
     def __init__(self, model: dict):
         self.bias, self.weights = model["bias"], model["weights"]
+        self.active = {int(i): float(self.weights[i]) for i in np.flatnonzero(self.weights)}
         self.words: dict[str, float | None] = {}
 
     def _known(self, word: str) -> float | None:
         """The word's sum of weights; None if all of them are zero."""
-        own = self.weights[_buckets(word)]
-        return float(own.sum(dtype=np.float64)) if own.any() else None
+        own = [self.active[b] for b in _buckets(word) if b in self.active]
+        return math.fsum(own) if own else None
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
         """(start, end, probability) of the sentences that have a known word; places are in the text's characters."""
