@@ -12,6 +12,7 @@ bytes are neighbours then. A stretch counted twice or more is repeated as a whol
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,13 +29,12 @@ WIDTH, GRAM = 400, 64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of texts that are hashed at once; places take 24 bits beside 40 bits of hash.
 _AT_ONCE = 1 << 20
-#: Bytes of stretches that a shard sorts at once: whole anchors together; one anchor may exceed it and spills.
-SORT_BYTES = 4 << 20
-#: An anchor with more different stretches than this is no task's: its strings are counted by their values, dealt over all tasks.
+#: Bytes of stretches that a shard takes at once: whole anchors together; one anchor may exceed it and spills.
+SORT_BYTES = 8 << 20
+#: An anchor with more different stretches than this is no task's: its strings are counted by their bytes, dealt over all tasks.
 HOT_STRETCHES = 2_500
 #: Neighbouring strings that are first counted by their common bytes, and stretches that are worked on at once.
 STEP, _ROWS = 16, 200
-_BASES = (_BASE, 0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,7 +86,9 @@ def _key(raw: bytes) -> int:
 _ANCHOR = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def _find(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], *, width: int, at_once: int | None = None) -> Iterator[pa.RecordBatch]:
+    at_once = at_once or _AT_ONCE
+
     def flush(ids, texts):
         of, h, first, last = anchors(texts, width)
         keys = np.array([_key(t) for t in texts], np.int64)
@@ -98,14 +100,14 @@ def _find(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.Recor
             raw = (text or "").encode("utf-8", "surrogatepass")
             if len(raw) < width:
                 continue
-            if len(raw) > _AT_ONCE:  # a very long text in parts that share width - 1 bytes: each string lies in one of them
-                for lo in range(0, len(raw) - width + 1, _AT_ONCE - width + 1):
-                    part = raw[lo : lo + _AT_ONCE]
+            if len(raw) > at_once:  # a very long text in parts that share width - 1 bytes: each string lies in one of them
+                for lo in range(0, len(raw) - width + 1, at_once - width + 1):
+                    part = raw[lo : lo + at_once]
                     _, h, first, last = anchors([part], width)
                     n = len(h)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, _key(raw))), pa.array(h), pa.array(first + lo), pa.array(last + lo)], schema=_ANCHOR)
                 continue
-            if held + len(raw) > _AT_ONCE:
+            if held + len(raw) > at_once:
                 yield flush(ids, texts)
                 ids, texts, held = [], [], 0
             ids.append(doc_id)
@@ -144,15 +146,57 @@ def _runs(again: np.ndarray, width: int) -> list[int]:
     return np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) + width - 1], 1).ravel().tolist()
 
 
+def _anchor_in(stretch: bytes, gram: int = GRAM) -> int:
+    sums, inverse = prefix_values(np.frombuffer(stretch, np.uint8), _BASE)
+    n = len(stretch) - gram + 1
+    return int((_mix((sums[gram:] - sums[:n]) * inverse[:n]) & ~np.uint64(0xFFFFFF)).argmin())
+
+
+def _blocks(sizes: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, block): the blocks of STEP strings, counted from the anchor, that each stretch has a string of."""
+    first, last = -anchor // STEP, (sizes - width - anchor) // STEP
+    n = last - first + 1
+    of = np.repeat(np.arange(len(sizes)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def _alike(stretches: list[bytes], width: int, gram: int = GRAM) -> list[tuple[int, int]]:
+    """The part of each stretch that can share a string with another one, as begin and end; (0, 0) for none."""
+    sizes = np.array([len(x) for x in stretches])
+    start = np.cumsum(sizes) - sizes
+    sums, inverse = prefix_values(np.frombuffer(b"".join(stretches), np.uint8), _BASE)
+    n = len(sums) - gram
+    grams = _mix((sums[gram:] - sums[:n]) * inverse[:n]) & ~np.uint64(0xFFFFFF)
+    anchor = np.array([int(grams[lo : lo + size - gram + 1].argmin()) for lo, size in zip(start.tolist(), sizes.tolist(), strict=True)])
+    of, block = _blocks(sizes, anchor, width)
+    at = start[of] + anchor[of] + STEP * block + STEP - 1
+    value = _mix((sums[at + width - STEP + 1] - sums[at]) * inverse[at] + block.astype(np.uint64))
+    _, same, times = np.unique(value, return_inverse=True, return_counts=True)
+    again = times[same] > 1
+    of, block = of[again], block[again]
+    out = [(0, 0)] * len(stretches)
+    head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
+    for i, a, b in zip(of[head].tolist(), block[head].tolist(), block[np.append(head[1:], len(of)) - 1].tolist(), strict=True):
+        out[i] = (max(0, int(anchor[i]) + STEP * a), min(int(sizes[i]), int(anchor[i]) + STEP * b + STEP - 1 + width))
+    return out
+
+
 def _sort(batches: Iterator[pa.RecordBatch], *, width: int, at_once: int = SORT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h: anchors with several different stretches are suffix-sorted, many together."""
+    """Rows sorted by h: what the different stretches of anchors share is found by suffix sorting, many anchors together."""
     held: list[tuple] = []
     group: list[tuple] = []
     size = 0
 
     def close():
         nonlocal held, size
-        out = [(h, sh, _runs(again, width)) for (h, sh, n, _), again in zip(held, repeated_starts([x[3] for x in held], width), strict=True) if n == 1 and again.any()]
+        parts = [x[3][a:b] for x, (a, b) in zip(held, bounds, strict=True)] if (bounds := _alike([x[3] for x in held], width)) else []
+        times = Counter(parts)
+        different = [x for x in times if x]
+        known = dict(zip(different, repeated_starts(different, width) if different else [], strict=True))
+        out = []
+        for (h, sh, n, _), (lo, _), part in zip(held, bounds, parts, strict=True):
+            if n == 1 and part and (again := known[part] | (times[part] > 1)).any():
+                out.append((h, sh, [lo + x for x in _runs(again, width)]))
         held, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FOUND.types, strict=True)], schema=_FOUND)
@@ -176,54 +220,38 @@ def _sort(batches: Iterator[pa.RecordBatch], *, width: int, at_once: int = SORT_
         yield from close()
 
 
-_VALUE = pa.schema([("h", pa.int64()), ("sh", pa.binary()), ("n", pa.int64()), ("anchor", pa.int64()), ("at", pa.int64()), ("v", pa.int64()), ("w", pa.int64())])
-_VALUE_DDL = "h bigint, sh binary, n bigint, anchor bigint, at bigint, v bigint, w bigint"
-
-
-def _values(part: pa.RecordBatch, raw: list[bytes], of: np.ndarray, anchor: np.ndarray, at: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
-    """A row for each substring of `length` bytes from `start` in stretch `of`, with its two polynomial values."""
-    text, size, values = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw]), []
-    start = start + (np.cumsum(size) - size)[of]
-    for base in _BASES:
-        sums, inverse = prefix_values(text, base)
-        values.append(pa.array(((sums[start + length] - sums[start]) * inverse[start]).view(np.int64)))
-    own = [part.column(j).take(pa.array(of)) for j in range(3)]
-    return pa.RecordBatch.from_arrays([*own, pa.array(anchor), pa.array(at), *values], schema=_VALUE)
+_VALUE = pa.schema([("h", pa.int64()), ("sh", pa.binary()), ("anchor", pa.int64()), ("block", pa.int64()), ("v", pa.int64())])
+_VALUE_DDL = "h bigint, sh binary, anchor bigint, block bigint, v bigint"
 
 
-def _cores(batches: Iterator[pa.RecordBatch], *, width: int, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
-    """Of each stretch the common bytes of STEP neighbouring strings, counted from the anchor: strings whose common bytes are single are too."""
+def _cores(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
+    """A value of the common bytes of each block of STEP neighbouring strings; blocks are counted from the anchor."""
     for batch in batches:
         for lo in range(0, batch.num_rows, _ROWS):
             part = batch.slice(lo, _ROWS)
             raw = part.column(3).to_pylist()
-            of, anchor, at = [], [], []
-            for i, x in enumerate(raw):
-                sums, inverse = prefix_values(np.frombuffer(x, np.uint8), _BASE)
-                n = len(x) - gram + 1
-                a = int((_mix((sums[gram:] - sums[:n]) * inverse[:n]) & ~np.uint64(0xFFFFFF)).argmin())
-                blocks = range(-a // STEP, (len(x) - width - a) // STEP + 1)
-                of += [i] * len(blocks)
-                anchor += [a] * len(blocks)
-                at += blocks
-            of, anchor, at = (np.array(c, np.int64) for c in (of, anchor, at))
-            yield _values(part, raw, of, anchor, at, anchor + STEP * at + STEP - 1, width - STEP + 1)
-
-
-def _strings(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
-    """The strings of the blocks that are left: `at` is where they start in the stretch."""
+            sizes, anchor = np.array([len(x) for x in raw]), np.array([_anchor_in(x) for x in raw])
+            of, block = _blocks(sizes, anchor, width)
+            sums, inverse = prefix_values(np.frombuffer(b"".join(raw), np.uint8), _BASE)
+            at = (np.cumsum(sizes) - sizes + anchor)[of] + STEP * block + STEP - 1
+            value = ((sums[at + width - STEP + 1] - sums[at]) * inverse[at]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(part.column(j).take(pa.array(of)) for j in range(2)), pa.array(anchor[of]), pa.array(block), pa.array(value)], schema=_VALUE)
+
+
+_BLOCK = pa.schema([("h", pa.int64()), ("sh", pa.binary()), ("n", pa.int64()), ("block", pa.int64()), ("v", pa.int64()), ("core", pa.binary()), ("begin", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+
+
+def _bytes_of(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of blocks: common to their strings, before and after these; strings start at begin + lo to begin + hi."""
     for batch in batches:
         for lo in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(lo, _ROWS)
-            raw = part.column(3).to_pylist()
-            of, anchor, at = [], [], []
-            for i, (x, a, blocks) in enumerate(zip(raw, part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
-                found = [p for b in blocks for p in range(max(0, a + STEP * b), min(len(x) - width, a + STEP * b + STEP - 1) + 1)]
-                of += [i] * len(found)
-                anchor += [a] * len(found)
-                at += found
-            of, anchor, at = (np.array(c, np.int64) for c in (of, anchor, at))
-            yield _values(part, raw, of, anchor, at, at, width)
+            rows = []
+            for h, sh, n, x, anchor, blocks in zip(*(c.to_pylist() for c in batch.slice(lo, _ROWS).columns), strict=True):
+                for b in blocks:
+                    s = anchor + STEP * b["block"]
+                    first, last = max(0, s), min(len(x) - width, s + STEP - 1)
+                    rows.append((h, sh, n, b["block"], b["v"], x[s + STEP - 1 : s + width], s, first - s, last - s, x[first : s + STEP - 1], x[s + width : last + width]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
 
 
 def _covered(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
@@ -237,19 +265,29 @@ def _covered(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.Re
 
 
 def _hot_spans(stretches: DataFrame, width: int) -> DataFrame:
-    """Spans of (h, sh, n, stretch) by the values of strings, so that no anchor is one task's.
+    """Spans of (h, sh, n, stretch) by the bytes of strings, so that no anchor is one task's.
 
-    Equal strings lie at the same place relative to their anchor. First the common bytes of
-    each block of STEP places are counted, then the strings of those blocks that recur.
+    Equal strings lie at the same place relative to their anchor. Blocks of STEP strings
+    whose common bytes have a value that recurs are looked at: these bytes are compared with
+    those of one block of the value, and the strings of equal ones told apart by the STEP - 1
+    bytes that are left of each.
     """
     stretches = materialise(stretches, "hot-stretches")
     cores = materialise(stretches.mapInArrow(partial(_cores, width=width), _VALUE_DDL), "hot-cores")
-    again = materialise(cores.groupBy("at", "v", "w").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-recurring")
-    live = cores.join(again, ["at", "v", "w"]).groupBy("h", "sh").agg(F.first("anchor").alias("anchor"), F.collect_list("at").alias("blocks"))
+    again = materialise(cores.groupBy("block", "v").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-recurring")
+    live = cores.join(again, ["block", "v"]).groupBy("h", "sh").agg(F.first("anchor").alias("anchor"), F.collect_list(F.struct("block", "v")).alias("blocks"))
     left = stretches.join(live, ["h", "sh"]).select("h", "sh", "n", "stretch", "anchor", "blocks")
-    strings = materialise(left.mapInArrow(partial(_strings, width=width), _VALUE_DDL), "hot-strings")
-    again = materialise(strings.groupBy("v", "w").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-again")
-    found = strings.where("n = 1").join(again, ["v", "w"]).groupBy("h", "sh").agg(F.collect_list("at").alias("at"))
+    ddl = "h bigint, sh binary, n bigint, block bigint, v bigint, core binary, begin bigint, lo bigint, hi bigint, before binary, after binary"
+    blocks = materialise(left.mapInArrow(partial(_bytes_of, width=width), ddl), "hot-blocks")
+    one = materialise(blocks.groupBy("block", "v").agg(F.min("core").alias("one")), "hot-one-of-each")
+    # Other bytes of the same value, if there are any, are part of the key themselves.
+    own = blocks.join(one, ["block", "v"]).withColumn("other", F.when(F.col("core") != F.col("one"), F.col("core")).otherwise(F.lit(b"")))
+    rest = F.expr(f"concat(substring(before, cast(o - lo + 1 as int), cast({STEP - 1} - o as int)), substring(after, 1, cast(o as int)))")
+    strings = own.withColumn("o", F.explode(F.sequence("lo", "hi"))).select("h", "sh", "n", "block", "v", "other", "o", rest.alias("rest"), (F.col("begin") + F.col("o")).alias("at"))
+    strings = materialise(strings, "hot-strings")
+    key = ["block", "v", "other", "o", "rest"]
+    again = materialise(strings.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-again")
+    found = strings.where("n = 1").join(again, key).groupBy("h", "sh").agg(F.collect_list("at").alias("at"))
     return found.select("h", "sh", "at").mapInArrow(partial(_covered, width=width), "h bigint, sh binary, spans array<bigint>")
 
 
@@ -281,18 +319,19 @@ def _remove(batches: Iterator[pa.RecordBatch], *, with_text: bool) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False, *, at_once: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of each row.
 
     Each byte covered by a string of `width` bytes that starts at two places or more, of
     any rows, is removed; strings are judged on the input. Null texts are empty; a
     repeated row repeats every string of it; an empty table gives no row. Removed bytes
     may cut a character, so what is kept is binary. The strings of an anchor with over
-    HOT_STRETCHES different stretches are counted by value instead of sorted in one task.
+    HOT_STRETCHES different stretches are counted by their bytes over all tasks instead of
+    sorted in one. Texts are hashed by `at_once` bytes, longer ones in overlapping parts.
     """
     rows = docs.select("doc_id", "text")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = materialise(rows.where(F.octet_length("text") >= width).mapInArrow(partial(_find, width=width), "doc_id bigint, text_key bigint, h bigint, first bigint, last bigint"), "anchors")
+    found = materialise(rows.where(F.octet_length("text") >= width).mapInArrow(partial(_find, width=width, at_once=at_once), "doc_id bigint, text_key bigint, h bigint, first bigint, last bigint"), "anchors")
     # Written, so that the join has an exchange on both sides and a hot hash can be split.
     several = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
     of_doc = found.join(several, "h").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("h", "first", "last")).alias("found"))

@@ -176,13 +176,33 @@ def test_many_languages_and_ties(spark):
     assert language_id.predict(twins, ["same text", "12 34", None, ""]) == (["a", "und", "und", "und"], [pytest.approx(0.5, abs=1e-3), 0.0, 0.0, 0.0])
 
 
-def test_suffix_order_is_sorted(monkeypatch):
+@pytest.mark.parametrize(("together", "depth"), [(1 << 16, 16), (1, 16), (12, 1), (40, 2)])
+def test_suffixes_are_in_order_with_their_common_prefixes(monkeypatch, together, depth):
+    monkeypatch.setattr(suffix_sort, "TOGETHER", together)  # occurrences of symbols that a sweep takes together
+    monkeypatch.setattr(suffix_sort, "DEPTH", depth)
     rng = np.random.default_rng(5)
-    for alphabet in (2, 2048):
-        monkeypatch.setattr(suffix_sort, "ALPHABET", alphabet)
-        for trial in range(150):
-            x = np.append(rng.integers(1, rng.integers(2, 7), rng.integers(1, 150)), 0)
-            assert suffix_sort.suffix_order(x, 8, memory=500 if trial % 2 else 1 << 20).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+    for trial in range(150):
+        x = rng.integers(1, rng.integers(2, 40), rng.integers(1, 150))
+        x = np.append(np.tile(x[:7], 20) if trial % 3 == 0 else x, 0).astype(np.int16 if trial % 2 else np.int32)
+        parts = list(suffix_sort.suffixes(x, 40, memory=64 if trial % 2 else 1 << 20))  # 64: all on disk
+        order, common = (np.concatenate(c).tolist() for c in zip(*parts, strict=True))
+        assert order == sorted(range(len(x)), key=lambda i: x[i:].tolist(), reverse=True)
+        for a, b, n in zip(order[:-1], order[1:], common[1:], strict=True):
+            assert x[a : a + n].tolist() == x[b : b + n].tolist() and x[a + n] != x[b + n]
+        assert suffix_sort.suffix_order(x, 40).tolist() == order[::-1]
+
+
+def test_queue_spills_at_production_settings(monkeypatch):
+    queues = []
+    made = suffix_sort.Queue.__init__
+    monkeypatch.setattr(suffix_sort.Queue, "__init__", lambda self, *a: (made(self, *a), queues.append(self))[0])
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    strings = [" ".join(rng.choice(words) for _ in range(100)).encode() for _ in range(5000)]
+    strings[7] = strings[11][:450] + b"x"
+    again = suffix_sort.repeated_starts(strings, 400)
+    assert sum(x.sum() for x in again) == 102 and again[7][:51].all() and again[11][:51].all()
+    assert sum(q.spills for q in queues) > 0
 
 
 def brute_repeats(rows, width):
@@ -199,11 +219,11 @@ def brute_repeats(rows, width):
     return out
 
 
-def test_suffix_dedup(spark, edges, empty, monkeypatch):
+def test_suffix_dedup(spark, edges, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
-    small = [r for r in EDGES if r[1] is not LONG] + [(10, LONG[:3000]), (11, "y" + LONG[500:2000]), (12, "z" * 900), (13, LONG[100:499] + "q")]
-    monkeypatch.setattr(suffix_dedup, "_AT_ONCE", 2000)  # texts over this length come in overlapping parts
-    got = suffix_dedup.remove_repeats(docs_of(spark, small))
+    unique = random.Random(3).randbytes(4500).hex()
+    small = [r for r in EDGES if r[1] is not LONG] + [(10, LONG[:3000]), (11, "y" + LONG[500:2000]), (12, "z" * 900), (13, LONG[100:499] + "q"), (14, unique)]
+    got = suffix_dedup.remove_repeats(docs_of(spark, small), at_once=2000)  # texts over this length come in overlapping parts
     assert Counter(tuple(r) for r in got.collect()) == brute_repeats(small, 400)
     whole = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(spark, whole)).collect()) == brute_repeats(whole, 400)
@@ -226,8 +246,9 @@ def test_each_string_of_a_long_text_has_one_anchor(monkeypatch, size):
 def test_suffix_dedup_keeps_unique_bytes_of_long_texts(spark):
     text = random.Random(6).randbytes(1_100_000).hex()  # three parts, nothing twice
     rows = [(1, text), (2, "short"), (3, "q" + text[1_048_000:1_048_500])]
-    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()}
-    assert got == {1: (500, 1), 2: (0, 0), 3: (500, 1)}
+    rows += [(4, None), (5, text[:700] + "\n" + text[300:900]), (5, "short")]
+    got = [(r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1400, 2), (2, 0, 0), (3, 500, 1), (4, 0, 0), (5, 0, 0), (5, 1300, 2)]
 
 
 @pytest.mark.parametrize("hot", [0, 2])
