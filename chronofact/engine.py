@@ -102,7 +102,7 @@ class Engine:
         self._entity_event(S.UNMERGED, canonical, alias)
 
     def resolve_entities(self, auto: bool = True) -> DataFrame:
-        decided = resolve.bands(resolve.pairs(resolve.names_of(self.edges())))
+        decided = resolve.bands(resolve.similar(resolve.names_of(self.edges())))
         if auto and not (m := resolve.merges(decided)).isEmpty():
             self._append(m.withColumn("recorded_at", F.current_timestamp()).withColumn("__order", F.struct("canonical_id", "alias_id")))
         return decided

@@ -35,9 +35,9 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(longest, F.lit(1)))
 
 
-def lexical_similarity(a: Column, b: Column) -> Column:
-    """0.9 where one token set holds the other, else the larger of Jaccard and edit similarity."""
-    s, t = name_tokens(a), name_tokens(b)
+def lexical_similarity(a: Column, b: Column, s: Column | None = None, t: Column | None = None) -> Column:
+    """0.9 where one token set holds the other, else the larger of Jaccard and edit similarity; s and t are the token sets if known."""
+    s, t = (name_tokens(a), name_tokens(b)) if s is None else (s, t)
     both, either = F.size(F.array_intersect(s, t)), F.size(F.array_union(s, t))
     inside = (F.size(s) > 0) & (F.size(t) > 0) & (both == F.least(F.size(s), F.size(t)))
     jaccard = F.when(either == 0, F.lit(0.0)).otherwise(both / F.greatest(either, F.lit(1)))

@@ -1,38 +1,63 @@
 """Hashed bag-of-words vectors and dot products.
 
-A token falls into bucket h mod dim with the sign of bit 1 of h, where h is the first
-60 bits of its SHA-256: a built-in, so no Python runs. Vectors stay sparse, one row
-for each bucket; `blake_vector` is the dense variant by BLAKE2b, an Arrow UDF. Never
-mix the two in one index.
+A token falls into bucket h mod dim with the sign of bit 1 of h, where h is its 64-bit
+BLAKE2b, big-endian. Spark has no BLAKE2b, so an Arrow function hashes each distinct
+token once; all else is built-in. Vectors stay sparse and whole-numbered, so that dot
+products of equal texts are equal to the last bit.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import LongType
 
 from .text import words
 
 DIM = 384
 
 
-def token_hash(token: Column) -> Column:
-    return F.conv(F.substring(F.sha2(token, 256), 1, 15), 16, 10).cast("bigint")
+@F.pandas_udf(LongType())
+def _blake(tokens: pd.Series) -> pd.Series:
+    """The hash as a signed number; null stays null."""
+    return tokens.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True), na_action="ignore")
+
+
+def token_places(tokens: DataFrame, token: str = "tok", dim: int = DIM) -> DataFrame:
+    """(tok, bucket, sign) of the distinct tokens."""
+    hashed = tokens.select(F.col(token).alias("tok")).distinct().withColumn("h", _blake("tok"))
+    high, low = F.shiftrightunsigned("h", 1), F.col("h").bitwiseAND(1)  # h as unsigned: 2 * high + low
+    bucket = ((high % dim) * 2 + low) % dim
+    return hashed.select("tok", bucket.cast("int").alias("bucket"), F.when(high % 2 == 1, 1).otherwise(-1).alias("sign"))
+
+
+def components(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """(key, bucket, s): the non-zero sums of signs of each row; rows without tokens have none."""
+    parts = df.select(key, F.explode(words(F.col(text))).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("n"))
+    placed = parts.join(token_places(parts, "tok", dim), "tok")
+    return placed.groupBy(key, "bucket").agg(F.sum(F.col("n") * F.col("sign")).alias("s")).where("s <> 0")
+
+
+def vectors(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """(key, v, square): one row for each that has components; v is a map from bucket to sum, square its squared length."""
+    pairs = F.collect_list(F.struct("bucket", "s"))  # at most `dim` of them
+    rows = components(df, key, text, dim).groupBy(key).agg(F.map_from_entries(pairs).alias("v"), F.sum(F.col("s") * F.col("s")).alias("square"))
+    return rows
 
 
 def sparse(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """(key, bucket, w): the non-zero components of each row's unit vector; rows without tokens have none."""
-    h = token_hash(F.col("tok"))
-    parts = df.select(key, F.explode(words(F.col(text))).alias("tok")).select(key, (h % dim).alias("bucket"), F.when(F.shiftright(h, 1) % 2 == 1, 1).otherwise(-1).alias("sign"))
-    summed = parts.groupBy(key, "bucket").agg(F.sum("sign").alias("s")).where("s <> 0")
-    norm = F.sqrt(F.sum((F.col("s") * F.col("s")).cast("double")).over(Window.partitionBy(key)))
-    return summed.select(key, "bucket", (F.col("s") / norm).alias("w"))
+    """(key, bucket, w): the non-zero components of each row's unit vector."""
+    v = vectors(df, key, text, dim)
+    return v.select(key, "square", F.explode("v").alias("bucket", "s")).select(key, "bucket", (F.col("s") / F.sqrt("square")).alias("w"))
+
+
+def cosine(v: Column, square: Column, w: Column, other: Column) -> Column:
+    """Of two whole-numbered vectors (maps and squared lengths); 0 where one is missing."""
+    dot = F.aggregate(F.map_entries(w), F.lit(0).cast("bigint"), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at(v, x["key"]), F.lit(0)))
+    return F.coalesce(dot / F.sqrt(square.cast("double") * other), F.lit(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,16 +72,6 @@ def normalise(v: Column) -> Column:
     return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def blake_vector(texts: pd.Series) -> pd.Series:
-    """Dense hashed vectors by 64-bit BLAKE2b, big-endian; null has the zero vector."""
-
-    def one(text):
-        out = [0.0] * DIM
-        for tok in re.findall("[a-z0-9]+", (text or "").lower()):
-            h = int.from_bytes(hashlib.blake2b(tok.encode(), digest_size=8).digest(), "big")
-            out[h % DIM] += 1.0 if h >> 1 & 1 else -1.0
-        norm = math.sqrt(sum(x * x for x in out))
-        return [x / norm for x in out] if norm else out
-
-    return texts.map(one)
+def dense(v: Column, square: Column, dim: int = DIM) -> Column:
+    """A sparse vector as an array of `dim` unit components; null gives zeros."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(v, i) / F.sqrt(square), F.lit(0.0)))

@@ -2,52 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_text, overlap, token_set
-from ..functions.vector import dot, sparse
+from ..functions.vector import cosine, dot, vectors
 
 # Fixed values: (semantic, keyword) weights for a model's vectors and for hashed ones.
 WEIGHTS = {True: (0.7, 0.3), False: (0.4, 0.6)}
+#: Questions, or query vectors, that one pass over the candidates takes along as a constant.
+AT_ONCE = 256
+#: Parts that the rows of one label are dealt into.
+SALTS = 32
 
 
 def weights(semantic: bool) -> tuple[float, float]:
     return WEIGHTS[bool(semantic)]
 
 
-def vector_scores(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, fact_id, sim) where a query and an edge share a bucket: a join of sparse components."""
-    texts = edges.select("text").distinct()  # equal texts are embedded once
-    t = sparse(texts, "text", "text").select("text", "bucket", F.col("w").alias("wt"))
-    q = sparse(queries, "query_id", "query").select("query_id", "bucket", F.col("w").alias("wq"))
-    sims = t.join(q, "bucket").groupBy("query_id", "text").agg(F.sum(F.col("wt") * F.col("wq")).alias("sim"))
-    return edges.select("fact_id", "text").join(sims, "text").select("query_id", "fact_id", "sim")
+def _asked(queries: DataFrame, embedder) -> DataFrame:
+    """(query_id, subject, asked, vector columns) of each question."""
+    columns = ["query_id", "query", *(["subject"] if "subject" in queries.columns else [])]
+    q = queries.select(*columns).withColumn("asked", token_set(F.col("query")))
+    if embedder is not None:
+        return q.withColumn("qv", embedder.column(F.col("query")))
+    v = vectors(queries, "query_id", "query").select("query_id", F.map_entries("v").alias("qv"), F.col("square").alias("q_square"))
+    return q.join(v, "query_id", "left")
+
+
+def _blocks(rows: DataFrame) -> Iterator[Column]:
+    """The rows as constants, AT_ONCE in each: a stated set, read once by the driver."""
+    schema = rows.schema.simpleString()
+    held: list[str] = []
+    for r in rows.toLocalIterator():
+        held.append(json.dumps(r.asDict(recursive=True)))
+        if len(held) == AT_ONCE:
+            yield F.from_json(F.lit(f"[{','.join(held)}]"), f"array<{schema}>")
+            held = []
+    if held:
+        yield F.from_json(F.lit(f"[{','.join(held)}]"), f"array<{schema}>")
+
 
+def _best(scored: DataFrame, k: int, *ties: str) -> DataFrame:
+    """By the exact score; the shown one is rounded. Each task keeps k rows of a query before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
-def rank(queries: DataFrame, edges: DataFrame, k: int, semantic: bool = False, by_subject: bool = False) -> DataFrame:
+
+def rank(queries: DataFrame, edges: DataFrame, k: int, semantic: bool = False, by_subject: bool = False, embedder=None) -> DataFrame:
     """The k best edges of each (query_id, query[, subject]) row: score, then earlier recording, then fact_id.
 
     Edges carry fact_id, subject, predicate, object, tx_from. Nothing is cut by a
     threshold: edges that score zero fill up to k. With by_subject the candidates of a
-    query are its subject's edges (an equi-join); else every edge is scored for every
-    stated query. k best rows are kept before the shuffle by query.
+    query are its subject's edges (an equi-join); else one pass scores every edge for
+    AT_ONCE stated questions. Equal texts are embedded once. `embedder` gives a model's
+    vectors in place of hashed ones.
     """
     if k < 1:
         raise ValueError("limit must be at least 1")
-    w_sem, w_kw = weights(semantic)
-    edges = edges.withColumn("text", edge_text(F.col("subject"), F.col("predicate"), F.col("object")))
-    sims = vector_scores(queries, edges)
-    t = edges.withColumn("tokens", token_set(F.col("text")))
-    q = queries.withColumn("asked", token_set(F.col("query")))
+    w_sem, w_kw = weights(semantic if embedder is None else embedder.semantic)
+    edges = edges.withColumn("text", edge_text(F.col("subject"), F.col("predicate"), F.col("object"))).select("fact_id", "subject", "predicate", "object", "tx_from", "text")
+    texts = edges.select("text").distinct()
+    if embedder is None:
+        known, similar = vectors(texts, "text", "text"), lambda q: cosine(F.col("v"), F.col("square"), F.map_from_entries(q["qv"]), q["q_square"])
+    else:
+        known, similar = texts.withColumn("v", embedder.column(F.col("text"))), lambda q: F.coalesce(dot(F.col("v"), q["qv"]), F.lit(0.0))
+    t = edges.join(known, "text", "left").withColumn("tokens", token_set(F.col("text")))
+    asked = _asked(queries, embedder)
     if by_subject:
-        pairs = t.join(q.withColumnRenamed("subject", "of"), F.col("subject") == F.col("of"))
+        of = asked.withColumnRenamed("subject", "of")
+        pairs = [t.join(of.select("of", F.struct(*[c for c in of.columns if c != "of"]).alias("q")), F.col("subject") == F.col("of"))]
     else:
-        pairs = t.join(q.select("query_id", "query", "asked"))  # a stated set of questions against all edges
-    scored = pairs.join(sims, ["query_id", "fact_id"], "left").withColumn("score", F.lit(w_sem) * F.coalesce("sim", F.lit(0.0)) + F.lit(w_kw) * overlap(F.col("asked"), F.col("tokens")))
-    scored = scored.withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "tx_from", "fact_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "fact_id", "subject", "predicate", "object", "score")
+        pairs = [t.withColumn("q", F.explode(block)) for block in _blocks(asked.drop("query"))]
+    if not pairs:
+        pairs = [t.join(asked.select(F.struct(*asked.columns).alias("q")).limit(0), F.lit(True))]
+    scored = None
+    for p in pairs:
+        own = p.withColumn("score", F.lit(w_sem) * F.coalesce(similar(F.col("q")), F.lit(0.0)) + F.lit(w_kw) * overlap(F.col("q.asked"), F.col("tokens")))
+        own = own.select("q.query_id", "fact_id", "subject", "predicate", "object", "tx_from", "score")
+        scored = own if scored is None else scored.unionByName(own)
+    return _best(scored, k, "tx_from", "fact_id").select("query_id", "rank", "fact_id", "subject", "predicate", "object", "score")
 
 
 def answer(ranked: DataFrame) -> DataFrame:
@@ -55,9 +92,17 @@ def answer(ranked: DataFrame) -> DataFrame:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """k nearest rows of each query vector among those with its label, by dot product."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("of"))
-    pairs = vectors.join(q, (F.col("label") == F.col("of")) & (F.col("vec_id") != F.col("query_id")))
-    scored = pairs.withColumn("score", F.round(dot(F.col("embedding"), F.col("q")), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """k nearest rows of each query vector among those with its label, by dot product.
+
+    Queries go in blocks of about AT_ONCE to every one of SALTS parts of their label, so
+    that neither a label with most rows nor one with most queries is one task's.
+    """
+    n = -(-queries.count() // AT_ONCE)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n)))
+    blocks = queries.groupBy("label", block.alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))).alias("qs"))
+    blocks = blocks.select(F.col("label").alias("of"), "qs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    rows = vectors.select("vec_id", "label", "embedding", F.pmod(F.hash("vec_id"), F.lit(SALTS)).alias("salt"))
+    met = rows.join(blocks, (F.col("label") == F.col("of")) & (F.col("salt") == F.col("part")))
+    near = met.select("vec_id", "embedding", F.explode("qs").alias("q")).where("q.query_id <> vec_id")
+    scored = near.select("q.query_id", "vec_id", dot(F.col("embedding"), F.col("q.qv")).alias("score"))
+    return _best(scored, k, "vec_id").select("query_id", "rank", "vec_id", "score")

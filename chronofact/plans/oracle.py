@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .blake import tokens_sql
+
 _F = """f AS (SELECT event_id+1 AS seq, 'f'||event_id AS fact_id, 'e'||event_id AS episode_id, 'u'||user_id AS subject, event_type AS predicate,
   'k'||json_extract_string(props,'$.k') AS object, ts AS valid_from, ts AS recorded_at, event_type IN ('click','view','purchase') AS multi, props AS payload FROM events)"""
 _E = (
@@ -35,14 +37,17 @@ al AS (SELECT alias_id, arg_max({'c': canonical_id}, i).c AS canonical_id FROM s
 _NUM = _F + ", d AS (SELECT seq, fact_id AS ref, sha256(fact_id||'|'||subject||'|'||predicate||'|'||object) AS ph FROM f)"
 _G = "'" + "0" * 64 + "'"
 _CHAIN = _NUM + f", c AS (SELECT list_reduce(list_prepend({_G}, list(ph ORDER BY seq)), lambda a, b: a || sha256(right(a,64)||b)) AS s, count(*) AS n FROM d)"
-_VEC = """CAST(('0x'||substr(sha256(tok),1,15)) AS BIGINT)"""
 _DEEP = _F
 
 
-def _sparse(name: str, source: str, key: str, text: str) -> str:
-    return f"""{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower({text}),'[a-z0-9]+')) AS tok FROM {source}),
-{name}_s AS (SELECT {key}, {_VEC} % 384 AS bucket, sum(CASE WHEN ({_VEC} >> 1) % 2 = 1 THEN 1 ELSE -1 END) AS s FROM {name}_t GROUP BY ALL HAVING sum(CASE WHEN ({_VEC} >> 1) % 2 = 1 THEN 1 ELSE -1 END) <> 0),
-{name} AS (SELECT {key}, bucket, s / sqrt(sum((s*s)::DOUBLE) OVER (PARTITION BY {key})) AS w FROM {name}_s)"""
+def _vectors(**sources: tuple[str, str, str]) -> str:
+    """For each name (source, key, text): name(key, bucket, s) and name_n(key, sq), by one table of hashed tokens."""
+    parts = [f"{n}_t AS (SELECT {k}, unnest(regexp_extract_all(lower({t}),'[a-z0-9]+')) AS tok FROM {src})" for n, (src, k, t) in sources.items()]
+    parts.append(tokens_sql("hashed", " UNION ALL ".join(f"SELECT tok FROM {n}_t" for n in sources)))
+    for n, (_, k, _) in sources.items():
+        parts.append(f"{n} AS (SELECT {k}, bucket, sum(sign)::BIGINT AS s FROM {n}_t JOIN hashed USING (tok) GROUP BY ALL HAVING sum(sign) <> 0)")
+        parts.append(f"{n}_n AS (SELECT {k}, sum(s*s)::DOUBLE AS sq FROM {n} GROUP BY ALL)")
+    return ",\n".join(parts)
 
 
 _Q = "q(query_id, query, subject) AS (VALUES (1::BIGINT,'what did u12 purchase','u12'),(2,'u7 click k3','u7'),(3,'signup of u40 k9','u40'),(4,'errors','u3'))"
@@ -50,21 +55,21 @@ _Q = "q(query_id, query, subject) AS (VALUES (1::BIGINT,'what did u12 purchase',
 
 def _rank(where: str, sem: float, kw: float, by_subject: bool, out: str) -> str:
     return f"""WITH {_E}, {_Q}, c AS (SELECT fact_id, subject, predicate, object, recorded_at AS tx_from, subject||' '||predicate||' '||object AS text FROM e WHERE {where}),
-{_sparse('tv', '(SELECT DISTINCT text FROM c)', 'text', 'text')}, {_sparse('qv', 'q', 'query_id', 'query')},
-sims AS (SELECT query_id, text, sum(tv.w*qv.w) AS sim FROM tv JOIN qv USING (bucket) GROUP BY ALL),
+{_vectors(tv=('(SELECT DISTINCT text FROM c)', 'text', 'text'), qv=('q', 'query_id', 'query'))},
+sims AS (SELECT query_id, text, sum(tv.s*qv.s)::DOUBLE / sqrt(any_value(tv_n.sq) * any_value(qv_n.sq)) AS sim FROM tv JOIN qv USING (bucket) JOIN tv_n USING (text) JOIN qv_n USING (query_id) GROUP BY ALL),
 p AS (SELECT q.query_id, c.*, {_TOK.format('q.query')} AS qt, {_TOK.format('c.text')} AS ct FROM q JOIN c ON {'c.subject=q.subject' if by_subject else 'true'}),
-sc AS (SELECT p.*, round({sem}*coalesce(sim,0) + {kw}*CASE WHEN len(qt)=0 THEN 0 ELSE len(list_intersect(qt,ct))/len(qt) END, 6) AS score FROM p LEFT JOIN sims s ON s.query_id=p.query_id AND s.text=p.text),
+sc AS (SELECT p.*, {sem}::DOUBLE*coalesce(sim,0) + {kw}::DOUBLE*CASE WHEN len(qt)=0 THEN 0 ELSE len(list_intersect(qt,ct))/len(qt) END AS score FROM p LEFT JOIN sims s ON s.query_id=p.query_id AND s.text=p.text),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tx_from, fact_id) AS rank FROM sc)
 {out}"""
 
 
-_TOP = "SELECT query_id, rank, fact_id, object, score FROM rk WHERE rank<=5"
+_TOP = "SELECT query_id, rank, fact_id, object, round(score,6) AS score FROM rk WHERE rank<=5"
 _AT = "valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR TIMESTAMP '2024-01-15' < valid_to)"
 _LEX = """list_distinct(regexp_extract_all(lower({0}),'[a-z0-9]+'))"""
 _ER = f"""nm AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL),
 pr AS (SELECT x.name AS a, y.name AS b, {_LEX.format('x.name')} AS s, {_LEX.format('y.name')} AS t FROM nm x JOIN nm y ON x.name<y.name),
-{_sparse('nv', 'nm', 'name', 'name')},
-cs AS (SELECT x.name AS a, y.name AS b, sum(x.w*y.w) AS cosine FROM nv x JOIN nv y USING (bucket) WHERE x.name<y.name GROUP BY ALL),
+{_vectors(nv=('nm', 'name', 'name'))},
+cs AS (SELECT x.name AS a, y.name AS b, sum(x.s*y.s)::DOUBLE / sqrt(any_value(i.sq) * any_value(j.sq)) AS cosine FROM nv x JOIN nv y USING (bucket) JOIN nv_n i ON i.name=x.name JOIN nv_n j ON j.name=y.name WHERE x.name<y.name GROUP BY ALL),
 ps AS (SELECT pr.a, pr.b, greatest(CASE WHEN len(s)>0 AND len(t)>0 AND len(list_intersect(s,t))=least(len(s),len(t)) THEN 0.9
   ELSE greatest(len(list_intersect(s,t))/greatest(len(list_distinct(list_concat(s,t))),1), CASE WHEN greatest(length(pr.a),length(pr.b))=0 THEN 1.0 ELSE 1.0-levenshtein(lower(pr.a),lower(pr.b))/greatest(length(pr.a),length(pr.b)) END) END, coalesce(cosine,0)) AS score
   FROM pr LEFT JOIN cs ON cs.a=pr.a AND cs.b=pr.b)"""
@@ -116,9 +121,9 @@ SELECT alias_id, arg_max(cur, len(seen)) AS resolved FROM wk GROUP BY 1""",
     "erased_refs": f"WITH {_F}, {_T}, {_KEYS}, z AS (SELECT subject_id FROM t WHERE subject_id NOT IN (SELECT subject_id FROM keys)) SELECT episode_id AS ref FROM f WHERE subject IN (SELECT subject_id FROM z) UNION SELECT fact_id FROM f WHERE subject IN (SELECT subject_id FROM z)",
     "tokens": f"SELECT token, count(*) AS docs FROM (SELECT unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY 1",
     "keyword_overlap": f"WITH {_OVER} SELECT item_id, doc_id, score FROM best WHERE r=1",
-    "hash_embed": f"WITH {_sparse('v', 'benchmark', 'item_id', 'text')} SELECT item_id, bucket, round(w,6) AS w FROM v",
-    "vector_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),6) AS score FROM embeddings q JOIN embeddings e ON e.label=q.label AND e.vec_id<>q.vec_id WHERE q.vec_id<20),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, score FROM r WHERE rank<=5""",
+    "hash_embed": f"WITH {_vectors(v=('benchmark', 'item_id', 'text'))} SELECT item_id, bucket::INT AS bucket, round(s / sqrt(sq),6) AS w FROM v JOIN v_n USING (item_id)",
+    "vector_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON e.label=q.label AND e.vec_id<>q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(score,6) AS score FROM r WHERE rank<=5""",
     "hybrid_topk": _rank("valid_to IS NULL", 0.4, 0.6, False, _TOP),
     "hybrid_topk_asof": _rank(_AT, 0.4, 0.6, True, _TOP),
     "weights_semantic": _rank("valid_to IS NULL", 0.7, 0.3, False, _TOP),
