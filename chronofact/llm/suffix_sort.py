@@ -8,9 +8,10 @@ Those of one symbol arrive in their order already, so the queue keeps runs for e
 of symbols; what exceeds its memory goes to disk. The common prefix of two induced suffixes
 is one longer than the least of the values between the suffixes that they come from.
 
-The leftmost S suffixes are named by their substrings, whose symbols are compared, and
-sorted by recursion on the names until all names differ; no hash decides anything. Texts
-and orders that exceed the memory lie in mapped files, so a shard can be larger than it.
+The leftmost S suffixes are named by their substrings, which are sorted by their symbols
+and types, and sorted by recursion on the names until all names differ; no hash decides
+anything. Texts and orders that exceed the memory lie in mapped files, so a shard can be
+larger than it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 #: Bytes of queued tuples in memory, and of each text or order; what comes beyond lies in unlinked files of the task.
 MEMORY = 4 << 20
 #: Occurrences of the symbols that a sweep takes together; a symbol with more is taken by itself.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 14
 #: Symbols in a row within one block up to which they are ordered together; beyond it the block is halved.
 DEPTH = 16
 
@@ -112,11 +113,15 @@ class _Sweep:
     """One ascending sweep: from the suffixes `seeds`, in order, to those of the type `wanted` to the left of them.
 
     Values are common prefixes with the suffix before of the same first symbol (0 for the
-    first one). Without `values` only the order is made.
+    first one).
     """
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, values: np.ndarray | None, symbols: int, memory: int):
-        self.text, self.wanted, self.seeds, self.values = text, wanted, seeds, values
+    def __init__(self, text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, values: np.ndarray, symbols: int, memory: int):
+        self.text, self.seeds, self.values = text, seeds, values
+        #: Twice the symbol, and one more where the type is wanted.
+        self.code = text * text.dtype.type(2) + wanted
+        self.code[-1] = 0
+        self.code = _hold(self.code, memory)
         self.queue = Queue(memory)
         count = np.cumsum(np.bincount(text, minlength=symbols))
         self.cuts, at = [0], 0
@@ -129,7 +134,7 @@ class _Sweep:
 
     def _seeds_of(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.searchsorted(self.seed_symbols, [lo, hi]) if self.seed_cuts is None else (self.seed_cuts[lo], self.seed_cuts[hi])
-        return np.asarray(self.seeds[a:b]), (np.zeros(b - a, np.int32) if self.values is None else np.asarray(self.values[a:b]))
+        return np.asarray(self.seeds[a:b]), np.asarray(self.values[a:b])
 
     def run(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places, values, whether a seed) block by block; within a symbol seeds come last."""
@@ -155,11 +160,9 @@ class _Sweep:
 
     def _left(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index, place, symbol) of the left neighbours that are wanted."""
-        index = np.flatnonzero(places > 0)
-        left = places[index] - 1
-        own = self.wanted[left]
-        index, left = index[own], left[own]
-        return index, left, self.text[left]
+        code = self.code[places - 1]  # of the first place's left neighbour the end mark's, whose type is set to unwanted
+        index = np.flatnonzero(code & 1)
+        return index, places[index] - 1, code[index] >> 1
 
     def _send(self, hi: int, places: np.ndarray, values: np.ndarray) -> None:
         """Left neighbours with a symbol from `hi` on to their queues, each symbol's in the given order."""
@@ -172,17 +175,13 @@ class _Sweep:
         index, symbol = index[by], symbol[by]
         run = np.ones((2, len(by)), np.int32)
         run[0] = left[by]
-        if self.values is not None:
-            same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-            run[1, same] = 1 + _Least(values).between(index[same - 1], index[same])
+        same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+        run[1, same] = 1 + _Least(values).between(index[same - 1], index[same])
         ends = np.searchsorted(symbol, self.cuts)
         for start, a, b in zip(self.cuts[:-1], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if a < b:
                 self.queue.push(start, run[:, a:b])
 
-    def _seam(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _common(self.text, a, b) if self.values is not None else np.zeros(len(a), np.int32)
-
     def _one(self, symbol: int, arrived: np.ndarray, seeds: np.ndarray, seed_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A single symbol: those that follow it come after it, run by run."""
         parts, depth = [arrived], 0
@@ -194,14 +193,14 @@ class _Sweep:
                 break
             run = np.full((2, len(left)), depth, np.int32)
             run[0] = left
-            if self.values is not None and len(left) > 1:
+            if len(left) > 1:
                 run[1, 1:] = 1 + _Least(parts[-1][1]).between(index[:-1], index[1:])
             parts.append(run)
         places, values = np.concatenate(parts, axis=1)
         n = len(places)
         places, values = np.concatenate([places, seeds]), np.concatenate([values, seed_values])
         if n and len(seeds):
-            values[n : n + 1] = self._seam(places[n - 1 : n], places[n : n + 1])
+            values[n : n + 1] = _common(self.text, places[n - 1 : n], places[n : n + 1])
         values[:1] = 0
         return places, values, np.arange(len(places)) >= n
 
@@ -242,16 +241,15 @@ class _Sweep:
             by = np.lexsort(chain[::-1])
             place, chain, origin, steps = place[by], chain[:, by], origin[by], steps[by]
             new = np.ones(len(place), np.int32)
-            if self.values is not None and len(place) > 1:
+            if len(place) > 1:
                 new[1:] = self._chained(chain, place, origin, steps, base_values)
             key = np.concatenate([base_key, chain[0]])
             by = np.argsort(key, kind="stable")
             key, places, values = key[by], np.concatenate([base_places, place])[by], np.concatenate([base_values, new])[by]
-        if self.values is not None:
-            border = np.flatnonzero(key[1:] != key[:-1]) + 1
-            values[border] = 0
-            within = border[key[border] // 3 == key[border - 1] // 3]
-            values[within] = self._seam(places[within - 1], places[within])
+        border = np.flatnonzero(key[1:] != key[:-1]) + 1
+        values[border] = 0
+        within = border[key[border] // 3 == key[border - 1] // 3]
+        values[within] = _common(self.text, places[within - 1], places[within])
         values[:1] = 0
         return places, values, key % 3 == 2
 
@@ -268,7 +266,7 @@ class _Sweep:
             i = np.flatnonzero(known)
             out[i] += _Least(base).between(origin[i], origin[i + 1]) - 1
         seam = np.flatnonzero(~known & (a // 3 == b // 3))
-        out[seam] += self._seam(place[seam] + differs[seam], place[seam + 1] + differs[seam])
+        out[seam] += _common(self.text, place[seam] + differs[seam], place[seam + 1] + differs[seam])
         return out
 
 
@@ -280,34 +278,49 @@ def _types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rises, np.diff(np.concatenate([[-1], change, [n - 1]])))
 
 
-def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, values: np.ndarray | None, symbols: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, values: np.ndarray, symbols: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, values) of all suffixes but the end mark's, in descending order, block by block."""
     kept = [(p[~s], v[~s]) for p, v, s in _Sweep(text, ~small, seeds, values, symbols, memory).run()]
-    places, common = (_hold(np.concatenate(c)[::-1], memory) for c in zip(*kept, strict=True))
+    places, common = (np.concatenate(c)[::-1] for c in zip(*kept, strict=True))
     del kept
-    if values is None:
-        common = None
-    else:  # with the one before in descending order
-        common = _hold(np.concatenate([np.zeros(1, np.int32), common[:-1]]), memory)
+    places, common = _hold(places, memory), _hold(np.append(np.zeros(1, np.int32), common[:-1]), memory)  # with the one before in descending order
     mirrored = _hold((symbols - 1 - text).astype(text.dtype), memory)
     for p, v, _ in _Sweep(mirrored, small, places, common, symbols, memory).run():
         yield p, v
 
 
-def _names(text: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether it is the substring before again, common prefix with that suffix where it is not) of substrings in order."""
-    p, q, short = ranked[:-1], ranked[1:], size[:-1]
-    alike = size[1:] == short
-    same, common = np.zeros(len(ranked), bool), np.zeros(len(ranked), np.int32)
-    left, k = np.arange(len(p)), 0
-    while len(left):
-        left = left[text[p[left] + k] == text[q[left] + k]]
-        k += 1
-        common[left + 1] = k
-        whole = alike[left] & (short[left] <= k)
-        same[left[whole] + 1] = True
-        left = left[~whole]
-    return same, common
+def _substrings(text: np.ndarray, small: np.ndarray, starts: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether it is the one before again) of the substrings from each start to the next one, both included.
+
+    They are compared by symbol and, of equal symbols, type (L before S): as many at once
+    as a word holds, then the next ones of those that are equal so far.
+    """
+    size = np.append(np.diff(starts) + 1, 1)
+    bits = (2 * symbols - 1).bit_length()
+    at_once, end = 63 // bits, len(text) - 1
+
+    def key(which: np.ndarray, depth: int) -> np.ndarray:
+        out, p, left = np.zeros(len(which), np.int64), starts[which] + depth, size[which] - depth
+        for j in range(at_once):
+            at = np.minimum(p + j, end)
+            out = (out << bits) | np.where(left > j, 2 * text[at].astype(np.int64) + small[at], 0)
+        return out
+
+    keys = key(np.arange(len(starts)), 0)
+    order = np.argsort(keys, kind="stable")
+    head = np.append(True, keys[order[1:]] != keys[order[:-1]])
+    depth = at_once
+    while True:
+        alone = head & np.append(head[1:], True)
+        at = np.flatnonzero(~alone & (size[order] > depth))
+        if not len(at):
+            return order, ~head
+        group = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))[at]
+        keys = key(order[at], depth)
+        by = np.lexsort((keys, group))
+        order[at], keys = order[at[by]], keys[by]
+        head[at[1:]] |= keys[1:] != keys[:-1]
+        depth += at_once
 
 
 def suffixes(text: np.ndarray, symbols: int, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,31 +335,24 @@ def suffixes(text: np.ndarray, symbols: int, memory: int = MEMORY) -> Iterator[t
     text, small = _hold(text, memory), _hold(_types(text), memory)
     leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     m = len(leftmost)
-    order, common = leftmost, np.zeros(m, np.int32)
-    if m > 1:
-        rough = leftmost[np.argsort(text[leftmost], kind="stable")]
-        number = np.full(n, -1, np.int32)
-        number[leftmost] = np.arange(m)
-        ranked = np.concatenate([p[number[p] >= 0] for p, _ in _induce(text, small, rough, None, symbols, memory)] + [leftmost[-1:]])[::-1]
-        size = np.append(np.diff(leftmost) + 1, 1)
-        own = number[ranked]
-        same, between = _names(text, ranked, size[own])
-        names = np.cumsum(~same) - 1
-        distinct = int(names[-1]) + 1
-        if distinct == m:
-            order, common = ranked, between
-        else:
-            reduced = np.empty(m, np.int32)
-            reduced[own] = names
-            parts = list(suffixes(reduced, distinct, memory))
-            at, equal = (np.concatenate(c)[::-1] for c in zip(*parts, strict=True))
-            equal = np.append(np.zeros(1, np.int32), equal[:-1])
-            # As many names, then what the suffixes at the first different names have in common.
-            i, j = leftmost[at[:-1] + equal[1:]], leftmost[at[1:] + equal[1:]]
-            order, common = leftmost[at], np.zeros(m, np.int32)
-            common[1:] = i - order[:-1] + _common(text, i, j)
-            del reduced, parts
-        del number, ranked, rough
+    ranked, same = _substrings(text, small, leftmost, symbols)
+    names = np.cumsum(~same) - 1
+    distinct, common = int(names[-1]) + 1, np.zeros(m, np.int32)
+    if distinct == m:
+        order = leftmost[ranked]
+        common[1:] = _common(text, order[:-1], order[1:])
+    else:
+        reduced = np.empty(m, np.int32)
+        reduced[ranked] = names
+        parts = list(suffixes(reduced, distinct, memory))
+        at, equal = (np.concatenate(c)[::-1] for c in zip(*parts, strict=True))
+        equal = np.append(np.zeros(1, np.int32), equal[:-1])
+        # As many names, then what the suffixes at the first different names have in common.
+        i, j = leftmost[at[:-1] + equal[1:]], leftmost[at[1:] + equal[1:]]
+        order = leftmost[at]
+        common[1:] = i - order[:-1] + _common(text, i, j)
+        del reduced, parts
+    del ranked, names
     yield from _induce(text, small, _hold(order, memory), _hold(common, memory), symbols, memory)
     yield np.array([n - 1], np.int32), np.zeros(1, np.int32)
 
