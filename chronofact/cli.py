@@ -28,11 +28,12 @@ def verify(engine: Engine, user: str | None = None, deep: bool = False) -> int:
 def write_evidence(engine: Engine, out: str = ".", deep: bool = False) -> int:
     """Write evidence.json and EVIDENCE.md into the folder `out`, which is made if absent."""
     summary, erasures = engine.evidence(deep), engine.erasures().collect()  # one row for each erased subject
-    bundle = summary.asDict() | {"deep": deep, "register": [e.asDict() for e in erasures], "certificates": [c.asDict() for c in engine.certificates().collect()]}
+    certificates = engine.certificates().collect()  # as many as erasures
+    bundle = summary.asDict() | {"deep": deep, "register": [e.asDict() for e in erasures], "certificates": [c.asDict() for c in certificates]}
     folder = Path(out)
     folder.mkdir(parents=True, exist_ok=True)
     (folder / "evidence.json").write_text(json.dumps(bundle, indent=2, default=lambda t: t.isoformat()) + "\n")
-    (folder / "EVIDENCE.md").write_text(evidence_markdown(summary, erasures))
+    (folder / "EVIDENCE.md").write_text(evidence_markdown(summary, erasures, certificates))
     print(f"{'ok' if summary.ok else 'FAILED'}: {len(erasures)} erasures, {summary.entries} entries, written to {folder}")
     return 0 if summary.ok else 1
 

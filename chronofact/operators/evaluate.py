@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def accuracy(answers: DataFrame) -> DataFrame:
     """Share of (got, expected) rows whose answer contains the expected text, in any case."""
@@ -24,11 +26,21 @@ def scorable(questions: DataFrame, ingested) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """Percentiles of each group: the sorted sample at round(p/100 * n) - 1, within bounds."""
-    w = Window.partitionBy(group)
-    rows = values.select(group, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("at"), F.count("*").over(w).alias("n"))
-    pick = lambda p: F.max(F.when(F.col("at") == F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(p / 100) * F.col("n")).cast("int"))), F.col("v"))).alias(f"p{p}")
-    return rows.groupBy(group).agg(*[pick(p) for p in percents])
+    """Percentiles of each group: the sorted sample at round(p/100 * n) - 1, within bounds; nulls take no part.
+
+    Equal values are counted first; their running count is taken within ranges of values,
+    to which the counts of the ranges before are added, so a group is as many tasks as it has ranges.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    parted = materialise(counted.repartitionByRange(group, "v").withColumn("part", F.spark_partition_id()))
+    sums = parted.groupBy(group, "part").agg(F.sum("n").alias("in_part"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    sums = sums.select(group, "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("below"), F.sum("in_part").over(Window.partitionBy(group)).alias("total"))
+    within = Window.partitionBy(group, "part").orderBy("v")
+    rows = parted.withColumn("upto", F.sum("n").over(within)).join(sums, [group, "part"]).withColumn("upto", F.col("upto") + F.col("below"))
+    place = lambda p: F.greatest(F.lit(1), F.least(F.col("total"), F.bround(F.lit(p / 100) * F.col("total")).cast("bigint")))
+    # The least value whose count up to and with it reaches the place.
+    return rows.groupBy(group).agg(*[F.min(F.when(F.col("upto") >= place(p), F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def session_date(text, index):

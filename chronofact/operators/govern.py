@@ -41,16 +41,64 @@ class Receipt:
     dry_run: bool = False
 
 
+class Adapter:
+    """A client's methods by name, or functions (client, ...), for add, search, delete and read.
+
+    A name that the client lacks fails at once. Without `read` nothing is read back.
+    """
+
+    def __init__(self, client, add="add", search="search", delete="delete", read=None):
+        self.client, self.calls = client, {}
+        for what, how in (("add", add), ("search", search), ("delete", delete), ("read", read)):
+            if how is None:
+                continue
+            if callable(how):
+                self.calls[what] = lambda *a, __how=how: __how(client, *a)
+            elif callable(found := getattr(client, how, None)):
+                self.calls[what] = found
+            else:
+                raise AttributeError(f"{type(client).__name__} has no method {how!r} for {what}")
+
+    @property
+    def reads_back(self) -> bool:
+        return "read" in self.calls
+
+    def add(self, text: str, subject_id: str) -> Any:
+        return self.calls["add"](text, subject_id)
+
+    def search(self, query: str, subject_id: str | None = None) -> Any:
+        return self.calls["search"](query, subject_id)
+
+    def delete(self, subject_id: str) -> Any:
+        return self.calls["delete"](subject_id)
+
+    def read(self, subject_id: str) -> Any:
+        return self.calls["read"](subject_id)
+
+
+def adapter_for(client) -> Adapter:
+    """An adapter by the methods that a client has: of each kind the first known name counts."""
+    known = {"add": ("add", "insert", "store"), "search": ("search", "query", "find"), "delete": ("delete", "delete_all", "forget", "remove"), "read": ("read", "get_all", "get", "list")}
+    chosen = {what: next((n for n in names if callable(getattr(client, n, None))), None) for what, names in known.items()}
+    if missing := [w for w in ("add", "delete") if chosen[w] is None]:
+        raise AttributeError(f"{type(client).__name__} has no method for {', '.join(missing)}")
+    return Adapter(client, **chosen)
+
+
 class Governed:
     """Writes go to the ledger, then to the store; a failed store write is raised after it was recorded."""
 
-    def __init__(self, store: Downstream, ledger, requested_by: str = "operator"):
+    def __init__(self, store: Downstream | Adapter, ledger, requested_by: str = "operator"):
         self.store, self.ledger, self.requested_by = store, ledger, requested_by
 
     def add(self, text: str, subject_id: str) -> Any:
         self.ledger.add(text, subject_id=subject_id)
         return self.store.add(text, subject_id)
 
+    def search(self, query: str, subject_id: str | None = None) -> Any:
+        """The store's own answer, passed through."""
+        return self.store.search(query, subject_id)
+
     def forget(self, subject_id: str, dry_run: bool = False) -> tuple[Receipt, dict]:
         """Delete in the store, read back, record the outcome, erase in the ledger whatever the store did."""
         if dry_run:
@@ -60,7 +108,7 @@ class Governed:
             self.store.delete(subject_id)
         except Exception as e:  # the receipt tells what went wrong
             error = f"{type(e).__name__}: {e}"
-        if hasattr(self.store, "read"):
+        if getattr(self.store, "reads_back", hasattr(self.store, "read")):
             try:
                 verified = not is_present(self.store.read(subject_id))
             except Exception as e:
@@ -70,6 +118,17 @@ class Governed:
         return Receipt(subject_id, done, verified, done and verified is not False, error), self.ledger.forget(subject_id, self.requested_by)
 
 
+def from_environment(environment: dict[str, str], ledger) -> Governed | None:
+    """A governed HTTP store if CHRONOFACT_UPSTREAM is set; an empty CHRONOFACT_UPSTREAM_READ turns read-back off."""
+    if not (base := environment.get("CHRONOFACT_UPSTREAM")):
+        return None
+    from ..sources.http import HTTPClient
+
+    paths = {w: environment[f"CHRONOFACT_UPSTREAM_{w.upper()}"] for w in ("add", "search", "delete", "read") if f"CHRONOFACT_UPSTREAM_{w.upper()}" in environment}
+    client = HTTPClient(base, **paths)
+    return Governed(Adapter(client, read="read" if client.paths["read"] else None), ledger)
+
+
 def reconcile(tombstones: DataFrame, downstream: DataFrame) -> DataFrame:
     """Forgotten subjects and the rows that a store still has of them."""
     left = downstream.join(tombstones.select("subject_id").distinct(), "subject_id", "left_semi").groupBy("subject_id").agg(F.count("*").alias("rows_left"))

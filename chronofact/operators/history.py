@@ -21,11 +21,17 @@ def provenance(facts: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def conflicts(edges: DataFrame) -> DataFrame:
-    """Single-valued keys that ever had two or more values, with their values by validity."""
-    item = F.struct("valid_from", "seq", "object", "valid_to", "alive")
-    g = edges.where("NOT multi").groupBy("subject", "predicate").agg(F.count_distinct("object").alias("n"), F.sort_array(F.collect_list(item)).alias("xs"), F.min("seq").alias("first_seq"))
+    """Single-valued keys that ever had two or more values, with their values by validity.
+
+    Keys are found by counts; the list of values is made of these only, and is the result itself.
+    """
+    single = edges.where("NOT multi")
+    found = single.groupBy("subject", "predicate").agg(F.min("object").alias("least"), F.max("object").alias("most"), F.min("seq").alias("first_seq")).where("least <> most")
+    own = single.select("subject", "predicate", "object", "valid_from", "seq").join(found.select("subject", "predicate", "first_seq"), ["subject", "predicate"])
+    different = own.groupBy("subject", "predicate", "object").agg(F.lit(1).alias("one")).groupBy("subject", "predicate").agg(F.count("*").alias("n_values"))
+    listed = own.groupBy("subject", "predicate").agg(F.sort_array(F.collect_list(F.struct("valid_from", "seq", "object"))).alias("xs"), F.min("first_seq").alias("first_seq"))
     values = F.array_join(F.transform("xs", lambda x: x["object"]), ",")
-    return g.where("n >= 2").select("subject", "predicate", F.col("n").alias("n_values"), values.alias("value_list"), F.lit("recency").alias("resolution"), "first_seq")
+    return listed.join(different, ["subject", "predicate"]).select("subject", "predicate", "n_values", values.alias("value_list"), F.lit("recency").alias("resolution"), "first_seq")
 
 
 def graph_edges(edges: DataFrame) -> DataFrame:

@@ -6,26 +6,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.shared import materialise
 
 
-def fold(log: DataFrame) -> DataFrame:
-    """Edges: the last assertion of a fact, closed by the last invalidation after it; its place is its first assertion's.
+_FIELDS = ("subject", "predicate", "object", "valid_from", "valid_to", "confidence", "episode_id", "char_span", "subject_id", "recorded_at")
+
 
-    Invalidations of unknown facts do nothing. One shuffle by fact_id, combined before it.
+def fold_state(log: DataFrame) -> DataFrame:
+    """What the fold keeps of each fact: its last assertion, the place of its first one, its last invalidation.
+
+    One shuffle by fact_id, combined before it.
     """
-    fields = ("subject", "predicate", "object", "valid_from", "valid_to", "confidence", "episode_id", "char_span", "subject_id", "recorded_at")
     asserted, gone = F.col("op") == S.ASSERTED, F.col("op") == S.INVALIDATED
     rows = log.where(F.col("op").isin(S.ASSERTED, S.INVALIDATED))
     last = rows.groupBy("fact_id").agg(
-        F.max_by(F.when(asserted, F.struct("seq", *fields)), F.when(asserted, F.col("seq"))).alias("a"),
+        F.max_by(F.when(asserted, F.struct("seq", *_FIELDS)), F.when(asserted, F.col("seq"))).alias("a"),
         F.min(F.when(asserted, F.col("seq"))).alias("pos"),
         F.max_by(F.when(gone, F.struct("seq", "valid_to", "recorded_at")), F.when(gone, F.col("seq"))).alias("i"),
     )
-    closed = F.coalesce(F.col("i.seq") > F.col("a.seq"), F.lit(False))
-    out = last.where("a IS NOT NULL").select("fact_id", "pos", *[F.col(f"a.{c}").alias(c) for c in fields if c not in ("valid_to", "recorded_at")], F.col("a.recorded_at").alias("tx_from"), F.when(closed, F.col("i.valid_to")).otherwise(F.col("a.valid_to")).alias("valid_to"), F.when(closed, F.col("i.recorded_at")).alias("tx_to"))
+    gone = (F.col("i.seq").alias("gone_at"), F.col("i.valid_to").alias("gone_to"), F.col("i.recorded_at").alias("gone_recorded"))
+    return last.select("fact_id", "pos", F.col("a.seq").alias("asserted_at"), *[F.col(f"a.{c}").alias(c) for c in _FIELDS], *gone)
+
+
+def merge_state(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The state of a log from that of its beginning and that of its rest: what came later counts."""
+    both = before.alias("b").join(after.alias("n"), F.col("b.fact_id") == F.col("n.fact_id"), "full")
+    later = lambda at, names: [F.when(F.col(f"n.{at}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in names]
+    return both.select(
+        F.coalesce("b.fact_id", "n.fact_id").alias("fact_id"),
+        F.least("b.pos", "n.pos").alias("pos"),
+        *later("asserted_at", ("asserted_at", *_FIELDS)),
+        *later("gone_at", ("gone_at", "gone_to", "gone_recorded")),
+    )
+
+
+def edges_of(state: DataFrame) -> DataFrame:
+    """Edges: an assertion is closed by an invalidation after it. Invalidations of unknown facts do nothing."""
+    closed = F.coalesce(F.col("gone_at") > F.col("asserted_at"), F.lit(False))
+    known = [F.col(c) for c in _FIELDS if c not in ("valid_to", "recorded_at")]
+    out = state.where("asserted_at IS NOT NULL").select("fact_id", "pos", *known, F.col("recorded_at").alias("tx_from"), F.when(closed, F.col("gone_to")).otherwise(F.col("valid_to")).alias("valid_to"), F.when(closed, F.col("gone_recorded")).alias("tx_to"))
     return out.withColumn("alive", F.col("valid_to").isNull())
 
 
+def fold(log: DataFrame) -> DataFrame:
+    """The edges of a log."""
+    return edges_of(fold_state(log))
+
+
 def without_forgotten(rows: DataFrame, tombstones: DataFrame, column: str = "subject_id") -> DataFrame:
     """Rows whose subject has no tombstone; a tombstone holds for good, wherever it stands in the log."""
     gone = tombstones.select(F.col("subject_id").alias("__gone")).distinct()
@@ -60,13 +87,16 @@ def entities(edges: DataFrame, merges: DataFrame | None = None) -> DataFrame:
 
 
 def alias_state(log: DataFrame) -> DataFrame:
-    """(alias_id, canonical_id) after replaying merges and unmerges: an unmerge counts only against the current target."""
-    rows = log.where(F.col("op").isin(S.MERGED, S.UNMERGED)).groupBy("alias_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "canonical_id"))).alias("xs"))
-
-    def step(now, x):
-        return F.when(x["op"] == S.MERGED, x["canonical_id"]).when(now.eqNullSafe(x["canonical_id"]), F.lit(None)).otherwise(now)
+    """(alias_id, canonical_id) after replaying merges and unmerges: an unmerge counts only against the current target.
 
-    return rows.select("alias_id", F.aggregate("xs", F.lit(None).cast("string"), step).alias("canonical_id")).where("canonical_id IS NOT NULL")
+    The current target is that of the last merge, unless an unmerge of the same pair came
+    after it; unmerges of other pairs change nothing. So aggregates do, without a list.
+    """
+    merged = F.col("op") == S.MERGED
+    rows = log.where(F.col("op").isin(S.MERGED, S.UNMERGED)).select("alias_id", "canonical_id", "seq", merged.alias("merged"))
+    pairs = rows.groupBy("alias_id", "canonical_id").agg(F.max(F.when(F.col("merged"), F.col("seq"))).alias("made"), F.max(F.when(~F.col("merged"), F.col("seq"))).alias("undone"))
+    last = pairs.where("made IS NOT NULL").groupBy("alias_id").agg(F.max_by(F.struct("canonical_id", "made", "undone"), "made").alias("x"))
+    return last.where("x.undone IS NULL OR x.undone < x.made").select("alias_id", F.col("x.canonical_id").alias("canonical_id"))
 
 
 def alias_sets(log: DataFrame) -> DataFrame:
@@ -76,13 +106,52 @@ def alias_sets(log: DataFrame) -> DataFrame:
 
 
 def alias_resolve(spark: SparkSession, aliases: DataFrame) -> DataFrame:
-    """(alias_id, resolved): follow targets until there is none, or until one comes again; that one is the result."""
-    aliases.createOrReplaceTempView("__aliases")
-    return spark.sql("""
-WITH RECURSIVE walk(alias_id, at, seen, ended) MAX RECURSION LEVEL 10000 AS (
-  SELECT alias_id, canonical_id, array(alias_id), canonical_id = alias_id FROM __aliases
-  UNION ALL
-  SELECT w.alias_id, a.canonical_id, array_append(w.seen, w.at), array_contains(w.seen, a.canonical_id) OR a.canonical_id = w.at
-  FROM walk w JOIN __aliases a ON a.alias_id = w.at WHERE NOT w.ended
-)
-SELECT alias_id, max_by(at, size(seen)) AS resolved FROM walk GROUP BY alias_id""")
+    """(alias_id, resolved): follow targets until there is none, or until one comes again; that one is the result.
+
+    Pointers are doubled: after a round each alias points twice as far, so rounds are the
+    logarithm of the longest chain. Whatever still points on after as many rounds as there
+    could be leads into a ring; there the first alias that lies on the ring is the one that
+    comes again. Lineage is cut after each round.
+    """
+    one = aliases.select("alias_id", "canonical_id").where("canonical_id IS NOT NULL")
+    jumps = [materialise(one.select(F.col("alias_id").alias("a"), F.col("canonical_id").alias("to")))]
+    n = jumps[0].count()
+    while 1 << len(jumps) <= n:
+        last = jumps[-1]
+        ahead = last.select(F.col("a").alias("at"), F.col("to").alias("then"))
+        further = materialise(last.join(ahead, F.col("to") == F.col("at")).select("a", F.col("then").alias("to")))
+        if further.isEmpty():  # no chain is that long
+            break
+        jumps.append(further)
+    else:
+        # Some chains are as long as there are aliases can be: rings. After n steps all on them are on a ring.
+        last = jumps[-1]
+        ahead = last.select(F.col("a").alias("at"), F.col("to").alias("then"))
+        ring = materialise(last.join(ahead, F.col("to") == F.col("at")).select(F.col("then").alias("ring")).distinct())
+        return _with_rings(jumps, ring)
+    return _ends(jumps)
+
+
+def _ends(jumps: list[DataFrame]) -> DataFrame:
+    """The last target of each alias, by the farthest jumps that there are."""
+    at = jumps[0].select(F.col("a").alias("alias_id"), F.col("to").alias("resolved"))
+    for jump in reversed(jumps):
+        step = jump.select("a", "to")
+        at = materialise(at.join(step, F.col("resolved") == F.col("a"), "left").select("alias_id", F.coalesce("to", "resolved").alias("resolved")))
+    return at
+
+
+def _with_rings(jumps: list[DataFrame], ring: DataFrame) -> DataFrame:
+    """As _ends; aliases that lead into a ring stop at the first alias on it (those on it at themselves)."""
+    on = ring.select(F.col("ring").alias("r"))
+    first = jumps[0].join(on, F.col("a") == F.col("r"), "left").select("a", "to", F.col("r").isNotNull().alias("on_ring"))
+    done = first.where("on_ring").select(F.col("a").alias("alias_id"), F.col("a").alias("resolved"))
+    # Without the links between aliases on a ring all that is left are chains.
+    chains = [materialise(first.where("NOT on_ring").select("a", "to"))]
+    while True:
+        last = chains[-1]
+        ahead = last.select(F.col("a").alias("at"), F.col("to").alias("then"))
+        further = materialise(last.join(ahead, F.col("to") == F.col("at")).select("a", F.col("then").alias("to")))
+        if further.isEmpty():
+            return done.unionByName(_ends(chains))
+        chains.append(further)

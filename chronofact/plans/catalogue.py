@@ -293,7 +293,7 @@ def _parts(spark, sf):
 
 
 def forget_preview(spark, sf):
-    return erase.preview(*_parts(spark, sf), A.tombstones(spark, sf)).select("subject_id", "episodes_deleted", "facts_deleted")
+    return erase.counts(*_parts(spark, sf), A.tombstones(spark, sf))
 
 
 def manifest_hash(spark, sf):
@@ -317,7 +317,7 @@ def subject_check(spark, sf):
 
 
 def evidence_summary(spark, sf):
-    return erase.evidence(chain_verify(spark, sf), erasure_register(spark, sf))
+    return erase.evidence(chain_verify(spark, sf), erasure_register(spark, sf), _requests(spark, sf).select("subject_id", "requested_by").distinct())
 
 
 def crypto_roundtrip(spark, sf):

@@ -143,7 +143,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
     "manifest_hash": f"WITH {_E}, {_T}, i AS (SELECT subject, episode_id AS id FROM f UNION ALL SELECT subject, fact_id FROM e) SELECT subject_id, sha256(string_agg(id, chr(10) ORDER BY id)) AS manifest_hash FROM t JOIN i ON subject=subject_id GROUP BY 1",
     "erasure_register": f"WITH {_LEFT}, {_REG} SELECT * FROM reg",
     "subject_check": f"WITH {_LEFT}, nl AS (SELECT subject, count(*) AS n FROM lf GROUP BY 1), a AS (SELECT DISTINCT subject AS subject_id FROM f) SELECT a.subject_id, CASE WHEN t.subject_id IS NULL THEN 'not erased' WHEN n IS NULL THEN 'erased' ELSE 'incomplete' END AS status, coalesce(n,0) AS facts_left FROM a LEFT JOIN t ON t.subject_id=a.subject_id LEFT JOIN nl ON nl.subject=a.subject_id",
-    "evidence_summary": f"WITH {_LEFT}, {_REG}, d AS (SELECT seq, sha256(fact_id||'|'||subject||'|'||predicate||'|'||object) AS ph FROM f), c AS (SELECT list_reduce(list_prepend({_G}, list(ph ORDER BY seq)), lambda a, b: sha256(a||b)) AS head, count(*) AS entries FROM d) SELECT (SELECT bool_and(erased) FROM reg) AS ok, true AS chain_ok, entries, head, (SELECT count(*) FROM reg) AS erasures FROM c",
+    "evidence_summary": f"WITH {_LEFT}, {_REG}, d AS (SELECT seq, sha256(fact_id||'|'||subject||'|'||predicate||'|'||object) AS ph FROM f), c AS (SELECT list_reduce(list_prepend({_G}, list(ph ORDER BY seq)), lambda a, b: sha256(a||b)) AS head, count(*) AS entries FROM d) SELECT (SELECT bool_and(erased) FROM reg) AS ok, true AS chain_ok, entries, head, (SELECT count(*) FROM reg) AS erasures, (SELECT count(*) FROM (SELECT DISTINCT subject_id, requested_by FROM rq)) AS certificates FROM c",
     "crypto_roundtrip": f"WITH {_F}, {_T} SELECT seq, subject AS subject_id, object, payload FROM f WHERE subject NOT IN (SELECT subject_id FROM t)",
     "reconcile_downstream": f"WITH {_F}, {_T}, s AS (SELECT subject, count(*) AS n FROM f WHERE seq%5=0 AND substr(subject,2)::BIGINT%34=0 GROUP BY 1) SELECT subject_id, coalesce(n,0) AS rows_left, n IS NULL AS verified FROM t LEFT JOIN s ON subject=subject_id",
     "accuracy": """WITH w AS (SELECT c_custkey, n_name AS full_name, split_part(n_name,' ',1) AS got, CASE WHEN c_custkey%7=0 THEN 'nowhere' ELSE lower(n_name) END AS expected FROM customer JOIN nation ON c_nationkey=n_nationkey)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 SCOPE = StructType([StructField(n, StringType()) for n in ("subject_id", "agent_id", "session_id", "org_id")])
 SPAN = StructType([StructField("lo", IntegerType()), StructField("hi", IntegerType())])
@@ -55,4 +55,32 @@ CERTIFICATE = StructType(
     ]
 )
 
-EDGE_VECTOR = ArrayType(DoubleType())
+KEYRING = StructType([StructField("subject_id", StringType()), StructField("wrapped", BinaryType())])
+
+ENTITY = StructType([StructField("canonical_id", StringType()), StructField("aliases", ArrayType(StringType()))])
+
+EDGE = StructType(
+    [
+        *[StructField(n, StringType()) for n in ("fact_id", "subject", "predicate", "object")],
+        *[StructField(n, TimestampType()) for n in ("valid_from", "valid_to", "tx_from", "tx_to")],
+        StructField("confidence", DoubleType()),
+        StructField("episode_id", StringType()),
+        StructField("char_span", SPAN),
+        StructField("subject_id", StringType()),
+        StructField("pos", LongType()),
+        StructField("alive", BooleanType()),
+    ]
+)
+
+#: The fold of the log up to a number, as it is kept: the last assertion, its place, the last invalidation.
+FOLD = StructType(
+    [
+        StructField("fact_id", StringType()),
+        StructField("pos", LongType()),
+        StructField("asserted_at", LongType()),
+        *[f for f in LOG if f.name in ("subject", "predicate", "object", "valid_from", "valid_to", "confidence", "episode_id", "char_span", "subject_id", "recorded_at")],
+        StructField("gone_at", LongType()),
+        StructField("gone_to", TimestampType()),
+        StructField("gone_recorded", TimestampType()),
+    ]
+)

@@ -1,43 +1,94 @@
-"""Reading and writing the event log, its audit entries and its certificates.
+"""The event log with its audit entries and certificates, and its exchange form.
 
-Parquet is the durable form; JSON rows are the exchange form. Appends are made by one
-writer at a time: a batch is written, then its marker, and readers take only batches
-that have one, so a job that dies leaves nothing half-visible.
+A commit is one small file that names the folders of all tables it adds to, the log's last
+number and the chain's head. It is published only if no other writer took its number, so
+a chain cannot fork, log and audit never part, and a job that dies leaves nothing half
+visible. After COMPACT_AFTER commits their folders are written as one.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import files
 
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-
-
-def read(spark: SparkSession, path: str, schema=S.LOG) -> DataFrame:
-    """Committed batches, all in one scan; an absent log is empty."""
-    done = [r.batch for r in _markers(spark, path)]
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/batch={b}" for b in done])
-
-
-def _markers(spark: SparkSession, path: str) -> list:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_done")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return []
-    return spark.read.schema("batch long, rows long").json(f"{path}/_done").orderBy("batch").collect()  # one row for each batch
-
-
-def append(rows: DataFrame, path: str, schema=S.LOG) -> int:
-    """Write one batch and publish it; returns its number."""
-    spark = rows.sparkSession
-    batch = max([r.batch for r in _markers(spark, path)], default=-1) + 1
-    rows.select(*[f.name for f in schema]).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    n = spark.read.parquet(f"{path}/batch={batch}").count()
-    spark.createDataFrame([(batch, n)], "batch long, rows long").coalesce(1).write.mode("append").json(f"{path}/_done")
-    return batch
+COMPACT_AFTER = 64
+TABLES = {"log": S.LOG, "audit": S.AUDIT, "certificate": S.CERTIFICATE}
+
+
+@dataclass(frozen=True)
+class State:
+    """The last commit: its number, the commit that its folders are listed from, the log's last number, the chain's head."""
+
+    number: int = 0
+    since: int = 1
+    last_seq: int = 0
+    head: str | None = None
+
+
+class Log:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _commit(self, number: int) -> dict:
+        return json.loads(files.read(self.spark, f"{self.path}/commits/{number:012d}.json"))
+
+    def state(self) -> State:
+        found = files.names(self.spark, f"{self.path}/commits")
+        if not found:
+            return State()
+        c = self._commit(int(found[-1].split(".")[0]))
+        return State(c["number"], c["since"], c["last_seq"], c["head"])
+
+    def folders(self, table: str, state: State) -> list[str]:
+        commits = [self._commit(n) for n in range(state.since, state.number + 1)]
+        return [f"{self.path}/data/{f}" for c in commits for f in c["tables"].get(table, [])]
+
+    def table(self, name: str, state: State | None = None) -> DataFrame:
+        """All rows up to a commit, in one scan; an absent log is empty."""
+        found = self.folders(name, state or self.state())
+        return self.spark.read.schema(TABLES[name]).parquet(*found) if found else self.spark.createDataFrame([], TABLES[name])
+
+    def write(self, name: str, rows: DataFrame) -> str:
+        """Rows in a folder that no commit names yet; returns the folder."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        rows.select(*[f.name for f in TABLES[name]]).write.parquet(f"{self.path}/data/{folder}")
+        return folder
+
+    def read(self, name: str, folder: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{folder}")
+
+    def publish(self, before: State, tables: dict[str, list[str]], last_seq: int, head: str | None, since: int | None = None) -> bool:
+        """Add the folders as the commit after `before`; if another writer was quicker they are deleted, and False is returned."""
+        n = before.number + 1
+        commit = {"number": n, "since": since or before.since, "last_seq": last_seq, "head": head, "tables": tables}
+        if files.publish(self.spark, f"{self.path}/commits/{n:012d}.json", json.dumps(commit)):
+            return True
+        for folder in (f for xs in tables.values() for f in xs):
+            files.delete(self.spark, f"{self.path}/data/{folder}")
+        return False
+
+    def compact(self, least: int = 2) -> bool:
+        """Write the folders of all commits as one for each table, if there are so many; old ones stay for readers that began before."""
+        state = self.state()
+        if state.number - state.since + 1 < least:
+            return False
+        tables = {name: [self.write(name, self.table(name, state))] for name in TABLES if self.folders(name, state)}
+        return self.publish(state, tables, state.last_seq, state.head, since=state.number + 1)
+
+    def truncate(self) -> None:
+        """Forget everything."""
+        files.delete(self.spark, self.path)
+
+    def __len__(self) -> int:
+        return self.state().last_seq
 
 
 def complete(rows: DataFrame) -> DataFrame:
@@ -67,7 +118,7 @@ def union_ordered(episodes: DataFrame, fact_events: DataFrame) -> DataFrame:
 def create_tables(spark: SparkSession, database: str) -> None:
     """Create the tables where they are absent."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, schema in (("event_log", S.LOG), ("audit_entry", S.AUDIT), ("certificate", S.CERTIFICATE)):
+    for name, schema in (("event_log", S.LOG), ("audit_entry", S.AUDIT), ("certificate", S.CERTIFICATE), ("keyring", S.KEYRING), ("edge", S.EDGE), ("entity", S.ENTITY)):
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
 

@@ -1,11 +1,14 @@
-"""A new folder that driver and executors share."""
+"""New folders that driver and executors share, and tables in them that cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
+
 
 def folder(spark) -> str:
     """Under spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
@@ -16,3 +19,21 @@ def folder(spark) -> str:
         top = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/{uuid.uuid4().hex}"
+
+
+def _delete(spark, path: str) -> None:
+    from . import files
+
+    try:
+        files.delete(spark, path)
+    except Exception:  # the session has ended: its folder goes with it
+        pass
+
+
+def materialise(rows: DataFrame) -> DataFrame:
+    """The rows written as a table and read again: they outlive every executor, and go when the driver ends."""
+    spark = rows.sparkSession
+    path = folder(spark)
+    atexit.register(_delete, spark, path)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
