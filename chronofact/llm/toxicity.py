@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,7 +29,7 @@ BUCKETS = 1 << 20
 PREFIXES = (2, 3, 4, 5, 6, 7, 8)
 #: A bucket is learned if its log odds are so many standard deviations from 0.
 CERTAIN = 3.0
-ROUNDS = 300
+ROUNDS = 150
 CACHE_WORDS = 200_000
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,13 +50,13 @@ class _Sample:
 
     def __init__(self):
         self.names: dict[str, int] = {}
-        self.words, self.sizes, self.sentences, self.labels = [], [], [], []
+        self.words, self.sizes, self.sentences, self.labels = (array("i") for _ in range(4))
 
     def add(self, text: str | None, label: int) -> None:
         n = 0
         for s in _SENTENCE.findall((text or "").lower()):
             if found := sorted({self.names.setdefault(w, len(self.names)) for w in _WORD.findall(s)}):
-                self.words.append(np.array(found, np.int32))
+                self.words.extend(found)
                 self.sizes.append(len(found))
                 n += 1
         self.sentences.append(n)
@@ -64,28 +65,32 @@ class _Sample:
     def fit(self) -> dict:
         """{bias, weights}: a document's probability is 1 - prod(1 - p(sentence)); by gradient ascent on the labels.
 
-        Sentences without a word of non-zero evidence count as clean. Without both labels
-        no weight is learned and every score is that of the empty text.
+        Sentences without a word that speaks for toxic count as clean, however many there are.
+        Without both labels no weight is learned and every score is that of the empty text.
         """
         y, n_docs = np.array(self.labels, float), len(self.labels)
         none = {"bias": -3.0, "weights": np.zeros(BUCKETS, np.float32)}
         if not self.words or not y.any() or y.all():
             return none
-        word, doc = np.concatenate(self.words), np.repeat(np.arange(n_docs), self.sentences)
-        sent = np.repeat(np.arange(len(doc)), self.sizes)
-        each = [_buckets(w) for w in self.names]
-        owner, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.array([b for x in each for b in x], np.int64)
+        word, doc = np.array(self.words), np.repeat(np.arange(n_docs, dtype=np.int32), self.sentences)
+        sent = np.repeat(np.arange(len(doc), dtype=np.int32), self.sizes)
+        n_words, bucket, count = len(self.names), array("i"), array("i")
+        for w in self.names:
+            bucket.extend(own := _buckets(w))
+            count.append(len(own))
+        bucket, count = np.array(bucket), np.array(count)
+        owner, first = np.repeat(np.arange(n_words, dtype=np.int32), count), np.concatenate([[0], np.cumsum(count)])
         # Documents of either label that have a bucket: each counts once.
-        pairs = np.unique(doc[sent].astype(np.int64) * len(each) + word)
-        in_doc, in_word = np.divmod(pairs, len(each))
-        first = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        pairs = np.unique(doc[sent].astype(np.int64) * n_words + word)
+        in_doc, in_word = (x.astype(np.int32) for x in np.divmod(pairs, n_words))
+        del pairs
         seen = np.zeros((2, BUCKETS))
-        cuts = np.unique(np.searchsorted(in_doc, in_doc[:: 1 << 20]))  # whole documents together
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(pairs)), strict=True):
+        cuts = np.unique(np.searchsorted(in_doc, in_doc[:: 1 << 17]))  # whole documents together
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(in_doc)), strict=True):
             w, d = in_word[lo:hi], in_doc[lo:hi]
             size = first[w + 1] - first[w]
             at = np.repeat(first[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            once = np.unique(np.repeat(d, size) * BUCKETS + bucket[at])
+            once = np.unique(np.repeat(d, size).astype(np.int64) * BUCKETS + bucket[at])
             for label in (0, 1):
                 seen[label] += np.bincount(once[y[once // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
         total = np.array([n_docs - y.sum(), y.sum()])[:, None]
@@ -97,9 +102,12 @@ class _Sample:
         number[active] = np.arange(len(active))
         live = number[bucket] >= 0
         owner, feat = owner[live], number[bucket[live]]
-        known = np.zeros(len(each), bool)
+        known, speaks = np.zeros((2, n_words), bool)
         known[owner] = True
-        held = known[word]
+        speaks[owner[weight[active][feat] > 0]] = True
+        shown = np.zeros(len(doc), bool)
+        shown[sent[speaks[word]]] = True
+        held = known[word] & shown[sent]
         word, sent = word[held], sent[held]
         if not len(word):
             return none
@@ -108,10 +116,10 @@ class _Sample:
         w, bias = weight[active], -3.0
         g2, gb2 = np.full(len(w), 1e-8), 1e-8
         for _ in range(ROUNDS):
-            of_word = np.bincount(owner, w[feat], len(each))
+            of_word = np.bincount(owner, w[feat], n_words)
             p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sent, of_word[word], n_sent), -30, 30)))
             gz = p * _pull(p, doc, y)[doc] / n_docs
-            gw = np.bincount(feat, np.bincount(word, gz[sent], len(each))[owner], len(w)) - 1e-5 * w
+            gw = np.bincount(feat, np.bincount(word, gz[sent], n_words)[owner], len(w)) - 1e-5 * w
             gb = gz.sum()
             g2, gb2 = g2 + gw**2, gb2 + gb**2
             w, bias = w + 0.1 * gw / np.sqrt(g2), bias + 0.1 * gb / math.sqrt(gb2)
@@ -138,15 +146,15 @@ class Scorer:
     def __init__(self, model: dict):
         self.bias, self.weights = model["bias"], model["weights"]
         self.active = {int(i): float(self.weights[i]) for i in np.flatnonzero(self.weights)}
-        self.words: dict[str, float | None] = {}
+        self.words: dict[str, tuple[float, bool] | None] = {}
 
-    def _known(self, word: str) -> float | None:
-        """The word's sum of weights; None if all of them are zero."""
+    def _known(self, word: str) -> tuple[float, bool] | None:
+        """The word's sum of weights and whether one speaks for toxic; None if all of them are zero."""
         own = [self.active[b] for b in _buckets(word) if b in self.active]
-        return math.fsum(own) if own else None
+        return (math.fsum(own), max(own) > 0) if own else None
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
-        """(start, end, probability) of the sentences that have a known word; places are in the text's characters."""
+        """(start, end, probability) of the sentences with a word that speaks for toxic; places are in the text's characters."""
         for s in _SENTENCE.finditer(text or ""):
             found = []
             for w in set(_WORD.findall(s.group().lower())):
@@ -156,8 +164,8 @@ class Scorer:
                     self.words[w] = self._known(w)
                 if (x := self.words[w]) is not None:
                     found.append(x)
-            if found:
-                z = self.bias + math.fsum(found)
+            if any(speaks for _, speaks in found):
+                z = self.bias + math.fsum(w for w, _ in found)
                 yield s.start(), s.end(), 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def score(self, text: str | None) -> float:
