@@ -27,9 +27,12 @@ SAMPLE_DOCS = 20_000
 BUCKETS = 1 << 20
 #: Beginnings of words that are features beside the whole word.
 PREFIXES = (2, 3, 4, 5, 6, 7, 8)
-#: A bucket is learned if its log odds are so many standard deviations from 0.
-CERTAIN = 3.0
+#: A bucket is learned if its log odds are farther from 0 than this share of the largest deviation that
+#: chance alone is likely to give among all buckets seen: the square root of 2 log(buckets) standard deviations.
+CERTAIN = 0.7
 ROUNDS = 150
+#: Words that are counted at once.
+AT_ONCE = 1 << 18
 CACHE_WORDS = 200_000
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,23 +83,24 @@ class _Sample:
             count.append(len(own))
         bucket, count = np.array(bucket), np.array(count)
         owner, first = np.repeat(np.arange(n_words, dtype=np.int32), count), np.concatenate([[0], np.cumsum(count)])
-        # Documents of either label that have a bucket: each counts once.
-        pairs = np.unique(doc[sent].astype(np.int64) * n_words + word)
-        in_doc, in_word = (x.astype(np.int32) for x in np.divmod(pairs, n_words))
-        del pairs
-        seen = np.zeros((2, BUCKETS))
-        cuts = np.unique(np.searchsorted(in_doc, in_doc[:: 1 << 17]))  # whole documents together
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(in_doc)), strict=True):
-            w, d = in_word[lo:hi], in_doc[lo:hi]
-            size = first[w + 1] - first[w]
-            at = np.repeat(first[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            once = np.unique(np.repeat(d, size).astype(np.int64) * BUCKETS + bucket[at])
+        # Documents of either label that have a bucket: each counts once. Some documents at a time.
+        seen, ends = np.zeros((2, BUCKETS)), np.searchsorted(sent, np.searchsorted(doc, np.arange(n_docs + 1)))
+        lo = 0
+        while lo < n_docs:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, side="right")) - 1)
+            own = slice(ends[lo], ends[hi])
+            in_doc, in_word = np.divmod(np.unique(doc[sent[own]].astype(np.int64) * n_words + word[own]), n_words)
+            size = count[in_word]
+            at = np.repeat(first[in_word] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            once = np.unique(np.repeat(in_doc, size) * BUCKETS + bucket[at])
             for label in (0, 1):
                 seen[label] += np.bincount(once[y[once // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+            lo = hi
         total = np.array([n_docs - y.sum(), y.sum()])[:, None]
         odds = np.diff(np.log((seen + 0.5) / (total + 1)), axis=0)[0]
         spread = np.sqrt((1 / (seen + 0.5)).sum(0))
-        weight = np.sign(odds) * np.maximum(np.abs(odds) - CERTAIN * spread, 0) / 2
+        chance = CERTAIN * math.sqrt(2 * math.log(max(2, np.count_nonzero(seen.any(0)))))
+        weight = np.sign(odds) * np.maximum(np.abs(odds) - chance * spread, 0) / 2
         active = np.flatnonzero(weight)
         number = np.full(BUCKETS, -1)
         number[active] = np.arange(len(active))
