@@ -25,6 +25,14 @@ def scorable(questions: DataFrame, ingested) -> DataFrame:
     return questions.where((F.col("category") != 5) & (F.size("evidence") > 0)).where(F.forall("evidence", lambda x: F.array_contains(ingested, x)))
 
 
+def scorable_among(questions: DataFrame, ingested: DataFrame, column: str) -> DataFrame:
+    """As `scorable`, against a table of ingested ids: no question stays whose evidence is missing there."""
+    asked = questions.where((F.col("category") != 5) & (F.size("evidence") > 0)).withColumn("__q", F.struct(*questions.columns))
+    each = asked.select("__q", F.explode("evidence").alias("__e"))
+    missing = each.join(ingested.select(F.col(column).alias("__i")).distinct(), F.col("__e") == F.col("__i"), "left_anti").select("__q").distinct()
+    return asked.join(missing, "__q", "left_anti").drop("__q")
+
+
 def nearest_rank(values: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
     """Percentiles of each group: the sorted sample at round(p/100 * n) - 1, within bounds; nulls take no part.
 
@@ -41,8 +49,3 @@ def nearest_rank(values: DataFrame, group: str, value: str, percents: tuple[int,
     place = lambda p: F.greatest(F.lit(1), F.least(F.col("total"), F.bround(F.lit(p / 100) * F.col("total")).cast("bigint")))
     # The least value whose count up to and with it reaches the place.
     return rows.groupBy(group).agg(*[F.min(F.when(F.col("upto") >= place(p), F.col("v"))).alias(f"p{p}") for p in percents])
-
-
-def session_date(text, index):
-    """Dates like '1 January, 2023'; others are 30 days apart from 2022 on."""
-    return F.coalesce(F.try_to_date(text, "d MMMM, y"), F.try_to_date(text, "d MMMM y"), F.date_add(F.lit("2022-01-01").cast("date"), index * 30))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import iso
+from ..sources.shared import materialise
+
 
 def timeline(edges: DataFrame) -> DataFrame:
     """Edges of each subject in the order of validity, then of appending."""
@@ -38,8 +41,31 @@ def graph_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("fact_id").alias("edge_id"), F.col("subject").alias("source"), F.col("predicate").alias("label"), F.col("object").alias("target"), "alive")
 
 
-def graph_nodes(edges: DataFrame) -> DataFrame:
-    """Names of subjects and objects; the first appearance in timeline order says which kind a node is."""
+def _ends(edges: DataFrame) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("subject").alias("id"), F.lit("entity").alias("kind"), F.lit(0).alias("end")), F.struct(F.col("object").alias("id"), F.lit("value").alias("kind"), F.lit(1).alias("end"))))
     rows = edges.select("valid_from", "seq", ends.alias("x"))
-    return rows.groupBy("x.id").agg(F.min_by("x.kind", F.struct("valid_from", "seq", "x.end")).alias("kind")).select("id", "kind")
+    order = F.struct("valid_from", "seq", "x.end")
+    return rows.groupBy("x.id").agg(F.min_by("x.kind", order).alias("kind"), F.min(order).alias("first")).select("id", "kind", "first")
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """Names of subjects and objects; the first appearance in timeline order says which kind a node is."""
+    return _ends(edges).select("id", "kind")
+
+
+def first_appearance(edges: DataFrame) -> DataFrame:
+    """(id, kind, place): nodes numbered by their first appearance, range by range, without one task for all."""
+    ranged = materialise(_ends(edges).repartitionByRange("first").sortWithinPartitions("first").withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33)))
+    before = ranged.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n"))  # a row for each task
+    return ranged.join(F.broadcast(before), "__part").select("id", "kind", (F.col("__before") + F.col("__at") + 1).alias("place"))
+
+
+def edge_json(edges: DataFrame) -> DataFrame:
+    """(fact_id, row): each edge as JSON of ten fields, times as ISO text."""
+    fields = ("fact_id", "subject", "predicate", "object", iso(F.col("valid_from")).alias("valid_from"), iso(F.col("valid_to")).alias("valid_to"), "alive", "confidence", "subject_id", F.col("episode_id").alias("source_episode_id"))
+    return edges.select("fact_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("row"))
+
+
+def span(lo, hi):
+    """Both ends of a span, or null."""
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))

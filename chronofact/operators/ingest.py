@@ -25,7 +25,8 @@ def _found(text: Column, rule: int, predicate: str, rx: str) -> Column:
     """All matches as (rule, pos, predicate, object, lo, hi): a match ends with its value, so lengths give the span."""
     whole, value = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.regexp_extract_all(text, F.lit(rx), F.lit(1))
     between = F.slice(F.split(text, rx, -1), F.lit(1), F.size(whole))
-    ends = F.transform(F.sequence(F.lit(1), F.size(whole)), lambda i: F.aggregate(F.slice(F.zip_with(between, whole, lambda a, b: F.length(a) + F.length(b)), F.lit(1), i), F.lit(0), lambda s, x: s + x))
+    sizes = F.zip_with(between, whole, lambda a, b: F.length(a) + F.length(b))
+    ends = F.slice(F.aggregate(sizes, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))), F.lit(2), F.size(whole))
     rows = F.transform(F.arrays_zip(value.alias("o"), ends.alias("e")), lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("pos"), F.lit(predicate).alias("predicate"), x["o"].alias("object"), (x["e"] - F.length(x["o"])).alias("lo"), x["e"].alias("hi")))
     none = F.array().cast("array<struct<rule:int,pos:int,predicate:string,object:string,lo:int,hi:int>>")
     return F.when(F.size(whole) > 0, rows).otherwise(none)

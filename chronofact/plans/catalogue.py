@@ -11,6 +11,7 @@ from ..functions import vector as V
 from ..operators import audit, erase, evaluate, govern, history, ingest, project, recall, resolve
 from ..sources import adapters as A
 from ..sources import log as L
+from . import store_oracle, stores
 from .oracle import ORACLE
 
 
@@ -428,5 +429,6 @@ weights_semantic answer er_names er_pairs er_bands chain_head chain_links chain_
 deep_verify_tampered deep_verify_shred forget_preview manifest_hash erasure_register subject_check evidence_summary crypto_roundtrip
 reconcile_downstream accuracy recall_at_k latency_percentiles human_turns open_facts generated_bench stream_supersede stream_edges
 stream_window_counts""".split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+QUERIES = {n: globals()[n] for n in _NAMES} | stores.QUERIES
+ORACLE = ORACLE | store_oracle.ORACLE
 __all__ = ["ORACLE", "QUERIES", "flagship"]

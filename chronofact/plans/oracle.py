@@ -18,6 +18,8 @@ _T = "t AS (SELECT DISTINCT 'u'||user_id AS subject_id FROM events WHERE user_id
 _KEYS = "keys AS (SELECT DISTINCT 'u'||user_id AS subject_id FROM events WHERE user_id % 17 <> 0 OR user_id % 34 = 0)"
 _LOG = """lg AS (SELECT seq*2+1 AS seq, 'asserted' AS op, fact_id, subject, predicate, object, valid_from, NULL::TIMESTAMP AS valid_to, recorded_at, episode_id FROM e
   UNION ALL SELECT next_seq*2, 'invalidated', fact_id, NULL, NULL, NULL, NULL, valid_to, tx_to, NULL FROM e WHERE next_seq IS NOT NULL)"""
+_RULES = """r(predicate, rx) AS (VALUES ('name_is','(?i:\\b(?:my name is|i am|i''m))\\s+([A-Z]\\w+)'), ('lives_in','(?i:\\b(?:i live in|i now live in|i moved to|i relocated to))\\s+([A-Z]\\w+)'),
+  ('works_at','(?i:\\b(?:i work at|i work for|i joined|i now work at))\\s+([A-Z]\\w+)'), ('uses','(?i:\\b(?:i use|i switched to|i now use|i prefer))\\s+([A-Z]\\w+)'))"""
 _M = """n AS (SELECT 'c'||c_custkey AS episode_id, 's'||c_custkey AS subject_id, 'My name is '||replace(c_name,'#','_')||'. I live in '||n_name||' and I use '||upper(c_mktsegment[1])||lower(c_mktsegment[2:])||'.' AS text
   FROM customer JOIN nation ON c_nationkey=n_nationkey UNION ALL SELECT 'o'||o_orderkey, 's'||o_custkey, 'I now work at Status_'||o_orderstatus||'.' FROM orders),
 r(predicate, rx) AS (VALUES ('name_is','(?i:\\b(?:my name is|i am|i''m))\\s+([A-Z]\\w+)'), ('lives_in','(?i:\\b(?:i live in|i now live in|i moved to|i relocated to))\\s+([A-Z]\\w+)'),
@@ -37,7 +39,21 @@ al AS (SELECT alias_id, arg_max({'c': canonical_id}, i).c AS canonical_id FROM s
 _NUM = _F + ", d AS (SELECT seq, fact_id AS ref, sha256(fact_id||'|'||subject||'|'||predicate||'|'||object) AS ph FROM f)"
 _G = "'" + "0" * 64 + "'"
 _CHAIN = _NUM + f", c AS (SELECT list_reduce(list_prepend({_G}, list(ph ORDER BY seq)), lambda a, b: a || sha256(right(a,64)||b)) AS s, count(*) AS n FROM d)"
-_DEEP = _F
+_CHECKED = ", i AS (SELECT unnest(range(1, n+1)) AS seq, s FROM c), l AS (SELECT seq, substr(s,64*(seq-1)+1,64) AS prev, substr(s,64*seq+1,64) AS entry FROM i)"
+_DIGEST = "sha256('asserted|'||fact_id||'|'||subject||'|'||predicate||'|'||sha256({0})||'|'||epoch_us(valid_from)||'||1.000000||'||episode_id||'|'||subject||'||||'||epoch_us(recorded_at))"
+
+
+def _deep(forged: str = "false", skipped: str = "false") -> str:
+    """ok, entries, broken_at: the first entry that does not follow, or whose event, unless it is skipped, derives another hash.
+
+    Payload hashes are taken as they were chained (ph) and as the log gives them now, in which objects are forged where that holds.
+    """
+    now = _DIGEST.format(f"CASE WHEN {forged} THEN 'forged' ELSE object END")
+    return f"""WITH {_F}, d AS (SELECT seq, subject, {_DIGEST.format('object')} AS ph, {now} AS now FROM f),
+c AS (SELECT list_reduce(list_prepend({_G}, list(ph ORDER BY seq)), lambda a, b: a || sha256(right(a,64)||b)) AS s, count(*) AS n FROM d){_CHECKED},
+bad AS (SELECT min(seq) AS first_bad FROM l JOIN d USING (seq) WHERE sha256(prev||ph)<>entry OR (NOT ({skipped}) AND now<>ph))
+SELECT first_bad IS NULL AS ok, (SELECT n FROM c) AS entries, first_bad AS broken_at FROM bad"""
+
 
 
 def _vectors(**sources: tuple[str, str, str]) -> str:
@@ -66,13 +82,19 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t
 _TOP = "SELECT query_id, rank, fact_id, object, round(score,6) AS score FROM rk WHERE rank<=5"
 _AT = "valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR TIMESTAMP '2024-01-15' < valid_to)"
 _LEX = """list_distinct(regexp_extract_all(lower({0}),'[a-z0-9]+'))"""
-_ER = f"""nm AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL),
+def similar_sql(names: str) -> str:
+    """CTEs that end in ps(a, b, score): all pairs of the names that a query yields."""
+    return f"""nm AS (SELECT DISTINCT name FROM ({names})),
 pr AS (SELECT x.name AS a, y.name AS b, {_LEX.format('x.name')} AS s, {_LEX.format('y.name')} AS t FROM nm x JOIN nm y ON x.name<y.name),
 {_vectors(nv=('nm', 'name', 'name'))},
 cs AS (SELECT x.name AS a, y.name AS b, sum(x.s*y.s)::DOUBLE / sqrt(any_value(i.sq) * any_value(j.sq)) AS cosine FROM nv x JOIN nv y USING (bucket) JOIN nv_n i ON i.name=x.name JOIN nv_n j ON j.name=y.name WHERE x.name<y.name GROUP BY ALL),
 ps AS (SELECT pr.a, pr.b, greatest(CASE WHEN len(s)>0 AND len(t)>0 AND len(list_intersect(s,t))=least(len(s),len(t)) THEN 0.9
   ELSE greatest(len(list_intersect(s,t))/greatest(len(list_distinct(list_concat(s,t))),1), CASE WHEN greatest(length(pr.a),length(pr.b))=0 THEN 1.0 ELSE 1.0-levenshtein(lower(pr.a),lower(pr.b))/greatest(length(pr.a),length(pr.b)) END) END, coalesce(cosine,0)) AS score
   FROM pr LEFT JOIN cs ON cs.a=pr.a AND cs.b=pr.b)"""
+
+
+_ER = similar_sql("SELECT p_name AS name FROM part WHERE p_name IS NOT NULL")
+_BANDS = "SELECT CASE WHEN length(a)>=length(b) THEN a ELSE b END AS canonical_id, CASE WHEN length(a)>=length(b) THEN b ELSE a END AS alias_id, round(score,3) AS score, CASE WHEN round(score,9)>=0.85 THEN 'auto' ELSE 'review' END AS band FROM ps WHERE round(score,9)>=0.5"
 _LEFT = f"{_E}, {_T}, lf AS (SELECT * FROM e WHERE subject NOT IN (SELECT subject_id FROM t WHERE subject_id<>'u34'))"
 _REG = """rq AS (SELECT 'u'||user_id AS subject_id, 'op'||(event_id%3) AS requested_by, ts AS recorded_at, event_id AS seq FROM events WHERE user_id%17=0 AND event_type='error'),
 ls AS (SELECT subject_id, arg_max(requested_by, seq) AS requested_by, arg_max(recorded_at, seq) AS recorded_at FROM rq GROUP BY 1),
@@ -130,15 +152,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
     "answer": _rank("valid_to IS NULL", 0.4, 0.6, False, "SELECT query_id, object AS answer FROM rk WHERE rank=1"),
     "er_names": f"WITH {_E} SELECT subject AS name FROM e UNION SELECT object FROM e",
     "er_pairs": f"WITH {_ER} SELECT a, b, round(score,6) AS score FROM ps",
-    "er_bands": f"WITH {_ER} SELECT CASE WHEN length(a)>=length(b) THEN a ELSE b END AS canonical_id, CASE WHEN length(a)>=length(b) THEN b ELSE a END AS alias_id, round(score,3) AS score, CASE WHEN round(score,9)>=0.85 THEN 'auto' ELSE 'review' END AS band FROM ps WHERE round(score,9)>=0.5",
+    "er_bands": f"WITH {_ER} {_BANDS}",
     "chain_head": f"WITH {_CHAIN} SELECT right(s,64) AS head, n AS entries FROM c",
     "chain_links": f"WITH {_CHAIN}, i AS (SELECT s, unnest(range(1, n+1)) AS seq FROM c) SELECT seq, substr(s,64*(seq-1)+1,64) AS prev_hash, substr(s,64*seq+1,64) AS entry_hash FROM i",
     "chain_blocks": f"WITH {_NUM} SELECT (seq-1)//1000 AS block, list_reduce(list_prepend({_G}, list(ph ORDER BY seq)), lambda a, b: sha256(a||b)) AS head, count(*) AS n FROM d GROUP BY 1",
     "chain_verify": f"WITH {_CHAIN} SELECT true AS ok, n AS entries, NULL::BIGINT AS broken_at, right(s,64) AS head FROM c",
-    "chain_verify_tampered": "SELECT false AS ok, count(*) AS entries, 777::BIGINT AS broken_at FROM events",
-    "deep_verify": "SELECT true AS ok, count(*) AS entries, NULL::BIGINT AS broken_at FROM events",
-    "deep_verify_tampered": "SELECT false AS ok, count(*) AS entries, 500::BIGINT AS broken_at FROM events",
-    "deep_verify_shred": "SELECT true AS ok, count(*) AS entries, NULL::BIGINT AS broken_at FROM events",
+    "chain_verify_tampered": f"WITH {_CHAIN}{_CHECKED}, b AS (SELECT min(seq) AS broken_at FROM l JOIN d USING (seq) WHERE sha256(prev||CASE WHEN seq=777 THEN sha256('x') ELSE ph END)<>entry) SELECT broken_at IS NULL AS ok, (SELECT n FROM c) AS entries, broken_at FROM b",
+    "deep_verify": _deep(),
+    "deep_verify_tampered": _deep("seq=500"),
+    "deep_verify_shred": _deep("subject IN (SELECT subject_id FROM t)", "subject IN (SELECT subject_id FROM t)").replace("WITH ", f"WITH {_T}, ", 1),
     "forget_preview": f"WITH {_E}, {_T} SELECT subject_id, (SELECT count(*) FROM f WHERE subject=subject_id) AS episodes_deleted, (SELECT count(*) FROM e WHERE subject=subject_id) AS facts_deleted FROM t",
     "manifest_hash": f"WITH {_E}, {_T}, i AS (SELECT subject, episode_id AS id FROM f UNION ALL SELECT subject, fact_id FROM e) SELECT subject_id, sha256(string_agg(id, chr(10) ORDER BY id)) AS manifest_hash FROM t JOIN i ON subject=subject_id GROUP BY 1",
     "erasure_register": f"WITH {_LEFT}, {_REG} SELECT * FROM reg",
@@ -153,7 +175,8 @@ SELECT count(*) FILTER (contains(lower(got), expected)) AS hits, count(*) AS n,
 SELECT event_type, max(value) FILTER (i=greatest(1,least(n,round_even(0.5*n,0)::INT))) AS p50, max(value) FILTER (i=greatest(1,least(n,round_even(0.95*n,0)::INT))) AS p95 FROM r GROUP BY 1""",
     "human_turns": "SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations WHERE role='user' GROUP BY 1",
     "open_facts": f"WITH {_E} SELECT fact_id, replace(subject||' '||predicate||' '||object,'_',' ') AS shown FROM e WHERE valid_to IS NULL",
-    "generated_bench": "SELECT * FROM (VALUES ('name_is',200::BIGINT,'User0'),('lives_in',200,'City0'),('works_at',200,'Org0')) v(predicate, n, least)",
+    "generated_bench": f"""WITH n AS (SELECT 'u'||i AS subject_id, 'My name is User'||i||'. I live in City'||i||' and I work at Org'||i||'.' AS text FROM range(200) t(i)),
+{_RULES}, h AS (SELECT predicate, unnest(regexp_extract_all(text, rx, 1)) AS object FROM n, r) SELECT predicate, count(*) AS n, min(object) AS least FROM h GROUP BY 1""",
     "stream_supersede": f"{_SINGLE} SELECT seq, fact_id, subject, predicate, object FROM k",
     "stream_edges": f"{_SINGLE} SELECT fact_id, subject, predicate, object, epoch_us(valid_from) AS valid_from_us, epoch_us(lead(valid_from) OVER (PARTITION BY subject,predicate ORDER BY seq)) AS valid_to_us FROM k",
     "stream_window_counts": "WITH w AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS ws, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT epoch_us(ws) AS window_us, event_type, n FROM w WHERE ws + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",

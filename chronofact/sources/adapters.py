@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import session_date
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,12 +70,43 @@ def evaluation_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return whole.select(F.explode("episodes").alias("x")).select("x.*"), whole.select(F.explode("questions").alias("x")).select("x.*")
 
 
-def conversation_turns(spark: SparkSession, path: str, sessions: int | None = None) -> DataFrame:
-    """(session, at, speaker, dia_id, text) of a JSON file with session_N lists, in the order of their numbers."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    body = raw.select(F.expr("from_json(to_json(variant_get(v, '$.conversation', 'variant')), 'map<string,string>')").alias("m"))
-    rows = body.select(F.explode("m").alias("k", "v")).where(F.col("k").rlike("^session_[0-9]+$"))
-    rows = rows.select(F.substring_index("k", "_", -1).cast("int").alias("session"), F.from_json("v", "array<struct<speaker:string,dia_id:string,text:string>>").alias("turns"))
-    if sessions is not None:
-        rows = rows.orderBy("session").limit(sessions)
-    return rows.select("session", F.posexplode("turns").alias("at", "t")).select("session", "at", "t.*")
+def turns_of(samples: DataFrame, sessions: int | None = None, turns: int | None = None) -> DataFrame:
+    """(session, date, at, speaker, dia_id, text[, key columns]) of JSON texts `value` with session_N lists, in the order of their numbers.
+
+    Columns beside `value` tell samples apart; of each the first `sessions` sessions and the
+    first `turns` turns are taken, all if these are not given.
+    """
+    keys = [c for c in samples.columns if c != "value"]
+    body = samples.select(*keys, F.expr("from_json(get_json_object(value, '$.conversation'), 'map<string,string>')").alias("m"))
+    named = F.filter(F.map_keys("m"), lambda k: k.rlike("^session_[0-9]+$"))
+    ordered = F.array_sort(F.transform(named, lambda k: F.struct(F.substring_index(k, "_", -1).cast("int").alias("session"), k.alias("k"))))
+    each = F.transform(ordered, lambda x, i: F.struct(x["session"].alias("session"), session_date(F.element_at("m", F.concat(x["k"], F.lit("_date_time"))), i).alias("date"), F.element_at("m", x["k"]).alias("v")))
+    rows = body.select(*keys, F.explode(each if sessions is None else F.slice(each, 1, sessions)).alias("x"))
+    rows = rows.select(*keys, "x.session", "x.date", F.from_json("x.v", "array<struct<speaker:string,dia_id:string,text:string>>").alias("turns"))
+    out = rows.select(*keys, "session", "date", F.posexplode("turns").alias("at", "t")).select(*keys, "session", "date", "at", "t.*")
+    if turns is None:
+        return out
+    w = Window.partitionBy(*keys).orderBy("session", "at") if keys else Window.orderBy("session", "at")  # one conversation
+    return out.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= turns).drop("__n")
+
+
+def conversation_turns(spark: SparkSession, path: str, sessions: int | None = None, turns: int | None = None) -> DataFrame:
+    """The turns of a JSON file; see turns_of."""
+    return turns_of(spark.read.text(path, wholetext=True), sessions, turns)
+
+
+def extract_resumably(turns: DataFrame, extractor, path: str) -> DataFrame:
+    """Facts of all turns, a folder for each session: a run that was stopped goes on after the last whole one."""
+    spark = turns.sparkSession
+    for r in turns.select("session").distinct().orderBy("session").collect():  # the sessions of a conversation
+        folder = f"{path}/session={r.session}"
+        if "_SUCCESS" not in _names(spark, folder):
+            own = turns.where(F.col("session") == r.session).drop("session").withColumn("subject_id", F.col("speaker"))
+            extractor.extract(own).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(path)
+
+
+def _names(spark, folder: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []

@@ -16,13 +16,15 @@ def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     """Facts of one (subject, predicate) that change its value; state is the current value and its fact."""
     now, fact = state.get if state.exists else (None, None)
     rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.object != now:
-            out.append((r.seq, r.fact_id, key[0], key[1], r.object, r.valid_from, fact))
-            now, fact = r.object, r.fact_id
+    # A fact changes the value if the one before it, in the order of arrival, had another.
+    out = rows[rows["object"].ne(rows["object"].shift(1, fill_value=now))].copy()
+    if len(out):
+        out["closes"] = out["fact_id"].shift(1, fill_value=fact)
+        now, fact = out["object"].iloc[-1], out["fact_id"].iloc[-1]
+    else:
+        out["closes"] = None
     state.update((now, fact))
-    yield pd.DataFrame(out, columns=["seq", "fact_id", "subject", "predicate", "object", "valid_from", "closes"])
+    yield out[["seq", "fact_id", "subject", "predicate", "object", "valid_from", "closes"]]
 
 
 def supersede(stream: DataFrame) -> DataFrame:
