@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, materialise
 
+#: Bits that tell which hashes may occur twice, in words of 64: at most so many words are broadcast, whatever the data.
+FILTER_WORDS = 1 << 18
 #: Members of one group that compare against one copy of its first text.
 MEMBERS_AT_ONCE = 5_000
 
@@ -19,6 +21,19 @@ def hash128(norm: Column) -> Column:
     return F.unhex(F.md5(norm.cast("binary")))
 
 
+def _may_recur(hashes: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows whose hash `h` may be among those of `several`; all that are stay, of others few.
+
+    A bit for each hash by its 64-bit value; the words that have one are at most FILTER_WORDS,
+    so they are broadcast. With far more hashes than bits it lets all through.
+    """
+    place = F.pmod(F.xxhash64("h"), F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    words = several.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = hashes.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(words), F.col("__word") == F.col("word"))
+    return held.where(F.call_function("shiftright", F.col("bits"), F.col("__bit")).bitwiseAND(F.lit(1).cast("bigint")) == 1).drop("__word", "__bit", "word", "bits")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """For each row of docs its group of equal texts.
 
@@ -30,7 +45,7 @@ def groups(docs: DataFrame) -> DataFrame:
     count each, and are kept or dropped together. An empty table gives no row.
 
     Only ids and hashes are shuffled for the counts, combined before the shuffle; the
-    texts of groups of two or more are compared, and a large group is dealt over as
+    texts of groups of two or more, told apart by a broadcast filter, are compared, and a large group is dealt over as
     many tasks as it has blocks of MEMBERS_AT_ONCE rows.
     """
     norm = docs.select("doc_id", normalised().alias("norm"))
@@ -43,7 +58,7 @@ def groups(docs: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("n") / MEMBERS_AT_ONCE).cast("int")
     members = members.select("doc_id", "h", "first_id", F.pmod(F.hash("doc_id"), parts).alias("part"), parts.alias("parts"))
     # Ids come to the texts by an equi-join on both keys: a repeated doc_id with another text is not mixed up.
-    texts = norm.withColumn("h", hash128(F.col("norm"))).alias("t")
+    texts = _may_recur(norm.withColumn("h", hash128(F.col("norm"))), several).alias("t")
     texts = texts.join(members.alias("m"), F.expr("t.doc_id <=> m.doc_id AND t.h = m.h")).select("t.*", "first_id", "part", "parts")
     texts = materialise(texts, "copies")
     firsts = texts.where("doc_id <=> first_id").dropDuplicates(["h"]).select("h", F.col("norm").alias("first_norm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))

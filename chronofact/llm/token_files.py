@@ -127,17 +127,22 @@ def _write(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, block_i
         yield close()
 
 
+#: Characters of a text that ranges are cut by where one doc_id has many rows.
+ORDER_CHARS = 64
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
     """Write the ids of all whole texts as token files under `path`, in ascending doc_id order.
 
     Ranges of doc_id are the shards, so shard, block and place give the order of the
     whole. Null texts count as empty: they hold the end id alone. Null doc_ids come
-    first; equal ones stand next to each other, in the order of their texts.
+    first; equal ones stand next to each other, in the order of their texts (ranges are cut
+    by the first ORDER_CHARS characters, so rows alike in these come to one shard).
     """
     spark = docs.sparkSession
     schema, ddl = arrow_schema(BLOCK_FIELDS)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.substring("text", 1, ORDER_CHARS)).sortWithinPartitions("doc_id", "text")
     run = partial(_write, path=tokenizer_path, end_id=end_id, block_ids=block_ids, schema=schema)
     ordered.mapInArrow(run, ddl).write.mode("overwrite").parquet(path)
 
