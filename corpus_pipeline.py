@@ -13,28 +13,38 @@ from chronofact.llm.common import materialise, table
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Rows that the classifier marks as toxic go; it learns from the labelled rows of the raw documents."""
+    """Rows that the classifier marks as toxic go; it learns from the labelled rows of the raw documents.
+
+    Null and empty texts score 0 and stay, repeated rows share their fate, and without labels all stay.
+    """
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.learnable())
     return toxicity.reject(docs, model)
 
 
 def drop_copies(spark, docs, sf_dir):
-    """Of rows with equal text the one with the smallest doc_id stays."""
+    """Of rows with equal text the one with the smallest doc_id stays.
+
+    Null counts as the empty text, a null doc_id comes after all others; of repeated rows one stays.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each near-duplicate group one document stays."""
+    """Of each near-duplicate group the document with the smallest doc_id stays.
+
+    Texts without a word form one group, null texts among them; a null doc_id stays only
+    where no other is in its group.
+    """
     return simhash.deduplicate(docs)
 
 
 def mask_secrets(spark, docs, sf_dir):
-    """Found secrets are masked in the texts; all rows stay."""
+    """Found secrets are masked in the texts; all rows stay, and those without a finding, null and empty ones too, are unchanged."""
     return secrets.redact(docs)
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens; null and empty texts hold the end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -45,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over `documents`; what each returns is written and read again as the next one's input."""
+    """All stages over `documents`; what each returns is written and read again as the next one's input. An empty table gives no piece."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
