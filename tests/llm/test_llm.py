@@ -590,3 +590,21 @@ def test_secrets_of_texts_with_many_spans(spark):
         for a, _, b in sorted((int(a), k, int(b)) for k, a, b in (x.split(":") for x in out[i].spans.split(",") if x)):
             want, at = (want, max(at, b)) if a < at else (want + t[at:a] + "[SECRET]", b)
         assert masked[i].text == want + t[at:]
+
+
+def test_links_against_all_pairs_of_parts(spark):
+    rng = random.Random(12)
+    bits = ["token=abcdef12", "AKIA" + "ABCDEFGH" * 2, "0123456789abcdef" * 2, "username=bobby", "login: eve_1", "https://db.example.org/x", "Zz9+" * 10, "aB3/" * 10, "plain words", "x" * 90, ". " * 60, " - " * 45]
+    rows = [(i % 140, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(150)] + [(900, "no finding " * 40_000), (901, None)]
+    kinds = {k: re.compile(p, re.A) for k, p in {**secrets.BASE, **secrets.WEAK}.items()}
+    want = Counter()
+    for i, t in rows:
+        found = [(k, m.start(), m.end()) for k, rx in kinds.items() for m in rx.finditer(t or "") if k != "assign" or len(m[2]) >= 6]
+        base = [x for x in found if x[0] in secrets.BASE]
+        linked = []
+        for k, a, b in (x for x in found if x[0] in secrets.WEAK and not any(y[1] <= x[1] and x[2] <= y[2] for y in base)):
+            if any(secrets.ROLE[o] in secrets.NEEDS[k] and e >= a - secrets.SCOPE and s <= b + secrets.SCOPE for o, s, e in found):
+                linked.append((k, a, b))
+        want[i, ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + linked, key=lambda x: (x[1], secrets.KINDS.index(x[0]))))] += 1
+    assert Counter((r.doc_id, r.spans) for r in secrets.report(docs_of(spark, rows)).collect()) == want
+    assert sum("opaque" in s or "endpoint" in s or "account" in s for _, s in want) > 50
