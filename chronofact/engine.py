@@ -13,9 +13,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from . import ports
 from . import schemas as S
+from .functions.digest import GENESIS, event_digest, event_ref
 from .operators import audit, erase, history, ingest, project, recall, resolve
 from .sources import files
 from .sources import log as L
@@ -24,6 +26,7 @@ from .sources.shared import materialise
 
 #: Writers that meet try again so often.
 ATTEMPTS = 200
+_EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
 
 
 def instant(when) -> datetime.datetime | None:
@@ -142,39 +145,53 @@ class Engine:
         before = placed.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n"))  # a row for each task
         return placed.join(F.broadcast(before), "__part").withColumn("seq", F.col("__before") + F.col("__at") + 1 + last)
 
-    def _append(self, make, **more: DataFrame) -> DataFrame | None:
+    def _few(self, rows: DataFrame, state) -> tuple[DataFrame, DataFrame, int, str]:
+        """The rows of one message, numbered, and their links, by way of the driver: (rows, links, last number, head)."""
+        ordered = rows.coalesce(1).sortWithinPartitions("__order").withColumn("seq", F.monotonically_increasing_id() + 1 + state.last_seq)
+        times = [f.name for f in S.LOG if f.dataType == TimestampType()]
+        whole = L.complete(ordered)
+        exact = whole.select(*[F.unix_micros(c).alias(c) if c in times else c for c in whole.columns], event_ref().alias("__ref"), event_digest().alias("__hash")).collect()
+        made, links, last, head = [], [], state.last_seq, state.head or GENESIS
+        for r in exact:
+            made.append(tuple(_EPOCH + datetime.timedelta(microseconds=r[c]) if c in times and r[c] is not None else r[c] for c in whole.columns))
+            entry = hashlib.sha256((head + r["__hash"]).encode()).hexdigest()
+            links.append((r.seq, r.op, r["__ref"], r["__hash"], head, entry))
+            last, head = r.seq, entry
+        one = lambda data, schema: self.spark.createDataFrame(data, schema).coalesce(1)
+        return one(made, S.LOG), one(links, S.AUDIT), last, head
+
+    def _many(self, rows: DataFrame, state) -> tuple[DataFrame, DataFrame, int, str]:
+        """As _few for any number of rows: written, chained by one task that streams their hashes."""
+        plain = materialise(L.complete(self._numbered(rows, state.last_seq)))
+        links = materialise(audit.build_from(audit.payloads(plain), state.head or GENESIS))
+        end = links.agg(F.max("seq").alias("s"), F.max_by("entry_hash", "seq").alias("h")).head()
+        return plain, links, end.s or state.last_seq, end.h or state.head
+
+    def _append(self, make, few: bool = True, **more: DataFrame) -> DataFrame:
         """Commit the rows that make(state) gives, with the chain's new links and rows of other tables.
 
         Rows are made anew where another writer was quicker. Returns them as committed.
         """
         for _ in range(ATTEMPTS):
             state = self.store.state()
-            rows = make(state)
-            if rows is None:
-                return None
-            plain = materialise(L.complete(self._numbered(rows, state.last_seq)))
+            plain, links, last, head = (self._few if few else self._many)(make(state), state)
             stored = plain
             if self.keyring is not None:
-                named = [r.subject_id for r in plain.where(F.col("op").isin(S.EPISODE, S.ASSERTED) & F.col("subject_id").isNotNull()).select("subject_id").distinct().collect()]
-                for subject in named:  # the subjects of one message
-                    self.keyring.key_for(subject)
+                for r in plain.where(F.col("op").isin(S.EPISODE, S.ASSERTED) & F.col("subject_id").isNotNull()).select("subject_id").distinct().toLocalIterator():
+                    self.keyring.key_for(r.subject_id)
                 stored = erase.encrypt(plain, self.keyring.frame())
-            links = audit.payloads(plain)
-            links = audit.build(links) if state.head is None else audit.build_from(links, state.head)
             tables = {"log": [self.store.write("log", stored)], "audit": [self.store.write("audit", links)]}
             tables |= {name: [self.store.write(name, df)] for name, df in more.items()}
-            end = self.store.read("audit", tables["audit"][0]).agg(F.max("seq").alias("s"), F.max_by("entry_hash", "seq").alias("h")).head()
-            if self.store.publish(state, tables, end.s or state.last_seq, end.h or state.head):
-                now = self.store.state()
-                if now.number - now.since >= L.COMPACT_AFTER:
+            if self.store.publish(state, tables, last, head):
+                if state.number + 1 - state.since >= L.COMPACT_AFTER:
                     self.store.compact()
-                self.backend.on_write(self.log(), end.s or state.last_seq)
+                self.backend.on_write(self.log(), last)
                 return plain
         raise RuntimeError(f"no place in the log after {ATTEMPTS} attempts")
 
-    def append(self, events: DataFrame) -> DataFrame | None:
-        """Events with an `op` and its columns, in the order of `__order`; returns them numbered."""
-        return self._append(lambda state: events)
+    def append(self, events: DataFrame) -> DataFrame:
+        """Any number of events with an `op` and its columns, in the order of `__order`; returns them numbered."""
+        return self._append(lambda state: events, few=False)
 
     def rebuild(self) -> None:
         """Fold the whole log again and keep the edges."""
@@ -247,7 +264,7 @@ class Engine:
 
     def _entity_event(self, op: str, canonical: str, alias: str, evidence: str | None = None) -> None:
         now = datetime.datetime.now(datetime.UTC)
-        self.append(self.spark.createDataFrame([(op, canonical, alias, evidence, now, 0)], "op string, canonical_id string, alias_id string, evidence string, recorded_at timestamp, __order int"))
+        self._append(lambda state: self.spark.createDataFrame([(op, canonical, alias, evidence, now, 0)], "op string, canonical_id string, alias_id string, evidence string, recorded_at timestamp, __order int"))
 
     def merge_entities(self, canonical: str, alias: str, evidence: str = "") -> None:
         self._entity_event(S.MERGED, canonical, alias, evidence)
