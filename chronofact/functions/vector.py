@@ -18,6 +18,8 @@ from pyspark.sql.types import LongType
 from .text import words
 
 DIM = 384
+#: Names of a map entry's fields.
+_KEY, _VALUE = "key", "value"
 
 
 @F.pandas_udf(LongType())
@@ -54,9 +56,9 @@ def sparse(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     return v.select(key, "square", F.explode("v").alias("bucket", "s")).select(key, "bucket", (F.col("s") / F.sqrt("square")).alias("w"))
 
 
-def cosine(v: Column, square: Column, w: Column, other: Column) -> Column:
-    """Of two whole-numbered vectors (maps and squared lengths); 0 where one is missing."""
-    dot = F.aggregate(F.map_entries(w), F.lit(0).cast("bigint"), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at(v, x["key"]), F.lit(0)))
+def cosine(v: Column, square: Column, entries: Column, other: Column) -> Column:
+    """Of two whole-numbered vectors, a map and the entries of another, with their squared lengths; 0 where one is missing."""
+    dot = F.aggregate(entries, F.lit(0).cast("bigint"), lambda total, x: total + x[_VALUE] * F.coalesce(F.try_element_at(v, x[_KEY]), F.lit(0)))
     return F.coalesce(dot / F.sqrt(square.cast("double") * other), F.lit(0.0))
 
 

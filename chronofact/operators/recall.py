@@ -67,7 +67,7 @@ def rank(queries: DataFrame, edges: DataFrame, k: int, semantic: bool = False, b
     edges = edges.withColumn("text", edge_text(F.col("subject"), F.col("predicate"), F.col("object"))).select("fact_id", "subject", "predicate", "object", "tx_from", "text")
     texts = edges.select("text").distinct()
     if embedder is None:
-        known, similar = vectors(texts, "text", "text"), lambda q: cosine(F.col("v"), F.col("square"), F.map_from_entries(q["qv"]), q["q_square"])
+        known, similar = vectors(texts, "text", "text"), lambda q: cosine(F.col("v"), F.col("square"), q["qv"], q["q_square"])
     else:
         known, similar = texts.withColumn("v", embedder.column(F.col("text"))), lambda q: F.coalesce(dot(F.col("v"), q["qv"]), F.lit(0.0))
     t = edges.join(known, "text", "left").withColumn("tokens", token_set(F.col("text")))

@@ -28,7 +28,7 @@ def _scored(met: DataFrame, with_vectors: bool = True) -> DataFrame:
     """Pairs (x, y) of described names with their score."""
     score = lexical_similarity(F.col("x.name"), F.col("y.name"), F.col("x.tokens"), F.col("y.tokens"))
     if with_vectors:
-        score = F.greatest(score, cosine(F.col("x.v"), F.col("x.square"), F.col("y.v"), F.col("y.square")))
+        score = F.greatest(score, cosine(F.col("x.v"), F.col("x.square"), F.map_entries("y.v"), F.col("y.square")))
     return met.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), score.alias("score"))
 
 
