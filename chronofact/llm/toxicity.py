@@ -151,10 +151,28 @@ class Scorer:
         self.bias, self.weights = model["bias"], model["weights"]
         self.active = {int(i): float(self.weights[i]) for i in np.flatnonzero(self.weights)}
         self.words: dict[str, tuple[float, bool] | None] = {}
+        #: Beginnings of words: the bucket, or -1 where it has no weight.
+        self.beginnings: dict[str, int] = {}
+
+    def _active(self, word: str) -> set[int]:
+        """Those of _buckets(word) that have a weight; beginnings are looked up, as words share them."""
+        if not word.isascii() and _UNPARTED.search(word):
+            return {b for b in _buckets(word) if b in self.active}
+        found, held = {xxhash.xxh64_intdigest("=" + word) % BUCKETS}, self.beginnings
+        for k in PREFIXES:
+            if k >= len(word):
+                break
+            if (b := held.get(x := word[:k])) is None:
+                if len(held) > CACHE_WORDS:
+                    held.clear()
+                b = xxhash.xxh64_intdigest("^" + x) % BUCKETS
+                b = held[x] = b if b in self.active else -1
+            found.add(b)
+        return found & self.active.keys()
 
     def _known(self, word: str) -> tuple[float, bool] | None:
         """The word's sum of weights and whether one speaks for toxic; None if all of them are zero."""
-        own = [self.active[b] for b in _buckets(word) if b in self.active]
+        own = [self.active[b] for b in self._active(word)]
         return (math.fsum(own), max(own) > 0) if own else None
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
