@@ -84,26 +84,31 @@ def exact_changes(facts: DataFrame) -> DataFrame:
     """Changes of single-valued keys where a message may name several values.
 
     A value that was live when the message began is dropped when the message names it
-    again, even if it was superseded in between. Only keys with such a message are
-    folded, each over its own ordered list; all others take the window form.
+    again, even if it was superseded in between. So a message keeps all its values but the
+    one it starts with, and leaves its last one behind, or the one before if it started with
+    the last. Whether it leaves the last is a bit that a message sets, passes on or turns:
+    the last set one and the number of turns since give it, by windows over one shuffle.
     """
-    once = first_in_message(facts)
-    busy = once.groupBy("subject", "predicate", "episode_id").agg(F.count("*").alias("n")).where("n > 1").select("subject", "predicate").distinct()
-    plain = once.join(busy, ["subject", "predicate"], "left_anti")
     key = Window.partitionBy("subject", "predicate").orderBy("seq")
-    plain = plain.withColumn("__p", F.lag("object").over(key)).where("__p IS NULL OR __p <> object").select("subject", "predicate", "seq", "episode_id", "object", "valid_from")
-    item = F.struct("seq", "episode_id", "object", "valid_from")
-    lists = once.join(busy, ["subject", "predicate"], "left_semi").groupBy("subject", "predicate").agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    kind = lists.schema["xs"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast("string").alias("e"), F.lit(None).cast("string").alias("at_start"), F.lit(None).cast("string").alias("now"), F.array().cast(kind).alias("out"))
-
-    def step(s, x):
-        start = F.when(s["e"].eqNullSafe(x["episode_id"]), s["at_start"]).otherwise(s["now"])
-        drop = start.eqNullSafe(x["object"]) | s["now"].eqNullSafe(x["object"])
-        return F.struct(x["episode_id"].alias("e"), start.alias("at_start"), F.when(drop, s["now"]).otherwise(x["object"]).alias("now"), F.when(drop, s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
-
-    folded = lists.select("subject", "predicate", F.explode(F.aggregate("xs", zero, step, lambda s: s["out"])).alias("x")).select("subject", "predicate", "x.*")
-    return plain.unionByName(folded)
+    once = first_in_message(facts).withColumn("__new", F.when(F.lag("episode_id").over(key).eqNullSafe(F.col("episode_id")), 0).otherwise(1))
+    once = once.withColumn("__run", F.sum("__new").over(key))
+    message = ["subject", "predicate", "__run"]
+    ranked = once.withColumn("__n", F.row_number().over(Window.partitionBy(*message).orderBy(F.desc("seq"))))
+    value = lambda n: F.max(F.when(F.col("__n") == n, F.col("object")))
+    ends = ranked.groupBy(*message).agg(value(1).alias("__last"), value(2).alias("__second"))
+    runs = Window.partitionBy("subject", "predicate").orderBy("__run")
+    before = lambda c: F.lag(c).over(runs)
+    two = F.col("__second").isNotNull()
+    from_last = ~(two & before("__last").eqNullSafe(F.col("__last")))
+    from_second = F.when(before("__second").isNull(), from_last).otherwise(~(two & before("__second").eqNullSafe(F.col("__last"))))
+    bits = ends.select(*message, "__last", "__second", from_last.alias("__f"), from_second.alias("__s"))
+    bits = bits.withColumn("__set", F.when(F.col("__f") == F.col("__s"), F.col("__f").cast("int"))).withColumn("__turns", F.sum((~F.col("__f") & F.col("__s")).cast("int")).over(runs))
+    since = F.col("__turns") - F.last(F.when(F.col("__set").isNotNull(), F.col("__turns")), ignorenulls=True).over(runs)
+    left = bits.withColumn("__bit", (F.last("__set", ignorenulls=True).over(runs) + since) % 2)
+    left = left.withColumn("__now", F.when(F.col("__bit") == 1, F.col("__last")).otherwise(F.col("__second")))
+    starts = left.select(*message, F.lag("__now").over(runs).alias("__start"))
+    kept = once.join(starts, message).where("__start IS NULL OR __start <> object")
+    return kept.select("subject", "predicate", "seq", "episode_id", "object", "valid_from")
 
 
 def to_log(edge: DataFrame) -> DataFrame:
