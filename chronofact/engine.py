@@ -208,7 +208,17 @@ class Engine:
         edges = self.backend.edges(whole, state.last_seq) if upto is None else project.fold(whole.where(F.col("seq") <= upto))
         return project.without_forgotten(edges, whole.where(F.col("op") == S.FORGOTTEN)).withColumnRenamed("pos", "seq")
 
-    def add(self, text: str, subject_id: str | None = None, valid_from: str | None = None, source_ref: str | None = None, *, agent_id: str | None = None, session_id: str | None = None, org_id: str | None = None) -> list[str]:
+    def add(
+        self,
+        text: str,
+        subject_id: str | None = None,
+        valid_from: str | None = None,
+        source_ref: str | None = None,
+        *,
+        agent_id: str | None = None,
+        session_id: str | None = None,
+        org_id: str | None = None,
+    ) -> list[str]:
         """Record one message: its episode, the facts in it, and what they supersede. Returns the ids of the new facts."""
         now, eid = datetime.datetime.now(datetime.UTC), uuid.uuid4().hex
         when = instant(valid_from) or now
@@ -226,8 +236,28 @@ class Engine:
             key = Window.partitionBy("subject", "predicate").orderBy("seq")
             latest = live.groupBy("subject", "predicate").agg(F.max_by("fact_id", "seq").alias("live_fact"))
             new = new.join(latest, ["subject", "predicate"], "left").withColumn("closes", F.when(~F.col("multi"), F.coalesce(F.lag("fact_id").over(key), F.col("live_fact"))))
-            made = new.select(F.lit(S.ASSERTED).alias("op"), "episode_id", "fact_id", "subject", "predicate", "object", "valid_from", "confidence", "char_span", *scope, "recorded_at", (F.col("seq") * 2 + 2).alias("__order"))
-            gone = new.where("closes IS NOT NULL").select(F.lit(S.INVALIDATED).alias("op"), F.col("closes").alias("fact_id"), F.lit("superseded").alias("reason"), F.col("valid_from").alias("valid_to"), "recorded_at", (F.col("seq") * 2 + 1).alias("__order"))
+            made = new.select(
+                F.lit(S.ASSERTED).alias("op"),
+                "episode_id",
+                "fact_id",
+                "subject",
+                "predicate",
+                "object",
+                "valid_from",
+                "confidence",
+                "char_span",
+                *scope,
+                "recorded_at",
+                (F.col("seq") * 2 + 2).alias("__order"),
+            )
+            gone = new.where("closes IS NOT NULL").select(
+                F.lit(S.INVALIDATED).alias("op"),
+                F.col("closes").alias("fact_id"),
+                F.lit("superseded").alias("reason"),
+                F.col("valid_from").alias("valid_to"),
+                "recorded_at",
+                (F.col("seq") * 2 + 1).alias("__order"),
+            )
             episode = message.drop("valid_from").withColumn("__order", F.lit(-1))
             return episode.unionByName(gone, allowMissingColumns=True).unionByName(made, allowMissingColumns=True).coalesce(1)
 
@@ -264,7 +294,10 @@ class Engine:
 
     def _entity_event(self, op: str, canonical: str, alias: str, evidence: str | None = None) -> None:
         now = datetime.datetime.now(datetime.UTC)
-        self._append(lambda state: self.spark.createDataFrame([(op, canonical, alias, evidence, now, 0)], "op string, canonical_id string, alias_id string, evidence string, recorded_at timestamp, __order int"))
+        self._append(lambda state: self.spark.createDataFrame(
+            [(op, canonical, alias, evidence, now, 0)],
+            "op string, canonical_id string, alias_id string, evidence string, recorded_at timestamp, __order int",
+        ))
 
     def merge_entities(self, canonical: str, alias: str, evidence: str = "") -> None:
         self._entity_event(S.MERGED, canonical, alias, evidence)
@@ -299,7 +332,10 @@ class Engine:
             return erase.sign(cert, None)
         signed = erase.sign(cert, self.root_key)
         kept = self.spark.createDataFrame([tuple(signed.get(f.name) if f.name != "issued_at" else now for f in S.CERTIFICATE)], S.CERTIFICATE)
-        stone = self.spark.createDataFrame([(S.FORGOTTEN, subject_id, requested_by, now, 0)], "op string, subject_id string, requested_by string, recorded_at timestamp, __order int")
+        stone = self.spark.createDataFrame(
+            [(S.FORGOTTEN, subject_id, requested_by, now, 0)],
+            "op string, subject_id string, requested_by string, recorded_at timestamp, __order int",
+        )
         self._append(lambda state: stone, certificate=kept)
         if self.keyring is not None:
             self.keyring.delete(subject_id)
@@ -315,7 +351,11 @@ class Engine:
 
     def record_outcome(self, subject_id: str, deleted: bool, verified: bool | None) -> None:
         """What became of an erasure elsewhere, in a scope of its own, so that it outlives the subject; the id enters as a hash."""
-        self.add(f"Erasure at the governed store: deleted={deleted}, verified={verified}.", agent_id="governed-store", source_ref=f"erasure:{hashlib.sha256(subject_id.encode()).hexdigest()[:16]}")
+        self.add(
+            f"Erasure at the governed store: deleted={deleted}, verified={verified}.",
+            agent_id="governed-store",
+            source_ref=f"erasure:{hashlib.sha256(subject_id.encode()).hexdigest()[:16]}",
+        )
 
     def erased_refs(self) -> DataFrame | None:
         """Ids of what was erased for good; None where nothing is sealed."""

@@ -35,7 +35,19 @@ def event_digest() -> Column:
     recorded = micros(F.col("recorded_at"))
     layouts = {
         S.EPISODE: ("episode_id", "content_hash", sha(_text("source_ref")), *scope, recorded),
-        S.ASSERTED: ("fact_id", "subject", "predicate", sha(_text("object")), micros(F.col("valid_from")), micros(F.col("valid_to")), confidence, span, "episode_id", *scope, recorded),
+        S.ASSERTED: (
+            "fact_id",
+            "subject",
+            "predicate",
+            sha(_text("object")),
+            micros(F.col("valid_from")),
+            micros(F.col("valid_to")),
+            confidence,
+            span,
+            "episode_id",
+            *scope,
+            recorded,
+        ),
         S.INVALIDATED: ("fact_id", "reason", micros(F.col("valid_to")), "superseded_by", recorded),
         S.MERGED: ("canonical_id", "alias_id", sha(_text("evidence")), recorded),
         S.UNMERGED: ("canonical_id", "alias_id", recorded),

@@ -89,7 +89,13 @@ def verify_deep(log: DataFrame, entries: DataFrame, erased: DataFrame | None = N
     a readable event without an entry breaks after the last one.
     """
     derived = payloads(log).join(log.select("seq", (F.col("op") != "episode").alias("other"), F.sha2("payload", 256).eqNullSafe(F.col("content_hash")).alias("same")), "seq")
-    d = derived.select("seq", F.col("kind").alias("k"), F.col("ref").alias("r"), F.col("payload_hash").alias("h"), (F.col("other") | F.coalesce("same", F.lit(False))).alias("whole"))
+    d = derived.select(
+        "seq",
+        F.col("kind").alias("k"),
+        F.col("ref").alias("r"),
+        F.col("payload_hash").alias("h"),
+        (F.col("other") | F.coalesce("same", F.lit(False))).alias("whole"),
+    )
     rows = entries.select("seq", "kind", "ref", "payload_hash", F.lit(True).alias("entered")).join(d, "seq", "full")
     if erased is not None:
         rows = rows.join(erased.select("ref", F.lit(True).alias("was_erased")).distinct(), "ref", "left")

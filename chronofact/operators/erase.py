@@ -111,7 +111,13 @@ def register(tombstones: DataFrame, edges: DataFrame) -> DataFrame:
     w = Window.partitionBy("subject_id").orderBy(F.desc("seq"))
     last = tombstones.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("subject_id", "requested_by", "recorded_at")
     left = edges.groupBy("subject_id").agg(F.count("*").alias("n"))
-    return last.join(left, "subject_id", "left").select("subject_id", "requested_by", "recorded_at", F.coalesce("n", F.lit(0)).alias("facts_left"), F.col("n").isNull().alias("erased"))
+    return last.join(left, "subject_id", "left").select(
+        "subject_id",
+        "requested_by",
+        "recorded_at",
+        F.coalesce("n", F.lit(0)).alias("facts_left"),
+        F.col("n").isNull().alias("erased"),
+    )
 
 
 def subject_check(subjects: DataFrame, tombstones: DataFrame, edges: DataFrame) -> DataFrame:

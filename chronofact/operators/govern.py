@@ -132,4 +132,8 @@ def from_environment(environment: dict[str, str], ledger) -> Governed | None:
 def reconcile(tombstones: DataFrame, downstream: DataFrame) -> DataFrame:
     """Forgotten subjects and the rows that a store still has of them."""
     left = downstream.join(tombstones.select("subject_id").distinct(), "subject_id", "left_semi").groupBy("subject_id").agg(F.count("*").alias("rows_left"))
-    return tombstones.select("subject_id").distinct().join(left, "subject_id", "left").select("subject_id", F.coalesce("rows_left", F.lit(0)).alias("rows_left"), F.col("rows_left").isNull().alias("verified"))
+    return tombstones.select("subject_id").distinct().join(left, "subject_id", "left").select(
+        "subject_id",
+        F.coalesce("rows_left", F.lit(0)).alias("rows_left"),
+        F.col("rows_left").isNull().alias("verified"),
+    )

@@ -34,7 +34,14 @@ def conflicts(edges: DataFrame) -> DataFrame:
     different = own.groupBy("subject", "predicate", "object").agg(F.lit(1).alias("one")).groupBy("subject", "predicate").agg(F.count("*").alias("n_values"))
     listed = own.groupBy("subject", "predicate").agg(F.sort_array(F.collect_list(F.struct("valid_from", "seq", "object"))).alias("xs"), F.min("first_seq").alias("first_seq"))
     values = F.array_join(F.transform("xs", lambda x: x["object"]), ",")
-    return listed.join(different, ["subject", "predicate"]).select("subject", "predicate", "n_values", values.alias("value_list"), F.lit("recency").alias("resolution"), "first_seq")
+    return listed.join(different, ["subject", "predicate"]).select(
+        "subject",
+        "predicate",
+        "n_values",
+        values.alias("value_list"),
+        F.lit("recency").alias("resolution"),
+        "first_seq",
+    )
 
 
 def graph_edges(edges: DataFrame) -> DataFrame:
@@ -42,7 +49,10 @@ def graph_edges(edges: DataFrame) -> DataFrame:
 
 
 def _ends(edges: DataFrame) -> DataFrame:
-    ends = F.explode(F.array(F.struct(F.col("subject").alias("id"), F.lit("entity").alias("kind"), F.lit(0).alias("end")), F.struct(F.col("object").alias("id"), F.lit("value").alias("kind"), F.lit(1).alias("end"))))
+    ends = F.explode(F.array(
+        F.struct(F.col("subject").alias("id"), F.lit("entity").alias("kind"), F.lit(0).alias("end")),
+        F.struct(F.col("object").alias("id"), F.lit("value").alias("kind"), F.lit(1).alias("end")),
+    ))
     rows = edges.select("valid_from", "seq", ends.alias("x"))
     order = F.struct("valid_from", "seq", "x.end")
     return rows.groupBy("x.id").agg(F.min_by("x.kind", order).alias("kind"), F.min(order).alias("first")).select("id", "kind", "first")
@@ -62,7 +72,18 @@ def first_appearance(edges: DataFrame) -> DataFrame:
 
 def edge_json(edges: DataFrame) -> DataFrame:
     """(fact_id, row): each edge as JSON of ten fields, times as ISO text."""
-    fields = ("fact_id", "subject", "predicate", "object", iso(F.col("valid_from")).alias("valid_from"), iso(F.col("valid_to")).alias("valid_to"), "alive", "confidence", "subject_id", F.col("episode_id").alias("source_episode_id"))
+    fields = (
+        "fact_id",
+        "subject",
+        "predicate",
+        "object",
+        iso(F.col("valid_from")).alias("valid_from"),
+        iso(F.col("valid_to")).alias("valid_to"),
+        "alive",
+        "confidence",
+        "subject_id",
+        F.col("episode_id").alias("source_episode_id"),
+    )
     return edges.select("fact_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("row"))
 
 

@@ -27,7 +27,17 @@ def _found(text: Column, rule: int, predicate: str, rx: str) -> Column:
     between = F.slice(F.split(text, rx, -1), F.lit(1), F.size(whole))
     sizes = F.zip_with(between, whole, lambda a, b: F.length(a) + F.length(b))
     ends = F.slice(F.aggregate(sizes, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))), F.lit(2), F.size(whole))
-    rows = F.transform(F.arrays_zip(value.alias("o"), ends.alias("e")), lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("pos"), F.lit(predicate).alias("predicate"), x["o"].alias("object"), (x["e"] - F.length(x["o"])).alias("lo"), x["e"].alias("hi")))
+    rows = F.transform(
+        F.arrays_zip(value.alias("o"), ends.alias("e")),
+        lambda x, i: F.struct(
+            F.lit(rule).alias("rule"),
+            i.alias("pos"),
+            F.lit(predicate).alias("predicate"),
+            x["o"].alias("object"),
+            (x["e"] - F.length(x["o"])).alias("lo"),
+            x["e"].alias("hi"),
+        ),
+    )
     none = F.array().cast("array<struct<rule:int,pos:int,predicate:string,object:string,lo:int,hi:int>>")
     return F.when(F.size(whole) > 0, rows).otherwise(none)
 
@@ -36,7 +46,16 @@ def extract(messages: DataFrame, text: str = "text") -> DataFrame:
     """One row for each fact found, in rule order; the subject is the scope's, or the word subject."""
     found = F.flatten(F.array(*[_found(F.coalesce(F.col(text), F.lit("")), i, p, pattern(t)) for i, (p, t) in enumerate(RULES)]))
     rows = messages.withColumn("__x", F.explode(found))
-    return rows.select(*messages.columns, F.coalesce("subject_id", F.lit("subject")).alias("subject"), F.col("__x.rule").alias("rule"), F.col("__x.pos").alias("pos"), F.col("__x.predicate").alias("predicate"), F.col("__x.object").alias("object"), F.col("__x.lo").alias("span_lo"), F.col("__x.hi").alias("span_hi"))
+    return rows.select(
+        *messages.columns,
+        F.coalesce("subject_id", F.lit("subject")).alias("subject"),
+        F.col("__x.rule").alias("rule"),
+        F.col("__x.pos").alias("pos"),
+        F.col("__x.predicate").alias("predicate"),
+        F.col("__x.object").alias("object"),
+        F.col("__x.lo").alias("span_lo"),
+        F.col("__x.hi").alias("span_hi"),
+    )
 
 
 def cardinality(facts: DataFrame, declared: dict[str, bool] | None = None, default_multi: bool = False) -> DataFrame:
@@ -102,7 +121,10 @@ def exact_changes(facts: DataFrame) -> DataFrame:
     from_last = ~(two & before("__last").eqNullSafe(F.col("__last")))
     from_second = F.when(before("__second").isNull(), from_last).otherwise(~(two & before("__second").eqNullSafe(F.col("__last"))))
     bits = ends.select(*message, "__last", "__second", from_last.alias("__f"), from_second.alias("__s"))
-    bits = bits.withColumn("__set", F.when(F.col("__f") == F.col("__s"), F.col("__f").cast("int"))).withColumn("__turns", F.sum((~F.col("__f") & F.col("__s")).cast("int")).over(runs))
+    bits = bits.withColumn(
+        "__set",
+        F.when(F.col("__f") == F.col("__s"), F.col("__f").cast("int")),
+    ).withColumn("__turns", F.sum((~F.col("__f") & F.col("__s")).cast("int")).over(runs))
     since = F.col("__turns") - F.last(F.when(F.col("__set").isNotNull(), F.col("__turns")), ignorenulls=True).over(runs)
     left = bits.withColumn("__bit", (F.last("__set", ignorenulls=True).over(runs) + since) % 2)
     left = left.withColumn("__now", F.when(F.col("__bit") == 1, F.col("__last")).otherwise(F.col("__second")))
@@ -117,6 +139,25 @@ def to_log(edge: DataFrame) -> DataFrame:
 
     key = Window.partitionBy("subject", "predicate").orderBy("seq")
     cause = edge.withColumn("next_seq", F.when(~F.col("multi"), F.lead("seq").over(key)))
-    made = complete(cause.select((F.col("seq") * 2 + 1).alias("seq"), F.lit("asserted").alias("op"), "episode_id", "fact_id", "subject", "predicate", "object", F.col("valid_from").cast("timestamp"), F.lit(1.0).alias("confidence"), F.col("subject").alias("subject_id"), F.col("recorded_at").cast("timestamp")))
-    gone = complete(cause.where("next_seq IS NOT NULL").select((F.col("next_seq") * 2).alias("seq"), F.lit("invalidated").alias("op"), "fact_id", F.lit("superseded").alias("reason"), F.col("valid_to").cast("timestamp"), F.col("tx_to").cast("timestamp").alias("recorded_at")))
+    made = complete(cause.select(
+        (F.col("seq") * 2 + 1).alias("seq"),
+        F.lit("asserted").alias("op"),
+        "episode_id",
+        "fact_id",
+        "subject",
+        "predicate",
+        "object",
+        F.col("valid_from").cast("timestamp"),
+        F.lit(1.0).alias("confidence"),
+        F.col("subject").alias("subject_id"),
+        F.col("recorded_at").cast("timestamp"),
+    ))
+    gone = complete(cause.where("next_seq IS NOT NULL").select(
+        (F.col("next_seq") * 2).alias("seq"),
+        F.lit("invalidated").alias("op"),
+        "fact_id",
+        F.lit("superseded").alias("reason"),
+        F.col("valid_to").cast("timestamp"),
+        F.col("tx_to").cast("timestamp").alias("recorded_at"),
+    ))
     return made.unionByName(gone)

@@ -44,7 +44,14 @@ def edges_of(state: DataFrame) -> DataFrame:
     """Edges: an assertion is closed by an invalidation after it. Invalidations of unknown facts do nothing."""
     closed = F.coalesce(F.col("gone_at") > F.col("asserted_at"), F.lit(False))
     known = [F.col(c) for c in _FIELDS if c not in ("valid_to", "recorded_at")]
-    out = state.where("asserted_at IS NOT NULL").select("fact_id", "pos", *known, F.col("recorded_at").alias("tx_from"), F.when(closed, F.col("gone_to")).otherwise(F.col("valid_to")).alias("valid_to"), F.when(closed, F.col("gone_recorded")).alias("tx_to"))
+    out = state.where("asserted_at IS NOT NULL").select(
+        "fact_id",
+        "pos",
+        *known,
+        F.col("recorded_at").alias("tx_from"),
+        F.when(closed, F.col("gone_to")).otherwise(F.col("valid_to")).alias("valid_to"),
+        F.when(closed, F.col("gone_recorded")).alias("tx_to"),
+    )
     return out.withColumn("alive", F.col("valid_to").isNull())
 
 

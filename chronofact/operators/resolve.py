@@ -99,9 +99,19 @@ def bands(scored: DataFrame) -> DataFrame:
     s = F.round("score", 9)
     band = F.when(s >= AUTO, "auto").when(s >= REVIEW, "review")
     first = F.length("a") >= F.length("b")
-    return scored.withColumn("band", band).where("band IS NOT NULL").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias_id"), F.round("score", 3).alias("score"), "band")
+    return scored.withColumn("band", band).where("band IS NOT NULL").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical_id"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("alias_id"),
+        F.round("score", 3).alias("score"),
+        "band",
+    )
 
 
 def merges(decided: DataFrame) -> DataFrame:
     """Merge events of the pairs in the automatic band."""
-    return decided.where("band = 'auto'").select(F.lit("entity_merged").alias("op"), "canonical_id", "alias_id", F.concat(F.lit("auto:"), F.col("score").cast("string")).alias("evidence"))
+    return decided.where("band = 'auto'").select(
+        F.lit("entity_merged").alias("op"),
+        "canonical_id",
+        "alias_id",
+        F.concat(F.lit("auto:"), F.col("score").cast("string")).alias("evidence"),
+    )

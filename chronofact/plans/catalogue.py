@@ -42,7 +42,17 @@ def log_union_scan(spark, sf):
 
 def log_json_roundtrip(spark, sf):
     back = L.decode_json(L.encode_json(event_log(spark, sf)))
-    return back.select("seq", "op", "fact_id", "subject", "predicate", "object", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"), F.unix_micros("recorded_at").alias("recorded_us"))
+    return back.select(
+        "seq",
+        "op",
+        "fact_id",
+        "subject",
+        "predicate",
+        "object",
+        F.unix_micros("valid_from").alias("valid_from_us"),
+        F.unix_micros("valid_to").alias("valid_to_us"),
+        F.unix_micros("recorded_at").alias("recorded_us"),
+    )
 
 
 def log_digest(spark, sf):
@@ -51,7 +61,15 @@ def log_digest(spark, sf):
 
 def extract_spans(spark, sf):
     x = ingest.extract(A.messages(spark, sf))
-    return x.select("episode_id", "subject", "predicate", "object", F.col("span_lo").cast("bigint").alias("span_lo"), F.col("span_hi").cast("bigint").alias("span_hi"), (F.substring(F.col("text"), F.col("span_lo") + 1, F.col("span_hi") - F.col("span_lo")) == F.col("object")).alias("exact"))
+    return x.select(
+        "episode_id",
+        "subject",
+        "predicate",
+        "object",
+        F.col("span_lo").cast("bigint").alias("span_lo"),
+        F.col("span_hi").cast("bigint").alias("span_hi"),
+        (F.substring(F.col("text"), F.col("span_lo") + 1, F.col("span_hi") - F.col("span_lo")) == F.col("object")).alias("exact"),
+    )
 
 
 def extract_facts(spark, sf):
@@ -69,7 +87,16 @@ def supersede_single(spark, sf):
 def priorities(spark, sf):
     """A customer's orders of one year as one message that names several priorities."""
     o = A.table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("seq"), F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string")).alias("episode_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"), F.lit("priority").alias("predicate"), F.col("o_orderpriority").alias("object"), F.col("o_orderdate").alias("valid_from"), F.col("o_custkey"), F.year("o_orderdate").alias("y"))
+    return o.select(
+        F.col("o_orderkey").alias("seq"),
+        F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string")).alias("episode_id"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"),
+        F.lit("priority").alias("predicate"),
+        F.col("o_orderpriority").alias("object"),
+        F.col("o_orderdate").alias("valid_from"),
+        F.col("o_custkey"),
+        F.year("o_orderdate").alias("y"),
+    )
 
 
 def ingest_exact(spark, sf):
@@ -82,7 +109,16 @@ def ingest_exact(spark, sf):
 
 def edges_all(spark, sf):
     f = project.fold(event_log(spark, sf))
-    return f.select("fact_id", "subject", "predicate", "object", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"), F.unix_micros("tx_to").alias("tx_to_us"), "alive")
+    return f.select(
+        "fact_id",
+        "subject",
+        "predicate",
+        "object",
+        F.unix_micros("valid_from").alias("valid_from_us"),
+        F.unix_micros("valid_to").alias("valid_to_us"),
+        F.unix_micros("tx_to").alias("tx_to_us"),
+        "alive",
+    )
 
 
 def edges_live(spark, sf):
@@ -103,8 +139,18 @@ def merge_log(spark, sf):
     """Merges and unmerges of customers in their order: some chains, some rings, some undone."""
     c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     name = lambda x: F.concat(F.lit("n"), x.cast("string"))
-    merged = c.select((F.col("k") * 2).alias("seq"), F.lit("entity_merged").alias("op"), name(F.col("k")).alias("alias_id"), name(F.when(F.col("k") % 10 == 9, F.col("k") - 9).otherwise(F.col("k") + 1)).alias("canonical_id")).where("(seq / 2) % 4 <> 3 OR (seq / 2) % 20 > 9")
-    undone = c.where("k % 6 = 0").select((F.col("k") * 2 + 1).alias("seq"), F.lit("entity_unmerged").alias("op"), name(F.col("k")).alias("alias_id"), name(F.when(F.col("k") % 12 == 0, F.col("k") + 1).otherwise(F.col("k") + 2)).alias("canonical_id"))
+    merged = c.select(
+        (F.col("k") * 2).alias("seq"),
+        F.lit("entity_merged").alias("op"),
+        name(F.col("k")).alias("alias_id"),
+        name(F.when(F.col("k") % 10 == 9, F.col("k") - 9).otherwise(F.col("k") + 1)).alias("canonical_id"),
+    ).where("(seq / 2) % 4 <> 3 OR (seq / 2) % 20 > 9")
+    undone = c.where("k % 6 = 0").select(
+        (F.col("k") * 2 + 1).alias("seq"),
+        F.lit("entity_unmerged").alias("op"),
+        name(F.col("k")).alias("alias_id"),
+        name(F.when(F.col("k") % 12 == 0, F.col("k") + 1).otherwise(F.col("k") + 2)).alias("canonical_id"),
+    )
     return L.complete(merged.unionByName(undone))
 
 
@@ -153,9 +199,23 @@ def graph_edges(spark, sf):
 
 def _episodes_and_facts(spark, sf):
     f = A.facts(spark, sf)
-    row = F.explode(F.array(F.struct(F.lit("episode").alias("op"), F.col("episode_id").alias("i")), F.struct(F.lit("asserted").alias("op"), F.col("fact_id").alias("i")))).alias("x")
-    made = f.select((F.col("seq") * 2).alias("seq"), row, F.col("subject").alias("subject_id")).select((F.col("seq") + F.when(F.col("x.op") == "episode", 0).otherwise(1)).alias("seq"), "x.op", F.when(F.col("x.op") == "episode", F.col("x.i")).alias("episode_id"), F.when(F.col("x.op") == "asserted", F.col("x.i")).alias("fact_id"), "subject_id")
-    gone = A.tombstones(spark, sf).select((F.substring("subject_id", 2, 18).cast("bigint") + 10_000_000_000).alias("seq"), F.lit("subject_forgotten").alias("op"), "subject_id", F.lit("dpo").alias("requested_by"))
+    row = F.explode(F.array(
+        F.struct(F.lit("episode").alias("op"), F.col("episode_id").alias("i")),
+        F.struct(F.lit("asserted").alias("op"), F.col("fact_id").alias("i")),
+    )).alias("x")
+    made = f.select((F.col("seq") * 2).alias("seq"), row, F.col("subject").alias("subject_id")).select(
+        (F.col("seq") + F.when(F.col("x.op") == "episode", 0).otherwise(1)).alias("seq"),
+        "x.op",
+        F.when(F.col("x.op") == "episode", F.col("x.i")).alias("episode_id"),
+        F.when(F.col("x.op") == "asserted", F.col("x.i")).alias("fact_id"),
+        "subject_id",
+    )
+    gone = A.tombstones(spark, sf).select(
+        (F.substring("subject_id", 2, 18).cast("bigint") + 10_000_000_000).alias("seq"),
+        F.lit("subject_forgotten").alias("op"),
+        "subject_id",
+        F.lit("dpo").alias("requested_by"),
+    )
     return L.complete(made.unionByName(gone, allowMissingColumns=True))
 
 
@@ -241,7 +301,12 @@ def er_bands(spark, sf):
 def _numbered(spark, sf):
     """Payload hashes of all assertions, numbered by event: every event is an entry."""
     f = A.facts(spark, sf)
-    return f.select("seq", F.lit("asserted").alias("kind"), F.col("fact_id").alias("ref"), D.sha(F.concat_ws("|", "fact_id", "subject", "predicate", "object")).alias("payload_hash"))
+    return f.select(
+        "seq",
+        F.lit("asserted").alias("kind"),
+        F.col("fact_id").alias("ref"),
+        D.sha(F.concat_ws("|", "fact_id", "subject", "predicate", "object")).alias("payload_hash"),
+    )
 
 
 def chain_links(spark, sf):
@@ -267,7 +332,19 @@ def chain_verify_tampered(spark, sf):
 
 
 def _log_and_entries(spark, sf):
-    log = L.complete(A.facts(spark, sf).select("seq", F.lit("asserted").alias("op"), "fact_id", "episode_id", "subject", "predicate", "object", F.col("valid_from").cast("timestamp"), F.lit(1.0).alias("confidence"), F.col("subject").alias("subject_id"), F.col("recorded_at").cast("timestamp")))
+    log = L.complete(A.facts(spark, sf).select(
+        "seq",
+        F.lit("asserted").alias("op"),
+        "fact_id",
+        "episode_id",
+        "subject",
+        "predicate",
+        "object",
+        F.col("valid_from").cast("timestamp"),
+        F.lit(1.0).alias("confidence"),
+        F.col("subject").alias("subject_id"),
+        F.col("recorded_at").cast("timestamp"),
+    ))
     return log, audit.build(audit.payloads(log))
 
 
@@ -303,7 +380,12 @@ def manifest_hash(spark, sf):
 
 def _requests(spark, sf):
     e = A.table(spark, sf, "events").where("user_id % 17 = 0 AND event_type = 'error'")
-    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject_id"), F.concat(F.lit("op"), (F.col("event_id") % 3).cast("string")).alias("requested_by"), F.col("ts").alias("recorded_at"), F.col("event_id").alias("seq"))
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject_id"),
+        F.concat(F.lit("op"), (F.col("event_id") % 3).cast("string")).alias("requested_by"),
+        F.col("ts").alias("recorded_at"),
+        F.col("event_id").alias("seq"),
+    )
 
 
 def erasure_register(spark, sf):
@@ -337,14 +419,20 @@ def reconcile_downstream(spark, sf):
 def accuracy(spark, sf):
     m = ingest.extract(A.messages(spark, sf)).where("predicate = 'lives_in'").select(F.col("object").alias("got"), F.col("subject"))
     c, n = A.table(spark, sf, "customer"), A.table(spark, sf, "nation")
-    want = c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("subject"), F.when(F.col("c_custkey") % 7 == 0, F.lit("nowhere")).otherwise(F.lower("n_name")).alias("expected"))
+    want = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("subject"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("nowhere")).otherwise(F.lower("n_name")).alias("expected"),
+    )
     return evaluate.accuracy(want.join(m, "subject", "left"))
 
 
 def recall_at_k(spark, sf):
     best = keyword_overlap(spark, sf).select("item_id", F.array(F.col("doc_id").cast("string")).alias("retrieved"))
     d, b = A.table(spark, sf, "documents"), A.table(spark, sf, "benchmark")
-    first = d.select("doc_id", F.explode(T.token_set(F.col("text"))).alias("token")).join(b.select("item_id", F.size(T.token_set(F.col("text"))).alias("n"), F.explode(T.token_set(F.col("text"))).alias("token")), "token")
+    first = d.select("doc_id", F.explode(T.token_set(F.col("text"))).alias("token")).join(
+        b.select("item_id", F.size(T.token_set(F.col("text"))).alias("n"), F.explode(T.token_set(F.col("text"))).alias("token")),
+        "token",
+    )
     whole = first.groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("h")).where("h = n").groupBy("item_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("evidence"))
     return evaluate.recall_at_k(best.join(whole, "item_id"))
 
@@ -388,7 +476,14 @@ def _is_folder(spark, path) -> bool:
 
 def _single_stream(spark, sf):
     e = _fact_stream(spark, sf).where("event_type IN ('signup', 'error')")
-    return e.select((F.col("event_id") + 1).alias("seq"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("fact_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("object"), F.col("ts").cast("timestamp").alias("valid_from"))
+    return e.select(
+        (F.col("event_id") + 1).alias("seq"),
+        F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("fact_id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject"),
+        F.col("event_type").alias("predicate"),
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("object"),
+        F.col("ts").cast("timestamp").alias("valid_from"),
+    )
 
 
 def _streamed_edges(spark, sf):
@@ -415,7 +510,11 @@ def stream_window_counts(spark, sf):
     path = _shared(spark)
     counts = S.window_counts(_fact_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
     counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/counts").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(f"{path}/counts").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+    return spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(f"{path}/counts").select(
+        F.unix_micros("window_start").alias("window_us"),
+        "event_type",
+        "n",
+    )
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,7 +21,19 @@ ROOT = b"an example of a root key, 32 byte"[:32]
 def _events(spark, sf) -> DataFrame:
     """All facts as events to append, in the order of `events`."""
     f = A.facts(spark, sf)
-    return f.select(F.lit(S.ASSERTED).alias("op"), "fact_id", "episode_id", "subject", "predicate", "object", F.col("valid_from").cast("timestamp").alias("valid_from"), F.lit(1.0).alias("confidence"), F.col("subject").alias("subject_id"), F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("seq").alias("__order"))
+    return f.select(
+        F.lit(S.ASSERTED).alias("op"),
+        "fact_id",
+        "episode_id",
+        "subject",
+        "predicate",
+        "object",
+        F.col("valid_from").cast("timestamp").alias("valid_from"),
+        F.lit(1.0).alias("confidence"),
+        F.col("subject").alias("subject_id"),
+        F.col("recorded_at").cast("timestamp").alias("recorded_at"),
+        F.col("seq").alias("__order"),
+    )
 
 
 def _store(spark, sf, **how) -> Engine:
@@ -65,7 +77,10 @@ def facade_shred_check(spark, sf):
     """Chain, contents and register after three erasures, in one row."""
     m, _ = _forgotten(spark, sf)
     found, row = m.verify_audit(deep=True), m.evidence(deep=True)
-    return spark.createDataFrame([(found.ok, found.entries, row.erasures, row.certificates, row.ok)], "deep_ok boolean, entries bigint, erasures bigint, certificates bigint, ok boolean")
+    return spark.createDataFrame(
+        [(found.ok, found.entries, row.erasures, row.certificates, row.ok)],
+        "deep_ok boolean, entries bigint, erasures bigint, certificates bigint, ok boolean",
+    )
 
 
 def certificates(spark, sf):
@@ -88,7 +103,16 @@ def kept_fold(spark, sf):
     kept = KeptFold(spark, folder(spark))
     kept.refresh(log.where(F.col("seq") <= last // 2), last // 2)
     e = kept.edges(log, last)
-    return e.select("fact_id", "subject", "predicate", "object", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"), F.unix_micros("tx_to").alias("tx_to_us"), "alive")
+    return e.select(
+        "fact_id",
+        "subject",
+        "predicate",
+        "object",
+        F.unix_micros("valid_from").alias("valid_from_us"),
+        F.unix_micros("valid_to").alias("valid_to_us"),
+        F.unix_micros("tx_to").alias("tx_to_us"),
+        "alive",
+    )
 
 
 def edges_upto(spark, sf):
@@ -131,13 +155,21 @@ def session_dates(spark, sf):
     """Labels of sessions in both known forms and in others."""
     c = A.table(spark, sf, "customer")
     day = F.date_add(F.lit("2023-01-01").cast("date"), F.col("c_custkey").cast("int") % 400)
-    label = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("1:56 pm on "), F.date_format(day, "d MMMM, y"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("on "), F.date_format(day, "d MMMM y"))).when(F.col("c_custkey") % 4 == 2, F.lit("on some day"))
+    label = F.when(
+        F.col("c_custkey") % 4 == 0,
+        F.concat(F.lit("1:56 pm on "), F.date_format(day, "d MMMM, y")),
+    ).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("on "), F.date_format(day, "d MMMM y"))).when(F.col("c_custkey") % 4 == 2, F.lit("on some day"))
     return c.select("c_custkey", T.session_date(label, (F.col("c_custkey") % 20).cast("int")).alias("day"))
 
 
 def redacted_dsn(spark, sf):
     c = A.table(spark, sf, "customer")
-    dsn = F.concat(F.lit("postgresql://user"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(":pa$s"), F.col("c_custkey").cast("string"))), F.lit("@db.example.org:5432/x"))
+    dsn = F.concat(
+        F.lit("postgresql://user"),
+        F.col("c_custkey").cast("string"),
+        F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(":pa$s"), F.col("c_custkey").cast("string"))),
+        F.lit("@db.example.org:5432/x"),
+    )
     return c.select("c_custkey", L.redacted(dsn).alias("shown"))
 
 
@@ -160,7 +192,10 @@ def digests_of_all_kinds(spark, sf):
     rows = e.select(
         (F.col("event_id") + 1).alias("seq"), op.alias("op"), F.concat(F.lit("e"), key).alias("episode_id"), F.sha2("props", 256).alias("content_hash"), F.col("props").alias("payload"),
         F.when(odd, F.concat(F.lit("src|"), key)).alias("source_ref"), F.concat(F.lit("f"), key).alias("fact_id"), F.col("event_type").alias("subject"), F.lit("p|q").alias("predicate"), k.alias("object"),
-        at.alias("valid_from"), F.when(odd, at).alias("valid_to"), F.round(F.col("event_id") % 7 / 7, 6).alias("confidence"), F.when(odd, F.struct((F.col("event_id") % 9).cast("int").alias("lo"), F.lit(12).alias("hi"))).alias("char_span"),
+        at.alias("valid_from"), F.when(odd, at).alias("valid_to"), F.round(F.col("event_id") % 7 / 7, 6).alias("confidence"), F.when(
+            odd,
+            F.struct((F.col("event_id") % 9).cast("int").alias("lo"), F.lit(12).alias("hi")),
+        ).alias("char_span"),
         F.lit("superseded").alias("reason"), F.when(odd, F.concat(F.lit("f"), key)).alias("superseded_by"), F.concat(F.lit("c"), key).alias("canonical_id"), k.alias("alias_id"), F.when(odd, F.lit("é|x")).alias("evidence"), F.lit("dpo").alias("requested_by"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject_id"), F.when(odd, F.lit("agent")).alias("agent_id"), F.lit(None).cast("string").alias("session_id"), F.lit("org").alias("org_id"), at.alias("recorded_at"),
     )
@@ -191,10 +226,23 @@ def replayed_facts(spark, sf):
 def evaluation_file(spark, sf):
     """An evaluation set written as a file of JSON and read back: questions with their episodes' count."""
     n = A.table(spark, sf, "nation")
-    episode = F.struct(F.concat(F.lit("I live in "), "n_name", F.lit(".")).alias("text"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("subject_id"), F.lit("2020-01-01").alias("valid_from"))
-    question = F.struct(F.lit("where").alias("query"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("subject_id"), F.col("n_name").alias("expected"), F.when(F.col("n_nationkey") % 2 == 0, "2021-01-01").alias("as_of"))
+    episode = F.struct(
+        F.concat(F.lit("I live in "), "n_name", F.lit(".")).alias("text"),
+        F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("subject_id"),
+        F.lit("2020-01-01").alias("valid_from"),
+    )
+    question = F.struct(
+        F.lit("where").alias("query"),
+        F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("subject_id"),
+        F.col("n_name").alias("expected"),
+        F.when(F.col("n_nationkey") % 2 == 0, "2021-01-01").alias("as_of"),
+    )
     path = folder(spark)
-    n.agg(F.to_json(F.struct(F.lit("nations").alias("name"), F.collect_list(episode).alias("episodes"), F.collect_list(question).alias("questions"))).alias("value")).coalesce(1).write.text(path)
+    n.agg(F.to_json(F.struct(
+        F.lit("nations").alias("name"),
+        F.collect_list(episode).alias("episodes"),
+        F.collect_list(question).alias("questions"),
+    )).alias("value")).coalesce(1).write.text(path)
     episodes, questions = A.evaluation_set(spark, path)
     return questions.join(episodes, "subject_id").select("subject_id", "query", "expected", "as_of", "text", "valid_from")
 
@@ -203,7 +251,10 @@ def conversation_turns(spark, sf):
     """Conversations in the form of session lists, read turn by turn."""
     c = A.table(spark, sf, "conversations")
     turn = F.struct(F.col("role").alias("speaker"), F.concat_ws(":", F.lit("D"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("dia_id"), "text")
-    lists = c.withColumn("s", F.col("turn") % 11 + 1).groupBy("conv_id", "s").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]).alias("ts"))
+    lists = c.withColumn("s", F.col("turn") % 11 + 1).groupBy("conv_id", "s").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))),
+        lambda x: x["t"],
+    ).alias("ts"))
     named = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), F.col("s").cast("string")), F.to_json("ts"))))
     whole = lists.groupBy("conv_id").agg(named.alias("m"))
     body = F.concat(F.lit('{"conversation":{'), F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}}"))

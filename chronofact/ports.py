@@ -94,10 +94,27 @@ class ReplayExtractor:
     def extract(self, messages: DataFrame, text: str = "text") -> DataFrame:
         have = self.facts.columns
         value = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
-        f = self.facts.select(F.col(self.key).alias("__k"), "pos", "predicate", "object", value("subject", "string").alias("__s"), F.coalesce(value("confidence", "double"), F.lit(1.0)).alias("confidence"))
+        f = self.facts.select(
+            F.col(self.key).alias("__k"),
+            "pos",
+            "predicate",
+            "object",
+            value("subject", "string").alias("__s"),
+            F.coalesce(value("confidence", "double"), F.lit(1.0)).alias("confidence"),
+        )
         lo, hi = _first_span(F.col(text), F.col("object"))
         joined = messages.join(f, F.col(self.key) == F.col("__k"))
-        return joined.select(*messages.columns, F.coalesce("__s", "subject_id", F.lit("subject")).alias("subject"), F.lit(0).alias("rule"), F.col("pos").cast("int").alias("pos"), "predicate", "object", lo.alias("span_lo"), hi.alias("span_hi"), "confidence")
+        return joined.select(
+            *messages.columns,
+            F.coalesce("__s", "subject_id", F.lit("subject")).alias("subject"),
+            F.lit(0).alias("rule"),
+            F.col("pos").cast("int").alias("pos"),
+            "predicate",
+            "object",
+            lo.alias("span_lo"),
+            hi.alias("span_hi"),
+            "confidence",
+        )
 
 
 #: Answers of a service after which it is asked again, beside those from 500 on.
@@ -143,7 +160,10 @@ def _ask_model(batches: Iterator[pa.RecordBatch], *, find: Callable, retry: Retr
                 out.append((subject or s or "subject", 0, pos, predicate, value, lo if lo >= 0 else None, lo + len(value) if lo >= 0 else None, confidence))
         types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 8, types, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b.column(j).take(pa.array(row, pa.int64())) for j in range(b.num_columns)), *columns], names=[*b.schema.names, *(c.split()[0] for c in FOUND.split(", "))])
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(j).take(pa.array(row, pa.int64())) for j in range(b.num_columns)), *columns],
+            names=[*b.schema.names, *(c.split()[0] for c in FOUND.split(", "))],
+        )
 
 
 class ModelExtractor:

@@ -60,7 +60,11 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_messages(spark: SparkSession, n: int) -> DataFrame:
     """One three-sentence message for each of n subjects."""
     i = F.col("id").cast("string")
-    return spark.range(n).select(F.concat(F.lit("u"), i).alias("subject_id"), F.format_string("My name is User%s. I live in City%s and I work at Org%s.", i, i, i).alias("text"), F.lit("2020-01-01").cast("timestamp").alias("valid_from"))
+    return spark.range(n).select(
+        F.concat(F.lit("u"), i).alias("subject_id"),
+        F.format_string("My name is User%s. I live in City%s and I work at Org%s.", i, i, i).alias("text"),
+        F.lit("2020-01-01").cast("timestamp").alias("valid_from"),
+    )
 
 
 def evaluation_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +84,14 @@ def turns_of(samples: DataFrame, sessions: int | None = None, turns: int | None
     body = samples.select(*keys, F.expr("from_json(get_json_object(value, '$.conversation'), 'map<string,string>')").alias("m"))
     named = F.filter(F.map_keys("m"), lambda k: k.rlike("^session_[0-9]+$"))
     ordered = F.array_sort(F.transform(named, lambda k: F.struct(F.substring_index(k, "_", -1).cast("int").alias("session"), k.alias("k"))))
-    each = F.transform(ordered, lambda x, i: F.struct(x["session"].alias("session"), session_date(F.element_at("m", F.concat(x["k"], F.lit("_date_time"))), i).alias("date"), F.element_at("m", x["k"]).alias("v")))
+    each = F.transform(
+        ordered,
+        lambda x, i: F.struct(
+            x["session"].alias("session"),
+            session_date(F.element_at("m", F.concat(x["k"], F.lit("_date_time"))), i).alias("date"),
+            F.element_at("m", x["k"]).alias("v"),
+        ),
+    )
     rows = body.select(*keys, F.explode(each if sessions is None else F.slice(each, 1, sessions)).alias("x"))
     rows = rows.select(*keys, "x.session", "x.date", F.from_json("x.v", "array<struct<speaker:string,dia_id:string,text:string>>").alias("turns"))
     out = rows.select(*keys, "session", "date", F.posexplode("turns").alias("at", "t")).select(*keys, "session", "date", "at", "t.*")

@@ -21,7 +21,17 @@ class HTTPFault(RuntimeError):
 class HTTPClient:
     """POSTs JSON to paths under a base address; a path may hold {subject_id}."""
 
-    def __init__(self, base: str, *, add: str = "/add", search: str = "/search", delete: str = "/delete", read: str | None = "/get_all", headers: dict[str, str] | None = None, timeout: float = 30.0):
+    def __init__(
+        self,
+        base: str,
+        *,
+        add: str = "/add",
+        search: str = "/search",
+        delete: str = "/delete",
+        read: str | None = "/get_all",
+        headers: dict[str, str] | None = None,
+        timeout: float = 30.0,
+    ):
         self.base, self.paths, self.headers, self.timeout = base.rstrip("/"), {"add": add, "search": search, "delete": delete, "read": read}, headers or {}, timeout
 
     def _post(self, what: str, body: dict) -> Any:
