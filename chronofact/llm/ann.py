@@ -117,7 +117,10 @@ def _encode(batches: Iterator[pa.RecordBatch], *, held) -> Iterator[pa.RecordBat
             codes = np.stack([_nearest(rest[:, a:z], book) for a, z, book in zip(m["cuts"][:-1], m["cuts"][1:], m["books"], strict=True)], 1).astype(np.uint8)
             error = np.sqrt(sum(((rest[:, a:z] - book[codes[:, j]]) ** 2).sum(1) for j, (a, z, book) in enumerate(zip(m["cuts"][:-1], m["cuts"][1:], m["books"], strict=True))))
             raw = _pack(np.stack(b.column("v").to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(raw, pa.binary()), b.column("norm")], names=["list_id", "vec_id", "code", "error", "raw", "norm"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(raw, pa.binary()), b.column("norm")],
+                names=["list_id", "vec_id", "code", "error", "raw", "norm"],
+            )
 
 
 def _probe(batches: Iterator[pa.RecordBatch], *, held, sizes, probes: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,10 @@ def _probe(batches: Iterator[pa.RecordBatch], *, held, sizes, probes: int, least
             np.put_along_axis(reads, order, np.arange(order.shape[1])[None] < take[:, None], 1)
             raw = _pack(np.stack(b.column("v").to_numpy(zero_copy_only=False)))
             bits = [r.tobytes() for r in np.packbits(reads, axis=1)]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(raw, pa.binary()), b.column("norm"), pa.array(bits, pa.binary())], names=["query_id", "raw", "norm", "reads"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("vec_id"), pa.array(raw, pa.binary()), b.column("norm"), pa.array(bits, pa.binary())],
+                names=["query_id", "raw", "norm", "reads"],
+            )
 
 
 class _Best:

@@ -61,7 +61,11 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = _may_recur(norm.withColumn("h", hash128(F.col("norm"))), several).alias("t")
     texts = texts.join(members.alias("m"), F.expr("t.doc_id <=> m.doc_id AND t.h = m.h")).select("t.*", "first_id", "part", "parts")
     texts = materialise(texts, "copies")
-    firsts = texts.where("doc_id <=> first_id").dropDuplicates(["h"]).select("h", F.col("norm").alias("first_norm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    firsts = texts.where("doc_id <=> first_id").dropDuplicates(["h"]).select(
+        "h",
+        F.col("norm").alias("first_norm"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    )
     compared = texts.join(firsts, ["h", "part"]).select("doc_id", "h", F.when(F.col("norm") != F.col("first_norm"), F.col("norm")).alias("odd"))
     odd = materialise(compared.where("odd IS NOT NULL").withColumn("odd_key", F.sha2("odd", 256)), "odd")
     # MD5 collisions, if any, are whole in `odd`: there the bytes themselves are the key.

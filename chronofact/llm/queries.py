@@ -69,7 +69,18 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_language_id, op4_suffix_dedup, op5_toxicity, op6_ann, op7_secrets, op8_rank_bpe, op9_token_files, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing,
+    op2_exact_dedup,
+    op3_language_id,
+    op4_suffix_dedup,
+    op5_toxicity,
+    op6_ann,
+    op7_secrets,
+    op8_rank_bpe,
+    op9_token_files,
+    op10_simhash,
+)}
 
 ORACLE = {
     "op2_exact_dedup": r"""

@@ -85,7 +85,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     part that lies within a base finding is that finding and not reported again.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.flatten(F.array(*[_spans(text, k, p) for k, p in BASE.items()])).alias("base"), F.flatten(F.array(*[_spans(text, k, p) for k, p in WEAK.items()])).alias("weak"))
+    rows = docs.select(
+        "doc_id",
+        F.xxhash64(text).alias("text_key"),
+        F.flatten(F.array(*[_spans(text, k, p) for k, p in BASE.items()])).alias("base"),
+        F.flatten(F.array(*[_spans(text, k, p) for k, p in WEAK.items()])).alias("weak"),
+    )
     rows = materialise(rows, "spans")  # the texts are scanned once; spans are small
     some = rows.where(F.size("weak") > 0).select(F.struct("doc_id", "text_key").alias("row"), "base", "weak").distinct()
     role = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))])
@@ -117,7 +122,11 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
 
     Rows without a finding are unchanged.
     """
-    found = scan(docs, scope).where(F.size("base") + F.size("linked") > 0).select(F.col("doc_id").alias("f_id"), "text_key", F.array_sort(F.concat("base", "linked")).alias("found")).distinct()
+    found = scan(docs, scope).where(F.size("base") + F.size("linked") > 0).select(
+        F.col("doc_id").alias("f_id"),
+        "text_key",
+        F.array_sort(F.concat("base", "linked")).alias("found"),
+    ).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     # Each step writes what lies before the span; a span that begins in the one before only prolongs it.
     # A part of the spans is worked on in its own stretch of the text (`seg`, which begins at `base`).

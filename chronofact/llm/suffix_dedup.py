@@ -105,7 +105,10 @@ def _find(batches: Iterator[pa.RecordBatch], *, width: int, at_once: int | None
                     part = raw[lo : lo + at_once]
                     _, h, first, last = anchors([part], width)
                     n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, _key(raw))), pa.array(h), pa.array(first + lo), pa.array(last + lo)], schema=_ANCHOR)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, _key(raw))), pa.array(h), pa.array(first + lo), pa.array(last + lo)],
+                        schema=_ANCHOR,
+                    )
                 continue
             if held + len(raw) > at_once:
                 yield flush(ids, texts)
@@ -283,7 +286,17 @@ def _hot_spans(stretches: DataFrame, width: int) -> DataFrame:
     # Other bytes of the same value, if there are any, are part of the key themselves.
     own = blocks.join(one, ["block", "v"]).withColumn("other", F.when(F.col("core") != F.col("one"), F.col("core")).otherwise(F.lit(b"")))
     rest = F.expr(f"concat(substring(before, cast(o - lo + 1 as int), cast({STEP - 1} - o as int)), substring(after, 1, cast(o as int)))")
-    strings = own.withColumn("o", F.explode(F.sequence("lo", "hi"))).select("h", "sh", "n", "block", "v", "other", "o", rest.alias("rest"), (F.col("begin") + F.col("o")).alias("at"))
+    strings = own.withColumn("o", F.explode(F.sequence("lo", "hi"))).select(
+        "h",
+        "sh",
+        "n",
+        "block",
+        "v",
+        "other",
+        "o",
+        rest.alias("rest"),
+        (F.col("begin") + F.col("o")).alias("at"),
+    )
     strings = materialise(strings, "hot-strings")
     key = ["block", "v", "other", "o", "rest"]
     again = materialise(strings.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").drop("times"), "hot-again")
@@ -331,7 +344,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False,
     """
     rows = docs.select("doc_id", "text")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = materialise(rows.where(F.octet_length("text") >= width).mapInArrow(partial(_find, width=width, at_once=at_once), "doc_id bigint, text_key bigint, h bigint, first bigint, last bigint"), "anchors")
+    found = materialise(
+        rows.where(F.octet_length("text") >= width).mapInArrow(partial(_find, width=width, at_once=at_once), "doc_id bigint, text_key bigint, h bigint, first bigint, last bigint"),
+        "anchors",
+    )
     # Written, so that the join has an exchange on both sides and a hot hash can be split.
     several = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
     of_doc = found.join(several, "h").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("h", "first", "last")).alias("found"))

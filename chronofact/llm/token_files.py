@@ -104,7 +104,17 @@ def _write(batches: Iterator[pa.RecordBatch], *, path: str, end_id: int, block_i
     def close() -> pa.RecordBatch:
         nonlocal block, before, ids, docs, sizes, held
         words, escapes = encode_words(np.frombuffer(b"".join(ids), "<u4"))
-        row = (shard, block, before, held, np.array([d or 0 for d in docs], "<i8").tobytes(), bytes(d is None for d in docs), np.array(sizes, "<i8").tobytes(), words.tobytes(), escapes.tobytes())
+        row = (
+            shard,
+            block,
+            before,
+            held,
+            np.array([d or 0 for d in docs], "<i8").tobytes(),
+            bytes(d is None for d in docs),
+            np.array(sizes, "<i8").tobytes(),
+            words.tobytes(),
+            escapes.tobytes(),
+        )
         block, before, ids, docs, sizes, held = block + 1, before + held, [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
@@ -224,7 +234,10 @@ def read_documents(spark, path: str) -> DataFrame:
     cut = marked.where("NOT whole OR goes_on")
     chain = Window.partitionBy("shard").orderBy("at")
     cut = cut.withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(chain))
-    joined = cut.select("doc_id", "shard", "chain", "at", "n", "crc").groupBy("shard", "chain").applyInArrow(_joined_with_shard, "doc_id bigint, shard int, start bigint, n_tokens bigint, ids_crc32 bigint")
+    joined = cut.select("doc_id", "shard", "chain", "at", "n", "crc").groupBy("shard", "chain").applyInArrow(
+        _joined_with_shard,
+        "doc_id bigint, shard int, start bigint, n_tokens bigint, ids_crc32 bigint",
+    )
     return starts_here.unionByName(joined).join(starts, "shard").select("doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -241,6 +254,9 @@ def read_ids(spark, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 s, k, f, n, w, e = (b.column(j)[i].as_py() for j in range(6))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k], pa.int64()), pa.array([f], pa.int64()), pa.array([_ids_of(w, e, n).tolist()], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s], pa.int32()), pa.array([k], pa.int64()), pa.array([f], pa.int64()), pa.array([_ids_of(w, e, n).tolist()], pa.list_(pa.int64()))],
+                    schema=schema,
+                )
 
     return spark.read.parquet(path).select("shard", "block", "first_id", "n_ids", "words", "escapes").mapInArrow(run, "shard int, block bigint, first_id bigint, ids array<bigint>")
