@@ -100,7 +100,13 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     known = parts.select("row", "role", "start", "end", stretch).groupBy("row", "role", "stretch").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     needs = F.explode(F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), F.lit(r).alias("role")) for k, v in NEEDS.items() for r in v])).alias("n")
     pairs = docs.sparkSession.range(1).select(needs).select("n.kind", "n.role")  # a fixed handful of rows
-    weak = some.select("row", F.explode("weak").alias("x"), "base").where(~F.exists("base", lambda b: (b["start"] <= F.col("x.start")) & (F.col("x.end") <= b["end"])))
+    # What lies within a base finding: the two meet in the stretch that the weak part begins in.
+    base = some.select("row", F.explode("base").alias("b"))
+    touched = F.explode(F.sequence(F.floor(F.col("b.start") / scope), F.floor(F.col("b.end") / scope))).alias("b_stretch")
+    base = base.select(F.col("row").alias("b_row"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), touched)
+    inside = F.expr("row = b_row AND x_stretch = b_stretch AND b_start <= x.start AND x.end <= b_end")
+    weak = some.select("row", F.explode("weak").alias("x")).withColumn("x_stretch", F.floor(F.col("x.start") / scope))
+    weak = weak.join(base, inside, "left_anti").drop("x_stretch")
     near = F.explode(F.sequence(F.floor(F.col("x.start") / scope) - 1, F.floor(F.col("x.end") / scope) + 1)).alias("stretch")
     asked = weak.select("row", "x", near).join(F.broadcast(pairs.withColumnRenamed("kind", "k")), F.col("x.kind") == F.col("k")).drop("k")
     met = asked.join(known, ["row", "role", "stretch"]).where((F.col("last") >= F.col("x.start") - scope) & (F.col("first") <= F.col("x.end") + scope))
