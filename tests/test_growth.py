@@ -69,3 +69,24 @@ def test_a_number_used_before_does_not_count(spark, tmp_path):
     ring.delete("u1")
     assert ring._last(part) == (2, {}) and files.publish(spark, ring._file(part, 1), '{"subject_id":"u1","wrapped":"x"}\n')  # by a writer that was slow
     assert not ring._counts(part, 1) and ring._numbers(part) == {part: [2]} and ring.get("u1") is None and key == b"1" * 32
+
+
+def test_the_chain_is_built_in_parts(spark, monkeypatch):
+    from chronofact.functions.digest import GENESIS
+    from chronofact.operators import audit
+
+    monkeypatch.setattr(audit, "PART", 300)
+    rows = spark.range(2000).select((F.col("id") * 3 + 1).alias("seq"), F.lit("asserted").alias("kind"), F.concat(F.lit("f"), "id").alias("ref"), F.sha2(F.col("id").cast("string"), 256).alias("payload_hash")).orderBy(F.desc("seq"))
+    entries = audit.build(rows)
+    sizes = entries.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2000
+    prev, want = GENESIS, []
+    for i in range(2000):
+        h = hashlib.sha256(str(i).encode()).hexdigest()
+        want.append((i * 3 + 1, "asserted", f"f{i}", h, prev, prev := hashlib.sha256((prev + h).encode()).hexdigest()))
+    assert [tuple(r) for r in entries.orderBy("seq").collect()] == want
+    later = audit.build_from(rows.where("seq > 3000"), want[999][5])
+    assert sorted(tuple(r) for r in later.collect()) == want[1000:]
+    assert audit.build(rows.limit(0)).count() == 0
+    dense = audit.build(rows.withColumn("seq", ((F.col("seq") + 2) / 3).cast("bigint")))
+    assert audit.verify_links(dense).head().ok and audit.verify_links(dense).head().entries == 2000
