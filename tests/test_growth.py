@@ -90,3 +90,27 @@ def test_the_chain_is_built_in_parts(spark, monkeypatch):
     assert audit.build(rows.limit(0)).count() == 0
     dense = audit.build(rows.withColumn("seq", ((F.col("seq") + 2) / 3).cast("bigint")))
     assert audit.verify_links(dense).head().ok and audit.verify_links(dense).head().entries == 2000
+
+
+def test_one_call_of_the_stream_serves_many_keys():
+    import pandas as pd
+
+    from chronofact.streaming import ingest
+
+    class State:
+        value = None
+        exists = property(lambda s: s.value is not None)
+        get = property(lambda s: s.value)
+
+        def update(self, value):
+            self.value = value
+
+    state, columns = State(), ["seq", "fact_id", "subject", "predicate", "object", "valid_from"]
+
+    def batch(*rows):
+        given = pd.DataFrame([(n, f"f{n}", s, "p", o, pd.Timestamp("2020-01-01")) for n, s, o in rows], columns=columns)
+        out = pd.concat(list(ingest._changes((0,), iter([given]), state)))
+        return sorted((int(a), None if pd.isna(b) else b) for a, b in zip(out["seq"], out["closes"]))
+
+    assert batch((4, "u2", "x"), (1, "u1", "x"), (2, "u1", "x"), (3, "u1", "y")) == [(1, None), (3, "f1"), (4, None)]
+    assert batch((5, "u1", "y"), (6, "u2", "y"), (7, None, "x"), (8, "u1", "x")) == [(6, "f4"), (7, None), (8, "f3")]
