@@ -114,3 +114,34 @@ def test_one_call_of_the_stream_serves_many_keys():
 
     assert batch((4, "u2", "x"), (1, "u1", "x"), (2, "u1", "x"), (3, "u1", "y")) == [(1, None), (3, "f1"), (4, None)]
     assert batch((5, "u1", "y"), (6, "u2", "y"), (7, None, "x"), (8, "u1", "x")) == [(6, "f4"), (7, None), (8, "f3")]
+
+
+def test_nearest_vectors_of_odd_rows_and_many_parts(spark, monkeypatch):
+    import math
+    import random
+
+    from chronofact.operators import recall
+
+    monkeypatch.setattr(recall, "CELLS", 60)
+    rng, nan, inf = random.Random(5), float("nan"), float("inf")
+    some = lambda n: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(n)]
+    rows = [(i, some(3), 0) for i in range(120)] + [(i, some(rng.choice([2, 3, 4])), 1) for i in range(120, 160)] + [(i, [1.0, 1.0], 2) for i in range(160, 200)]
+    rows += [(200, None, 1), (201, [1.0, None], 1), (202, [nan, 1.0], 1), (203, [inf, 1.0], 1), (204, [], 1), (205, [1.0], None), (206, [1e200, 1.0], 1), (207, [2.0], 3)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+
+    def score(a, b):
+        if a is None or b is None or None in a[: min(len(a), len(b))] + b[: min(len(a), len(b))]:
+            return None
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    want = []
+    for i, q, label in rows:
+        if i % 3 == 0 and label is not None:
+            scored = [(score(v, q), j) for j, v, other in rows if other == label and j != i]
+            place = lambda x: (2, 0, x[1]) if x[0] is None else (0, 0, x[1]) if math.isnan(x[0]) else (1, -x[0], x[1])
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(sorted(scored, key=place)[:5])]
+    got = recall.vector_topk(table, table.where("vec_id % 3 = 0"), 5)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted(want)
